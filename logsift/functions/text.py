@@ -100,7 +100,7 @@ def noise_predicate(text: ColumnOrName, rules: Sequence[tuple[str, str, Sequence
 def mask(text: ColumnOrName, rules: Iterable[tuple[str, str]] = C.MASK_RULES) -> Column:
     out = _c(text)
     for pattern, tag in rules:
-        out = F.regexp_replace(out, F.lit("(?U)" + pattern), F.lit(C.MASK_PREFIX + tag + C.MASK_SUFFIX))
+        out = F.regexp_replace(out, F.lit("(?dU)" + pattern), F.lit(C.MASK_PREFIX + tag + C.MASK_SUFFIX))
     return out
 
 

@@ -2,3 +2,4 @@
 
 from logsift.queries import extraction  # noqa: F401
 from logsift.queries import text  # noqa: F401
+from logsift.queries import mining  # noqa: F401

@@ -117,17 +117,16 @@ def comments(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("created_at"))
 
 
-def reactions(events: DataFrame) -> DataFrame:
+def reactions(events: DataFrame, span: int = REACTION_SPAN) -> DataFrame:
     """Non-error events of the job's user within ``REACTION_SPAN`` ids after it, per type.
 
     Range join done as an equi join on ``(user_id, event_id div span)``: each job looks at its
     own bucket and the next, so a busy user is spread over many join keys.
     """
-    span = REACTION_SPAN
     j = events.filter(F.col("event_type") == "error").select(
         "user_id", F.col("event_id").alias("job_event"),
-        F.explode(F.array(F.floor(F.col("event_id") / span), F.floor(F.col("event_id") / span) + 1))
-        .cast("bigint").alias("bucket"))
+        F.explode(F.array(F.floor(F.col("event_id") / span).cast("bigint"),
+                          (F.floor(F.col("event_id") / span) + 1).cast("bigint"))).alias("bucket"))
     x = events.filter(F.col("event_type") != "error").select(
         "user_id", "event_id", "event_type", F.floor(F.col("event_id") / span).cast("bigint").alias("bucket"))
     m = j.join(x, ["user_id", "bucket"]).filter(

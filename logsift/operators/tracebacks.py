@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logsift import constants as C
 from logsift.functions.text import is_blank, noise_predicate, truncate_middle
-from logsift.plans.scan import blocked_cumsum, blocked_prev, line_block
+from logsift.plans.scan import blocked_cumsum, dense_prev, line_block
 
 RTRIM_RE = "(?U)[\\s\\x1C-\\x1F]+$"
 
@@ -31,19 +31,21 @@ def python_tracebacks(lines: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
                       keep: tuple[str, ...] = (), source_file: str | None = None) -> DataFrame:
     """``lines(artifact_id, line_no, line)`` -> ``(artifact_id, *keep, line_number, text)``."""
     keys = ["artifact_id", *keep]
-    nb = lines.filter(~is_blank("line")).withColumn("rt", F.regexp_replace("line", RTRIM_RE, ""))
-    cls = (F.when(F.col("line").startswith(" ") | F.col("line").startswith("\t"), F.lit("F"))
-           .when(F.col("rt") == C.TB_HEADER, F.lit("S"))
-           .when(F.col("rt").isin(C.TB_CHAIN), F.lit("C"))
+    blank = is_blank("line")
+    rt = F.regexp_replace("line", RTRIM_RE, "")
+    cls = (F.when(blank, F.lit("B"))
+           .when(F.col("line").startswith(" ") | F.col("line").startswith("\t"), F.lit("F"))
+           .when(rt == C.TB_HEADER, F.lit("S"))
+           .when(rt.isin(C.TB_CHAIN), F.lit("C"))
            .otherwise(F.lit("E")))
-    nb = nb.withColumn("cls", cls)
-    blk = line_block("line_no")
-    nb = blocked_prev(nb, keys, ["line_no"], blk, ["cls", "line_no"])
-    linked = (F.col("cls").isin("S", "C")
-              | (F.col("prev_cls").isNotNull() & (F.col("prev_cls") != "E")
-                 & (F.col("prev_line_no") == F.col("line_no") - 1)))
-    nb = nb.withColumn("unlinked", F.when(linked, 0).otherwise(1))
-    nb = blocked_cumsum(nb, keys, ["line_no"], blk, {"island": F.col("unlinked")})
+    d = lines.withColumn("cls", cls)
+    # The previous *line* decides: blank -> only S/C continue a block; E -> only S/C continue;
+    # anything else (S, C, F) -> every non-blank line continues it.
+    d = dense_prev(d, keys, "line_no", ["cls"])
+    linked = F.col("cls").isin("S", "C") | (F.col("prev_cls").isNotNull() & ~F.col("prev_cls").isin("E", "B"))
+    nb = d.filter(F.col("cls") != "B").withColumn("rt", rt).withColumn(
+        "unlinked", F.when(linked, 0).otherwise(1))
+    nb = blocked_cumsum(nb, keys, ["line_no"], line_block("line_no"), {"island": F.col("unlinked")})
     exact = F.col("line") == C.TB_HEADER
     grp = nb.groupBy(*keys, "island").agg(
         F.min(F.when(exact, F.col("line_no"))).alias("line_number"),

@@ -39,11 +39,13 @@ def blocked_cumsum(df: DataFrame, key: Sequence[str], order: Sequence[str | Colu
     d = df.withColumn(_BLK, block)
     for out, expr in values.items():
         d = d.withColumn(tmp[out], expr)
+    # Per-block totals come from the rows before the window: a partial aggregate (map-side
+    # combine), so the summary branch shuffles one row per (key, block) and task.
+    tot = d.groupBy(*key, _BLK).agg(*[F.sum(tmp[o]).alias(f"__tot_{o}") for o in values])
     w = Window.partitionBy(*key, _BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding,
                                                                    Window.currentRow)
     for out in values:
         d = d.withColumn(f"__loc_{out}", F.sum(tmp[out]).over(w))
-    tot = d.groupBy(*key, _BLK).agg(*[F.sum(tmp[o]).alias(f"__tot_{o}") for o in values])
     wb = Window.partitionBy(*key).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*key, _BLK, *[F.coalesce(F.sum(f"__tot_{o}").over(wb), F.lit(0)).alias(f"__off_{o}")
                                    for o in values])
@@ -75,3 +77,22 @@ def blocked_prev(df: DataFrame, key: Sequence[str], order: Sequence[str], block:
         d = d.withColumn(prefix + c, F.when(F.col("__rn") == 1, F.col("__plast")[c])
                          .otherwise(F.col(prefix + c)))
     return d.drop(_BLK, "__rn", "__plast")
+
+
+def dense_prev(df: DataFrame, key: Sequence[str], pos: str, cols: Sequence[str],
+               size: int = LINE_BLOCK, prefix: str = "prev_") -> DataFrame:
+    """``prefix+c`` = value of ``c`` at position ``pos - 1`` of the same key (null at the first).
+
+    For dense positions (every line of a log, numbered 1..n). One window pass, no join: the
+    last row of each block is also sent to the next block as a halo row, so the first row of a
+    block sees its predecessor; halo rows are dropped after the window.
+    """
+    key, cols = list(key), list(cols)
+    blk = F.floor(F.col(pos) / F.lit(size)).cast("bigint")
+    last_of_block = (F.col(pos) % F.lit(size)) == F.lit(size - 1)
+    d = df.withColumn("__own", blk).withColumn(
+        _BLK, F.explode(F.when(last_of_block, F.array(blk, blk + 1)).otherwise(F.array(blk))))
+    w = Window.partitionBy(*key, _BLK).orderBy(pos)
+    for c in cols:
+        d = d.withColumn(prefix + c, F.lag(c).over(w))
+    return d.filter(F.col(_BLK) == F.col("__own")).drop(_BLK, "__own")

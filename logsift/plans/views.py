@@ -27,7 +27,20 @@ HOUR_US = 3_600_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-bound row work at least one task per core.
+
+    A scan of few large row groups yields fewer splits than cores; then rows are spread
+    round-robin. On a cluster reading many files the scan already has more splits than cores
+    and this is a no-op (checking the split count plans the scan; it runs no job).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _k() -> Column:

@@ -29,6 +29,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # One machine: shuffle partitions are sized to the cores, and AQE must not merge the
+        # (small) shuffles of CPU-bound text stages back into one task. Clusters keep coalescing.
+        conf["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

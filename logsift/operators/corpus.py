@@ -101,8 +101,14 @@ def sync_annotations(spark: SparkSession, root: str, full: DataFrame | None, del
     processed = report.first()["processed"]
     write_annotations(new_builds, new_snippets, root)
     if processed:
-        upd = spark.createDataFrame([(int(processed), archive_date)], "file_count int, archive_date date")
-        upd.write.mode("append").parquet(os.path.join(root, "annotation_updates"))
+        upd_path = os.path.join(root, "annotation_updates")
+        try:
+            last_id = spark.read.parquet(upd_path).agg(F.max("id")).first()[0] or 0
+        except Exception:  # noqa: BLE001 - first record
+            last_id = 0
+        upd = spark.createDataFrame([(int(last_id) + 1, int(processed), archive_date)],
+                                    "id long, file_count int, archive_date date")
+        upd.write.mode("append").parquet(upd_path)
     return report
 
 

@@ -27,7 +27,7 @@ def read_logs(spark: SparkSession, path: str, max_bytes: int = C.MAX_ARTIFACT_MI
         F.xxhash64("path").alias("artifact_id"), "path",
         F.regexp_extract("path", "([^/]*)$", 1).alias("artifact_name"),
         F.col("length").alias("n_bytes"),
-        F.decode("content", "UTF-8").alias("text"))
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return ok, rejects
 
 

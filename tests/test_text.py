@@ -111,3 +111,17 @@ def test_to_messages(spark):
     out = to_messages(df, F.col("sp"), F.col("um"), F.col("sr"), F.col("ur")).collect()
     assert [(m["role"], m["content"]) for m in out[0]["messages"]] == [("user", "sys\nhello")]
     assert [(m["role"], m["content"]) for m in out[1]["messages"]] == [("developer", "sys"), ("user", "hello")]
+
+
+def test_sql_functions_equal_columns(spark):
+    from logsift.functions.sql import register_functions
+    register_functions(spark)
+    samples = [s for s, _ in REDACT_CASES] + ["ip 10.0.0.1 n=-42 INFO: x", "a" * 300, "refs/merge-requests/7/x"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    df.createOrReplaceTempView("samples")
+    got = spark.sql("SELECT s, ls_sanitize(s) a, ls_mask(s) b, ls_truncate_middle(s, 100) c, "
+                    "ls_truncate_head(s, 100) d, ls_merge_request_id(s) e, ls_starts_message(s) f FROM samples")
+    want = df.select("s", T.sanitize("s").alias("a"), T.mask("s").alias("b"), T.truncate_middle("s", 100).alias("c"),
+                     F.when(F.length("s") > 100, T.truncate_head("s", 100)).otherwise(F.col("s")).alias("d"),
+                     T.merge_request_id("s").alias("e"), T.starts_message("s").alias("f"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -50,6 +50,8 @@ MASK_RULES = [
     (r"/usr/bin/systemd-nspawn.*", "CMD"),
     (r"INFO: .*", "INFO"),
 ]
+# A literal every match of the rule contains (None: no cheap guard); used only to skip work.
+MASK_GUARDS = {"ID": ":", "IP": ".", "HEX": "0x", "CMD": None, "INFO": "INFO: "}
 MASK_PREFIX = "<:"
 MASK_SUFFIX = ":>"
 TEMPLATE_SIM_TH = 0.4

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 SNIPPET_COLUMNS = ["artifact_id", "extractor", "line_number", "text"]
 
 
-def extract_all(lines: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def extract_all(lines: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]],
+                materialize: bool = False) -> DataFrame:
     """Apply every extractor to the same lines and concatenate (overlaps kept).
 
     An extractor is any ``lines -> (artifact_id, line_number, text)`` function; custom
-    extractors plug in the same way (U1)."""
+    extractors plug in the same way (U1). With ``materialize`` the lines are written once
+    as a Parquet table under the cluster's checkpoint folder, so the upstream (file scan,
+    decode, split, numbering shuffle) runs once instead of once per extractor."""
+    if materialize and len(extractors) > 1:
+        lines = materialize_table(lines, "lines")
     out = None
     for name, fn in extractors.items():
         part = fn(lines).select("artifact_id", F.lit(name).alias("extractor"), "line_number", "text")
@@ -22,6 +27,16 @@ def extract_all(lines: DataFrame, extractors: dict[str, Callable[[DataFrame], Da
     return out
 
 
+def materialize_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to ``<spark.checkpoint.dir>/tables/<name>-<uuid>`` and read it back
+    (cuts lineage on shared, reliable storage; a lost executor re-reads, never recomputes)."""
+    import uuid
+    from logsift.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def remaining_artifacts(artifacts: DataFrame, done: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Artifacts not yet processed (anti join)."""
     return artifacts.join(done, key, "left_anti")

@@ -107,16 +107,31 @@ def _mask_guard(pattern: str, tag: str) -> str | None:
 
 
 def mask(text: ColumnOrName, rules: Iterable[tuple[str, str]] = C.MASK_RULES) -> Column:
-    """Apply the mask rules in order. A rule whose required literal is absent is skipped
-    (``instr`` on the UTF-8 bytes is far cheaper than a regex pass over the text)."""
+    """Apply the mask rules in order (one regex pass per rule)."""
     out = _c(text)
     for pattern, tag in rules:
-        rep = F.regexp_replace(out, F.lit("(?dU)" + pattern), F.lit(C.MASK_PREFIX + tag + C.MASK_SUFFIX))
-        guard = _mask_guard(pattern, tag)
-        out = rep if guard is None else F.when(F.instr(out, guard) > 0, rep).otherwise(out)
+        out = F.regexp_replace(out, F.lit("(?dU)" + pattern), F.lit(C.MASK_PREFIX + tag + C.MASK_SUFFIX))
     return out
 
 
+def mask_column(df, text_col: str, out_col: str, rules: Iterable[tuple[str, str]] = C.MASK_RULES):
+    """``mask`` as a sequence of projections, skipping a rule whose required literal is absent.
+
+    ``instr`` on the UTF-8 bytes is far cheaper than a regex pass (which converts the text to
+    UTF-16 and back). Each step is its own projection and references the previous value more
+    than once, so Catalyst keeps the steps apart and computes every value once. A literal absent
+    from the original text cannot appear later (replacements only insert ``<:TAG:>``), so the
+    guards test the original text."""
+    d = df.withColumn(out_col, F.col(text_col))
+    for pattern, tag in rules:
+        rep = F.regexp_replace(F.col(out_col), F.lit("(?dU)" + pattern),
+                               F.lit(C.MASK_PREFIX + tag + C.MASK_SUFFIX))
+        guard = _mask_guard(pattern, tag)
+        d = d.withColumn(out_col, rep if guard is None else
+                         F.when(F.instr(F.col(text_col), guard) > 0, rep).otherwise(F.col(out_col)))
+    return d
+
+
 def tokens(text: ColumnOrName, extra_delimiters: Sequence[str] = tuple(C.TEMPLATE_EXTRA_DELIMITERS)) -> Column:
     """Trim, turn extra delimiters into spaces, split on whitespace runs."""
     out = _c(text)

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift import constants as C
-from logsift.functions.text import mask, tokens
+from logsift.functions.text import mask, mask_column, tokens
 
 
-def template_of(text_col: str = "text"):
-    toks = tokens(mask(text_col))
+def template_of(text_col: str = "text", masked: bool = False):
+    toks = tokens(F.col(text_col) if masked else mask(text_col))
     sig = F.transform(toks, lambda t: F.when(t.rlike("[0-9]"), F.lit(C.WILDCARD)).otherwise(t))
     return F.array_join(sig, " ")
 
@@ -28,7 +28,8 @@ def template_of(text_col: str = "text"):
 def mine_templates(chunks: DataFrame, keys: tuple[str, ...] = ("artifact_id",),
                    text_col: str = "text") -> DataFrame:
     """Adds ``template`` and ``template_id`` (64-bit hash of artifact keys + template)."""
-    distinct = chunks.select(text_col).distinct().withColumn("template", template_of(text_col))
+    distinct = mask_column(chunks.select(text_col).distinct(), text_col, "__masked") \
+        .withColumn("template", template_of("__masked", masked=True)).drop("__masked")
     out = chunks.join(distinct, text_col, "left")
     return out.withColumn("template_id", F.xxhash64(*[F.col(k) for k in keys], F.col("template")))
 

@@ -185,8 +185,8 @@ def q_templates_ll(spark, sf):
 @register("mask_documents", f"""
 SELECT doc_id, {mask_sql('text')} AS masked FROM documents""")
 def q_mask_documents(spark, sf):
-    from logsift.functions.text import mask
-    return table(spark, sf, "documents").select("doc_id", mask("text").alias("masked"))
+    from logsift.functions.text import mask_column
+    return mask_column(table(spark, sf, "documents").select("doc_id", "text"), "text", "masked").drop("text")
 
 
 @register("representatives_ll", with_views(",\n" + CHUNKS_SQL + """

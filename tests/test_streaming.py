@@ -94,3 +94,22 @@ def test_reaction_sync_sink(spark, tmp_path):
     sink(b2, 1)  # replay of the same epoch
     cur = open(os.path.join(root, "CURRENT")).read().strip()
     assert sorted(map(tuple, spark.read.parquet(cur).collect())) == [(1, "heart", 1), (2, "down", 1)]
+
+
+def test_contribution_ingest_stream(spark, tmp_path):
+    import json
+    src = tmp_path / "in" / "results" / "results"
+    src.mkdir(parents=True)
+    good = {"fail_reason": "r", "how_to_fix": "f", "logs": {"b.log": {"snippets": [{"text": "t", "user_comment": "c"}]}}}
+    for name in ("a.json", "b.json"):
+        (src / name).write_text(json.dumps(good))
+    (src / "bad.json").write_text("{nope")
+    root = str(tmp_path / "corpus")
+    raw = spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", "*.json").text(str(tmp_path / "in")) \
+        .select(F.regexp_extract(F.col("_metadata.file_path"), "(results/results/.*)$", 1).alias("source_path"),
+                F.col("value").alias("raw"))
+    run_stream(raw, "s5", foreach=S.contribution_ingest_sink(root))
+    run_stream(raw, "s5b", foreach=S.contribution_ingest_sink(root))  # a second run over the same files
+    got = sorted(r["source_path"] for r in spark.read.parquet(root + "/annotated_builds").collect())
+    assert got == ["results/results/a.json", "results/results/b.json"]

@@ -22,7 +22,8 @@ LINE_BLOCK = 1 << 16
 _BLK = "__blk"
 
 
-def line_block(pos: str | Column, size: int = LINE_BLOCK) -> Column:
+def line_block(pos: str | Column, size: int | None = None) -> Column:
+    size = size or LINE_BLOCK
     c = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(c / F.lit(size)).cast("bigint")
 
@@ -80,7 +81,7 @@ def blocked_prev(df: DataFrame, key: Sequence[str], order: Sequence[str], block:
 
 
 def dense_prev(df: DataFrame, key: Sequence[str], pos: str, cols: Sequence[str],
-               size: int = LINE_BLOCK, prefix: str = "prev_") -> DataFrame:
+               size: int | None = None, prefix: str = "prev_") -> DataFrame:
     """``prefix+c`` = value of ``c`` at position ``pos - 1`` of the same key (null at the first).
 
     For dense positions (every line of a log, numbered 1..n). One window pass, no join: the
@@ -88,6 +89,7 @@ def dense_prev(df: DataFrame, key: Sequence[str], pos: str, cols: Sequence[str],
     block sees its predecessor; halo rows are dropped after the window.
     """
     key, cols = list(key), list(cols)
+    size = size or LINE_BLOCK
     blk = F.floor(F.col(pos) / F.lit(size)).cast("bigint")
     last_of_block = (F.col(pos) % F.lit(size)) == F.lit(size - 1)
     d = df.withColumn("__own", blk).withColumn(

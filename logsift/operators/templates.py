@@ -7,7 +7,6 @@ a function of the message, an LRU of capacity k over clusters keeps exactly the
 whose *last* occurrence is latest, and emitting the first member of each survivor in line order
 is one aggregate plus a per-artifact top-k — no sequential scan.
 
-Masks run once per distinct chunk text (a log repeats lines a lot), then join back.
 """
 
 from __future__ import annotations
@@ -27,10 +26,12 @@ def template_of(text_col: str = "text", masked: bool = False):
 
 def mine_templates(chunks: DataFrame, keys: tuple[str, ...] = ("artifact_id",),
                    text_col: str = "text") -> DataFrame:
-    """Adds ``template`` and ``template_id`` (64-bit hash of artifact keys + template)."""
-    distinct = mask_column(chunks.select(text_col).distinct(), text_col, "__masked") \
+    """Adds ``template`` and ``template_id`` (64-bit hash of artifact keys + template).
+
+    Computed in place as a few narrow projections (guarded masks, then tokens): no shuffle, and
+    the upstream (message assembly) is evaluated once."""
+    out = mask_column(chunks, text_col, "__masked") \
         .withColumn("template", template_of("__masked", masked=True)).drop("__masked")
-    out = chunks.join(distinct, text_col, "left")
     return out.withColumn("template_id", F.xxhash64(*[F.col(k) for k in keys], F.col("template")))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from logsift import constants as C
 from logsift.catalog import noise_sql, register, sql_str

@@ -53,3 +53,16 @@ def test_compiler_errors_across_blocks(spark, tiny_blocks):
     scan.LINE_BLOCK = 1 << 16
     one_block = sorted(tuple(r) for r in compiler_errors(split_lines(d)).collect())
     assert with_blocks == one_block and with_blocks
+
+
+def test_blocked_prev_sparse_positions(spark, tiny_blocks):
+    """Previous row of the same key when positions have gaps (whole blocks may be empty)."""
+    rnd = random.Random(21)
+    rows = [(k, p, f"v{k}-{p}") for k in range(5) for p in sorted(rnd.sample(range(1, 60), 12))]
+    d = spark.createDataFrame(rows, "k long, p long, v string")
+    got = {(r["k"], r["p"]): r["prev_v"] for r in
+           scan.blocked_prev(d, ["k"], ["p"], scan.line_block("p"), ["v"]).collect()}
+    for k in range(5):
+        ps = sorted(p for kk, p, _ in rows if kk == k)
+        for i, p in enumerate(ps):
+            assert got[(k, p)] == (None if i == 0 else f"v{k}-{ps[i - 1]}")

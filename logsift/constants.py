@@ -17,7 +17,8 @@ TRUNCATE_MIDDLE = "\n...<truncated>...\n"
 SNIPPET_DELIMITER = "================"
 ARCHIVE_MAX_AGE_DAYS = 90
 TASK_ANALYSIS_TIMEOUT_MIN = 15
-NEAREST_DEFAULT_K = 3
+NEAREST_DEFAULT_K = 1
+NEAREST_MAX_K = 3
 EMBEDDING_DIM = 384
 
 ARTIFACT_NAME_RE = r"^[a-zA-Z0-9._\-/ ]+$"

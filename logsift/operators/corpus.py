@@ -150,25 +150,30 @@ def l2(a, b):
     return F.sqrt(sq)
 
 
+def _check_k(k: int, max_k: int | None) -> None:
+    """``1 <= k <= max_k`` (the configured number of annotations a lookup may return)."""
+    if k < 1 or (max_k is not None and k > max_k):
+        raise ValueError(f"k must be between 1 and {max_k}")
+
+
 def nearest_one(query_vec: list[float], corpus: DataFrame, k: int = C.NEAREST_DEFAULT_K,
-                id_col: str = "id", vec_col: str = "text_embedding") -> DataFrame:
+                id_col: str = "id", vec_col: str = "text_embedding", max_k: int | None = C.NEAREST_MAX_K) -> DataFrame:
     """Single query: L2 ascending, id as tie-breaker (TakeOrderedAndProject)."""
-    if not 1 <= k:
-        raise ValueError("k must be positive")
+    _check_k(k, max_k)
     q = F.array(*[F.lit(float(x)) for x in query_vec])
     return corpus.withColumn("distance", l2(F.col(vec_col), q)).orderBy("distance", id_col).limit(k)
 
 
 def nearest_snippets(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_DEFAULT_K,
                      qid: str = "query_id", cid: str = "id", vec_col: str = "text_embedding",
-                     qvec_col: str | None = None, text_col: str | None = None) -> DataFrame:
+                     qvec_col: str | None = None, text_col: str | None = None,
+                     max_k: int | None = C.NEAREST_MAX_K) -> DataFrame:
     """Exact top-k corpus rows per query: ``(query_id, id, distance, rank)``.
 
     Queries with a blank ``text_col`` give no rows. The query matrix is broadcast in passes of
     at most ``MAX_BROADCAST_BYTES``; each corpus partition keeps its k best per query.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
+    _check_k(k, max_k)
     qvec_col = qvec_col or vec_col
     q = queries
     if text_col:

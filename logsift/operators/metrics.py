@@ -64,7 +64,7 @@ def requests_per_bucket(rm: DataFrame, period: Period, endpoint: str = "analyze"
     d = _in_period(rm, period, endpoint)
     return d.groupBy(_bucket("request_received_at", period.grain).alias("bucket")).agg(
         F.count_distinct("id").cast("double").alias("value")).select(
-        F.lit("requests").alias("metric"), "bucket", "value")
+        F.lit("requests").alias("metric"), "bucket", "value").orderBy("bucket")
 
 
 def _seconds(a: str, b: str) -> Column:
@@ -76,7 +76,7 @@ def avg_response_time(rm: DataFrame, period: Period, endpoint: str = "analyze")
     d = _in_period(rm, period, endpoint)
     return d.groupBy(_bucket("request_received_at", period.grain).alias("bucket")).agg(
         F.coalesce(F.avg(_seconds("response_sent_at", "request_received_at")), F.lit(0.0)).alias("value")) \
-        .select(F.lit("avg_response_time").alias("metric"), "bucket", "value")
+        .select(F.lit("avg_response_time").alias("metric"), "bucket", "value").orderBy("bucket")
 
 
 def avg_response_length(rm: DataFrame, period: Period, endpoint: str = "analyze") -> DataFrame:
@@ -84,7 +84,7 @@ def avg_response_length(rm: DataFrame, period: Period, endpoint: str = "analyze"
     d = _in_period(rm, period, endpoint)
     return d.groupBy(_bucket("request_received_at", period.grain).alias("bucket")).agg(
         F.avg("response_length").alias("value")).select(
-        F.lit("avg_response_length").alias("metric"), "bucket", "value")
+        F.lit("avg_response_length").alias("metric"), "bucket", "value").orderBy("bucket")
 
 
 def reaction_series(reactions: DataFrame, comments: DataFrame, period: Period) -> DataFrame:
@@ -113,7 +113,7 @@ def all_metrics(rm: DataFrame, reactions: DataFrame, comments: DataFrame, period
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("value", F.when(F.isnan("value") | F.col("value").isNull(), 0.0)
-                          .otherwise(F.col("value")))
+                          .otherwise(F.col("value"))).orderBy("metric", "bucket")
 
 
 def certainty(logprobs: DataFrame, key: str = "response_id") -> DataFrame:

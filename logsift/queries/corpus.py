@@ -44,7 +44,7 @@ SELECT vec_id, label, round(distance, 6) AS distance FROM d ORDER BY distance, v
 def q_nearest_one(spark, sf):
     e = _emb(spark, sf)
     first = e.orderBy("vec_id").select("embedding").limit(1).collect()[0]["embedding"]
-    out = K.nearest_one(list(first), e, 5, id_col="vec_id", vec_col="embedding")
+    out = K.nearest_one(list(first), e, 5, id_col="vec_id", vec_col="embedding", max_k=None)
     return out.select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 

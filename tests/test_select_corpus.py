@@ -160,3 +160,6 @@ def test_nearest(spark):
     assert not [r for r in got if r["query_id"] == 1000]  # blank query -> no rows
     approx = K.nearest_snippets_approx(q, c, 3, threshold=10.0).collect()
     assert len(approx) > 0
+    import pytest
+    with pytest.raises(ValueError):
+        K.nearest_snippets(q, c, 4)

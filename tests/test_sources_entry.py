@@ -70,3 +70,12 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.columns == ["artifact_id", "line_number", "text"]
     assert df.count() > 0
+
+
+def test_cluster_conf_sizing():
+    from logsift.session import cluster_conf
+    c = cluster_conf(100 * 1024 ** 4, executors=1000)  # 100 TiB on 1000 executors
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 << 20)
+    small = cluster_conf(1 << 30, executors=10)
+    assert int(small["spark.sql.shuffle.partitions"]) == 80  # 2 x cores floor
+    assert small["spark.sql.adaptive.skewJoin.enabled"] == "true"

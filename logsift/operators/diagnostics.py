@@ -46,9 +46,20 @@ def compiler_errors(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``lines(artifact_id, line_no, line)`` -> ``(artifact_id, *keep, file_name, src_line,
     line_number, text)``, one row per distinct defect (first occurrence)."""
     keys = ["artifact_id", *keep]
-    d = lines.withColumn("is_cont", F.col("line").rlike("^[ \t]") & ~is_blank("line"))
+    d = lines.withColumn("is_cont", continuation_flag())
     d = blocked_cumsum(d, keys, ["line_no"], line_block("line_no"),
-                       {"island": F.when(F.col("is_cont"), 0).otherwise(1)})
+                       {"diag_island": F.when(F.col("is_cont"), 0).otherwise(1)})
+    return diagnostics_from_islands(d, keep)
+
+
+def continuation_flag():
+    """An indented, non-blank line (source excerpt / caret) continuing the defect above."""
+    return F.col("line").rlike("^[ \t]") & ~is_blank("line")
+
+
+def diagnostics_from_islands(d: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One defect per ``diag_island`` headed by an error line; identical defects once."""
+    keys = ["artifact_id", *keep]
     loc = F.col("line").rlike(LOCATED_ERROR_RE)
     tool = F.col("line").rlike(TOOL_ERROR_RE)
     d = d.withColumn("kind", F.when(loc, F.lit(1)).when(tool, F.lit(2)))
@@ -63,7 +74,7 @@ def compiler_errors(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             F.lit(0).alias("src_line"),
             F.regexp_extract("line", TOOL_ERROR_RE, 2).alias("message"),
             F.col("line_no").alias("line_no")))
-    g = d.groupBy(*keys, "island").agg(
+    g = d.groupBy(*keys, "diag_island").agg(
         F.max(head).alias("head"),
         F.collect_list(F.when(F.col("is_cont"), F.struct("line_no", "line"))).alias("conts"))
     g = g.filter(F.col("head").isNotNull())

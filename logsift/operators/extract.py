@@ -65,3 +65,48 @@ def attach_analysis(snippets: DataFrame, analyses: DataFrame) -> tuple[DataFrame
     repeat = known.join(first.select("analysis_id"), "analysis_id", "left_anti") \
         .select("analysis_id", F.lit("already_analyzed").alias("reason"))
     return analysed, unknown_file.unionByName(unknown_line).unionByName(repeat)
+
+
+def extract_fused(lines: DataFrame, max_clusters: int = 8, max_snippet_len: int = 2000,
+                  rules=None, keep: tuple[str, ...] = (), source_file: str | None = None,
+                  materialize: bool = True) -> DataFrame:
+    """The three built-in extractors (templates, compiler errors, tracebacks) from ONE pass.
+
+    One classification, one halo-lag window and one blocked scan give every line its message,
+    traceback and diagnostic island at once (a cumulative count over all lines where excluded
+    lines count 0 numbers the included lines exactly as the separate operators do). The
+    islanded lines are written once (``materialize``) and each builder groups its own subset.
+    Same output as ``extract_all`` with the three extractors.
+    """
+    from logsift import constants as C
+    from logsift.operators.diagnostics import continuation_flag, diagnostics_from_islands
+    from logsift.operators.lines import message_start_flag, messages_from_islands
+    from logsift.operators.noise import drop_noise
+    from logsift.operators.templates import mine_templates, representative_snippets
+    from logsift.operators.tracebacks import traceback_class, traceback_unlinked_flag, tracebacks_from_islands
+    from logsift.plans.scan import blocked_cumsum, dense_prev, line_block
+
+    rules = tuple(C.DEFAULT_NOISE_RULES) if rules is None else rules
+    keys = ["artifact_id", *keep]
+    d = lines.withColumn("cls", traceback_class()).withColumn("is_cont", continuation_flag()) \
+        .withColumn("msg_start", message_start_flag())
+    d = dense_prev(d, keys, "line_no", ["cls"]).withColumn("tb_unlinked", traceback_unlinked_flag())
+    d = blocked_cumsum(d, keys, ["line_no"], line_block("line_no"), {
+        "msg_island": F.col("msg_start"), "tb_island": F.col("tb_unlinked"),
+        "diag_island": F.when(F.col("is_cont"), 0).otherwise(1)})
+    d = d.select(*keys, "line_no", "line", "cls", "is_cont", "msg_island", "tb_island", "diag_island")
+    if materialize:
+        d = materialize_table(d, "islands")
+    src = source_file
+    chunks = drop_noise(messages_from_islands(d, max_snippet_len, keep), rules, source_file=src)
+    drain = representative_snippets(mine_templates(chunks.drop(*keep)), max_clusters)
+    diag = drop_noise(diagnostics_from_islands(d, keep), rules, source_file=src).select(
+        "artifact_id", "line_number", "text")
+    csgrep = representative_snippets(mine_templates(diag), max_clusters)
+    tb = tracebacks_from_islands(d, max_snippet_len, rules, keep, src).select("artifact_id", "line_number", "text")
+    parts = [("drain", drain), ("csgrep", csgrep), ("python_traceback", tb)]
+    out = None
+    for name, part in parts:
+        p = part.select("artifact_id", F.lit(name).alias("extractor"), "line_number", "text")
+        out = p if out is None else out.unionByName(p)
+    return out

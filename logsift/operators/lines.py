@@ -34,10 +34,21 @@ def assemble_messages(lines: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
     if max_len < C.MIN_SNIPPET_LEN:
         raise ValueError(f"Snippets must be at least {C.MIN_SNIPPET_LEN} chars long")
     keys = ["artifact_id", *keep]
-    ne = lines.filter(F.length("line") > 0).withColumn(
-        "start", starts_message("line").cast("int"))
-    ne = blocked_cumsum(ne, keys, ["line_no"], line_block("line_no"), {"island": F.col("start")})
-    grp = ne.groupBy(*keys, "island").agg(
+    ne = lines.filter(F.length("line") > 0).withColumn("msg_start", message_start_flag())
+    ne = blocked_cumsum(ne, keys, ["line_no"], line_block("line_no"), {"msg_island": F.col("msg_start")})
+    return messages_from_islands(ne, max_len, keep)
+
+
+def message_start_flag():
+    """1 on a non-empty line that starts a message, else 0 (empty lines never start one)."""
+    return F.when((F.length("line") > 0) & starts_message("line"), 1).otherwise(0)
+
+
+def messages_from_islands(d: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
+                          keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fold the non-empty lines of each ``msg_island`` into chunks (cut at ``max_len``)."""
+    keys = ["artifact_id", *keep]
+    grp = d.filter(F.length("line") > 0).groupBy(*keys, "msg_island").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     keep_n = max(max_len - len(C.TRUNCATED), 0)
     init = F.struct(F.lit("").alias("acc"), F.lit(0).cast("bigint").alias("start"),

@@ -31,23 +31,39 @@ def python_tracebacks(lines: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
                       keep: tuple[str, ...] = (), source_file: str | None = None) -> DataFrame:
     """``lines(artifact_id, line_no, line)`` -> ``(artifact_id, *keep, line_number, text)``."""
     keys = ["artifact_id", *keep]
-    blank = is_blank("line")
+    d = dense_prev(lines.withColumn("cls", traceback_class()), keys, "line_no", ["cls"])
+    d = d.withColumn("tb_unlinked", traceback_unlinked_flag())
+    d = blocked_cumsum(d.filter(F.col("cls") != "B"), keys, ["line_no"], line_block("line_no"),
+                       {"tb_island": F.col("tb_unlinked")})
+    return tracebacks_from_islands(d, max_len, rules, keep, source_file)
+
+
+def traceback_class():
+    """B blank, F frame (leading space/tab), S header, C chain sentence, E other."""
     rt = F.regexp_replace("line", RTRIM_RE, "")
-    cls = (F.when(blank, F.lit("B"))
-           .when(F.col("line").startswith(" ") | F.col("line").startswith("\t"), F.lit("F"))
-           .when(rt == C.TB_HEADER, F.lit("S"))
-           .when(rt.isin(C.TB_CHAIN), F.lit("C"))
-           .otherwise(F.lit("E")))
-    d = lines.withColumn("cls", cls)
-    # The previous *line* decides: blank -> only S/C continue a block; E -> only S/C continue;
-    # anything else (S, C, F) -> every non-blank line continues it.
-    d = dense_prev(d, keys, "line_no", ["cls"])
+    return (F.when(is_blank("line"), F.lit("B"))
+            .when(F.col("line").startswith(" ") | F.col("line").startswith("\t"), F.lit("F"))
+            .when(rt == C.TB_HEADER, F.lit("S"))
+            .when(rt.isin(C.TB_CHAIN), F.lit("C"))
+            .otherwise(F.lit("E")))
+
+
+def traceback_unlinked_flag():
+    """1 on a non-blank line that does not continue the block above it, 0 otherwise (and on
+    blank lines). The previous *line* decides: blank or E -> only S/C continue a block; S, C, F ->
+    every non-blank line continues it. Needs ``cls`` and ``prev_cls``."""
     linked = F.col("cls").isin("S", "C") | (F.col("prev_cls").isNotNull() & ~F.col("prev_cls").isin("E", "B"))
-    nb = d.filter(F.col("cls") != "B").withColumn("rt", rt).withColumn(
-        "unlinked", F.when(linked, 0).otherwise(1))
-    nb = blocked_cumsum(nb, keys, ["line_no"], line_block("line_no"), {"island": F.col("unlinked")})
+    return F.when(F.col("cls") == "B", 0).when(linked, 0).otherwise(1)
+
+
+def tracebacks_from_islands(d: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
+                            rules: Sequence = tuple(C.DEFAULT_NOISE_RULES), keep: tuple[str, ...] = (),
+                            source_file: str | None = None) -> DataFrame:
+    """One snippet per ``tb_island`` holding an exact header: from the header to the island end."""
+    keys = ["artifact_id", *keep]
+    nb = d.filter(F.col("cls") != "B").withColumn("rt", F.regexp_replace("line", RTRIM_RE, ""))
     exact = F.col("line") == C.TB_HEADER
-    grp = nb.groupBy(*keys, "island").agg(
+    grp = nb.groupBy(*keys, "tb_island").agg(
         F.min(F.when(exact, F.col("line_no"))).alias("line_number"),
         F.collect_list(F.struct("line_no", "rt")).alias("ls"))
     grp = grp.filter(F.col("line_number").isNotNull())

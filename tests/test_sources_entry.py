@@ -79,3 +79,20 @@ def test_cluster_conf_sizing():
     small = cluster_conf(1 << 30, executors=10)
     assert int(small["spark.sql.shuffle.partitions"]) == 80  # 2 x cores floor
     assert small["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_extract_fused_equals_separate(spark):
+    from logsift.operators.extract import extract_fused
+    from logsift.operators.lines import split_lines
+    from logsift.queries.mining import EXTRACTORS
+    import random
+    rnd = random.Random(4)
+    pieces = ["Traceback (most recent call last):", "  File \"a.py\", line 1, in f", "ValueError: x", "",
+              "a.c:3:1: error: nope", "   3 | x", "      ^", "took 12 ms", "|row", "INFO: x", "plain text"]
+    logs = ["\n".join(rnd.choice(pieces) for _ in range(rnd.randint(3, 40))) for _ in range(30)]
+    lines = split_lines(spark.createDataFrame(list(enumerate(logs)), "artifact_id long, text string"))
+    lines = lines.withColumn("source_file", F.when(F.col("artifact_id") % 3 == 0, F.lit("mock_output.log"))
+                             .otherwise(F.lit("build.log")))
+    sep = extract_all(lines.drop("source_file"), EXTRACTORS)
+    fused = extract_fused(lines, keep=("source_file",), source_file="source_file")
+    assert sorted(map(tuple, sep.collect())) == sorted(map(tuple, fused.collect()))

@@ -162,3 +162,11 @@ def task_status(lookups: DataFrame, tasks: DataFrame, now: dt.datetime,
               .when(deadline < _ts(now), F.lit("timed_out"))
               .otherwise(F.lit("in_progress")))
     return j.select("task_id", status.alias("status"))
+
+
+def to_time_series(long: DataFrame) -> DataFrame:
+    """``(metric, bucket, value)`` -> one row per metric with ``timestamps`` and ``values`` arrays
+    in bucket order (the response shape). A series holds at most the buckets of one period."""
+    g = long.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("s"))
+    return g.select("metric", F.transform("s", lambda x: x["bucket"]).alias("timestamps"),
+                    F.transform("s", lambda x: x["value"]).alias("values"))

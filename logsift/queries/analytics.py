@@ -609,3 +609,28 @@ p AS (SELECT f.build_id, min(c.build_id) AS newer_build_id FROM f JOIN c ON c.pa
 SELECT f.build_id, f.package_id, p.newer_build_id FROM f LEFT JOIN p USING (build_id)""")
 def q_fixed_later(spark, sf):
     return S.fixed_later(_builds(spark, sf), "2000-06-01", 200)
+
+
+@register("get_or_create_comments", FBV(",\n" + _INCOMING_SQL + """,
+inc AS (SELECT i.*, 'c' || CAST(i.job_id AS VARCHAR) AS comment_id, e.ts AS created_at
+        FROM incoming i JOIN events e ON e.event_id = i.id),
+newj AS (SELECT min(id) AS id, forge, project_id, mr_iid, job_id FROM inc i
+         WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.forge = i.forge AND j.project_id = i.project_id
+                           AND j.mr_iid = i.mr_iid AND j.job_id = i.job_id) GROUP BY 2, 3, 4, 5),
+jobs2 AS (SELECT * FROM jobs UNION ALL SELECT * FROM newj),
+cand AS (SELECT i.id, j2.id AS merge_request_job_id, i.forge, i.comment_id, i.created_at
+         FROM inc i JOIN jobs2 j2 ON j2.forge = i.forge AND j2.project_id = i.project_id
+              AND j2.mr_iid = i.mr_iid AND j2.job_id = i.job_id
+         WHERE NOT EXISTS (SELECT 1 FROM comments c WHERE c.forge = i.forge AND c.comment_id = i.comment_id)
+           AND j2.id NOT IN (SELECT merge_request_job_id FROM comments)),
+firstc AS (SELECT arg_min(id, id) AS id, merge_request_job_id, arg_min(forge, id) AS forge,
+                  arg_min(comment_id, id) AS comment_id, arg_min(created_at, id) AS created_at
+           FROM cand GROUP BY merge_request_job_id)
+SELECT * FROM comments UNION ALL SELECT * FROM firstc"""))
+def q_get_or_create_comments(spark, sf):
+    j, c, r = _fb(spark, sf)
+    e = _ev(spark, sf).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))
+    inc = _incoming(spark, sf).join(e, "id").withColumn(
+        "comment_id", F.concat(F.lit("c"), F.col("job_id").cast("string")))
+    _, comments2 = FB.get_or_create_comments(c, j, inc)
+    return ntz(comments2)

@@ -6,11 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, simhash
+from logsift.llm import bpe, secrets, simhash
 from logsift.llm.common import table
 from logsift.llm.registry import register
 
 
+@register("op5_secret_guess_cost")
+def op5_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = secrets.dictionary(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.with_secrets(docs, words)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "guess")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), number("guess"),
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans"))
+
+
 @register("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

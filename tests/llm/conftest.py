@@ -4,3 +4,8 @@ import pytest
 @pytest.fixture(scope="session")
 def sf_small():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf_mid():
+    return "/root/testdata/sf0.01"

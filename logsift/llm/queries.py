@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, secrets, simhash
+from logsift.llm import bpe, quality, secrets, simhash
 from logsift.llm.common import table
 from logsift.llm.registry import register
 
@@ -28,6 +28,48 @@ def op5_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+win AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+        FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM win) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY rid),
+m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+         length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters,
+         length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks,
+         coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_word
+  FROM d LEFT JOIN rep USING (rid)),
+f AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+          + (CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END)
+          + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END)
+          + (CASE WHEN 100 * n_upper > 50 * n_letters THEN 16 ELSE 0 END)
+          + (CASE WHEN 100 * n_marks > 50 * n_words THEN 32 ELSE 0 END)
+          + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 64 ELSE 0 END)
+          + (CASE WHEN longest_word > 1000 THEN 128 ELSE 0 END) AS bits
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed,
+       bits = 0 AS kept, bits::BIGINT AS failed
+FROM f"""
+
+
+@register("op6_quality_ledger", OP6_SQL)
+def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select(
+        "doc_id", *[f"measures.{m}" for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        (~quality.passes(quality.POLICIES["base"])).alias("base_failed"),
+        quality.passes(quality.POLICIES["v2"]).alias("kept"), "failed")
+
+
 @register("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

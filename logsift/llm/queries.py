@@ -6,11 +6,58 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, quality, secrets, simhash
+from logsift.llm import bpe, chat, mixing, quality, secrets, simhash
 from logsift.llm.common import table
 from logsift.llm.registry import register
 
 
+OP4_SQL = r"""
+WITH q AS (SELECT doc_id AS id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CASE WHEN q >= 1 THEN 1.0 WHEN q < 1 THEN 0.25 ELSE 0.5 END::DOUBLE AS quality
+  FROM documents LEFT JOIN q ON doc_id = id),
+k AS (
+  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '-') || ':' || size), 1, 13))::BIGINT + 1)
+                / 4503599627370496::DOUBLE) / quality AS key
+  FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM k GROUP BY source),
+f AS (
+  SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / w AS full_at,
+         row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST) AS k FROM s),
+l AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy FROM f),
+stop AS (SELECT k, rest, heavy FROM l WHERE rest / heavy <= full_at ORDER BY k LIMIT 1),
+t AS (
+  SELECT l.source, source_size, CASE WHEN stop.k IS NULL OR l.k < stop.k THEN most
+         ELSE least(most, stop.rest * w / stop.heavy) END AS target
+  FROM l LEFT JOIN stop ON true),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
+o AS (
+  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS need,
+         coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (size * (epochs + CASE WHEN size > 0 AND 2 * ahead + size <= 2 * need THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o"""
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the op4 query: sizes in words, quality weights from the labels."""
+    thin = mixing.sized(docs.select("doc_id", "source", "text")).drop("text")
+    return mixing.mix(mixing.quality_weights(thin, table(spark, sf_dir, "labels")))
+
+
+@register("op4_weighted_mix", OP4_SQL)
+def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.per_row(mixed_documents(spark, table(spark, sf_dir, "documents"), sf_dir))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                       (F.col("size") * F.col("times")).alias("taken"))
+
+
 @register("op5_secret_guess_cost")
 def op5_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = secrets.dictionary(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))

@@ -6,11 +6,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, mixing, quality, secrets, simhash
+from logsift.llm import bpe, chat, mixing, quality, secrets, simhash, urls
 from logsift.llm.common import table
 from logsift.llm.registry import register
 
 
+#: Host and path rules of the op3 query, and the first labels of hosts whose URLs it lists.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow"))
+LISTED_LABELS = ("spam-farm", "free-bets", "adult-x")
+
+OP3_SQL = r"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canon FROM h),
+listed AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '^(www\.)?(spam-farm|free-bets|adult-x)\.')),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+                            ('org', '/fr/', 'allow')) AS v(rh, rp, verdict)),
+m AS (SELECT c.*, (SELECT struct_pack(rule := rh || rp, verdict := verdict) FROM r
+                   WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+                   ORDER BY length(rh) DESC, length(rp) DESC LIMIT 1) AS best
+      FROM c)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN host <> '' AND canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END) AS verdict,
+       best IS NOT NULL OR (host <> '' AND canon IN (SELECT canon FROM listed)) AS listed
+FROM m"""
+
+
+@register("op3_url_bloom", OP3_SQL)
+def op3_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix rules, and as exact list the canonical URLs of all pages on hosts with a listed label."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict"), F.lit(h + p).alias("rule"))
+            for h, p, v in URL_RULES]
+    rules = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    label = "^(www\\.)?(" + "|".join(LISTED_LABELS) + ")\\."
+    listed = pages.select(urls.host_of("url").alias("host"), urls.path_of("url").alias("path")) \
+        .filter(F.col("host").rlike(label)).distinct().withColumn("verdict", F.lit("block"))
+    return urls.judge(pages, rules, listed)
+
+
 OP4_SQL = r"""
 WITH q AS (SELECT doc_id AS id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
 d AS (

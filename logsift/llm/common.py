@@ -22,16 +22,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only where the setting is absent
+    (local tests) a scratch folder is made, once for the session."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        d = tempfile.mkdtemp(prefix="llm-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d
+
 
-    Only where the setting is absent (local tests) a scratch folder is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="llm-checkpoint-")
-        sc.setCheckpointDir(d)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -149,26 +149,28 @@ def per_row(mixed: DataFrame) -> DataFrame:
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, good: float = 1.0, unknown: float = 0.5,
-                    poor: float = 0.25) -> DataFrame:
-    """``docs`` plus ``quality``: a weight by the document's quality label (several: the best)."""
+                    poor: float = 0.25, out: str = "quality") -> DataFrame:
+    """``docs`` plus ``out``: a weight by the document's quality label (several: the best)."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")) \
         .agg(F.max("quality").alias("__q"))
     return docs.join(known, docs["doc_id"] == known["__id"], "left").withColumn(
-        "quality", F.when(F.col("__q") >= 1, good).when(F.col("__q") < 1, poor).otherwise(unknown)).drop("__id", "__q")
+        out, F.when(F.col("__q") >= 1, good).when(F.col("__q") < 1, poor).otherwise(unknown)).drop("__id", "__q")
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
+def sized(docs: DataFrame, text: str = "text", out: str = "size") -> DataFrame:
+    """``docs`` plus the number of words of the whole text."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn("size", word_count(text))
+    return docs.withColumn(out, word_count(text))
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", size: str = "size",
                      source: str = "source") -> DataFrame:
     """Documents as often as the mix takes them (``docs`` must carry the size column it was given)."""
-    m = mixed.select(*[F.col(c).alias(f"__{c}") for c in ("id", "source", "size", "n_rows", "epochs", "extra")])
-    cond = _same(docs[id_col], m["__id"]) & _same(docs[source], m["__source"]) & (docs[size] == m["__size"])
+    m = mixed.filter("epochs > 0 or extra > 0").select(
+        *[F.col(c).alias(f"__m_{c}") for c in ("id", "source", "size")], *[F.col(c).alias(f"__{c}") for c in ("n_rows", "epochs", "extra")])
+    cond = _same(F.col(id_col), F.col("__m_id")) & _same(F.col(source), F.col("__m_source")) & (F.col(size) == F.col("__m_size"))
     out = docs.join(m, cond)
-    copies = Window.partitionBy("__id", "__source", "__size").orderBy(F.lit(0))
+    copies = Window.partitionBy("__m_id", "__m_source", "__m_size").orderBy(F.lit(0))
     whole = out.filter("__extra = 0 or __extra = __n_rows").withColumn(
         "__times", F.col("__epochs") + (F.col("__extra") > 0).cast("long"))
     # Some but not all of equal rows: at most one such class per source.
@@ -176,4 +178,4 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
         "__times", F.col("__epochs") + (F.row_number().over(copies) <= F.col("__extra")).cast("long"))
     out = whole.unionByName(part).filter("__times > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(
-        *[docs[c] for c in docs.columns if c != size])
+        *[c for c in docs.columns if c != size])

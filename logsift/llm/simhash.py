@@ -225,6 +225,20 @@ def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
     return dealt.groupBy("grp").applyInPandas(compare, "a long, b long")
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, threshold: int = 4,
+            seed: int = 42) -> DataFrame:
+    """``(id, fp, root, component_id)`` per row; root: smallest fingerprint of the row's group."""
+    marked = checkpoint(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")),
+                                         "text", "fp", shingle, seed).select("id", "fp"))
+    least = marked.groupBy("fp").agg(F.min("id").alias("id"))
+    roots = components(links(least, threshold))
+    placed = checkpoint(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+                        .select("fp", "id", F.coalesce("root", "fp").alias("root")))
+    first = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    return marked.join(placed.join(first, "root").select("fp", "root", "component_id"), "fp") \
+        .select("id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4,
                     threshold: int = 4, seed: int = 42) -> DataFrame:
     """``(id_col, fp, component_id)`` per row of ``docs``.
@@ -234,33 +248,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     that repeat an id are judged each by its text; a group whose ids are all null has component null.
     Other columns of ``docs`` are ignored, whatever their names; an empty table gives no rows.
     """
-    marked = checkpoint(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")),
-                                         "text", "fp", shingle, seed).select("id", "fp"))
-    least = marked.groupBy("fp").agg(F.min("id").alias("id"))
-    roots = components(links(least, threshold))
-    placed = checkpoint(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                        .select("fp", "id", F.coalesce("root", "fp").alias("root")))
-    first = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    class_of = placed.join(first, "root").select("fp", "component_id")
-    return marked.join(class_of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return grouped(docs, id_col, text, shingle, threshold, seed).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4,
                          threshold: int = 4, seed: int = 42) -> DataFrame:
-    """One document of each group stays: the one whose id names the group.
-
-    Rows without an id stay only where no row of their group has one, and repeated rows of the
-    staying id all stay but one: ties go to the smallest text hash, then to any of equal rows.
+    """One document of each group stays: that with the smallest id (of several texts under it, the one
+    with the smallest fingerprint). A row without an id stays only where no row of its group has one.
     """
-    groups = near_duplicates(docs, id_col, text, shingle, threshold, seed)
-    keep = groups.select(F.col("component_id").alias("__keep")).filter("__keep is not null").distinct()
-    named = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    orphans = groups.filter("component_id is null").select("fp").distinct()
-    if orphans.isEmpty():
-        return named
-    bare = with_fingerprint(docs.filter(F.col(id_col).isNull()), text, "__fp", shingle, seed)
-    roots = components(links(orphans, threshold))
-    bare = bare.join(roots.withColumnRenamed("node", "__fp"), "__fp", "left") \
-        .withColumn("__root", F.coalesce("root", "__fp")) \
-        .join(orphans.withColumnRenamed("fp", "__fp"), "__fp", "left_semi")
-    return named.unionByName(bare.dropDuplicates(["__root"]).select(*docs.columns))
+    rows = checkpoint(grouped(docs, id_col, text, shingle, threshold, seed))
+    stay = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("w")).select("w.id", "w.fp")
+    # An id tells its row apart unless it is null or repeated; those rows are told apart by their fingerprint, too.
+    vague = checkpoint(rows.groupBy("id").count().filter("count > 1 or id is null").select("id"))
+    plain = stay.join(vague, stay["id"].eqNullSafe(vague["id"]), "left_anti")
+    kept = docs.join(plain.select(F.col("id").alias("__id")), F.col(id_col) == F.col("__id"), "left_semi")
+    if vague.isEmpty():
+        return kept
+    odd = docs.join(vague.select(F.col("id").alias("__id")), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    odd = with_fingerprint(odd, text, "__fp", shingle, seed).dropDuplicates([id_col, "__fp"])
+    odd = odd.join(stay.select(F.col("id").alias("__id"), F.col("fp").alias("__f")),
+                   F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")), "left_semi")
+    return kept.unionByName(odd.drop("__fp"))

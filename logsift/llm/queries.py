@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, mixing, quality, secrets, simhash, toxicity, urls
+from logsift.llm import bpe, chat, mixing, neighbours, quality, secrets, simhash, toxicity, urls
 from logsift.llm.common import table
 from logsift.llm.registry import register
 
@@ -120,6 +120,12 @@ def op5_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
+@register("op8_collision_counting")
+def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors.select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,

@@ -6,11 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, mixing, neighbours, quality, secrets, simhash, toxicity, urls
+from logsift.llm import bpe, chat, html_text, mixing, neighbours, quality, secrets, simhash, toxicity, urls
 from logsift.llm.common import table
 from logsift.llm.registry import register
 
 
+@register("op1_html_layout")
+def op1_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return html_text.with_visible_text(pages).select(
+        "page_id", "text", F.length("text").cast("long").alias("n_chars"),
+        F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+
+
 @register("op2_toxicity_nnpu")
 def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -69,8 +69,8 @@ class Vocabulary:
         return cls(read_ranks(path), pattern)
 
 
-#: Matches a worker remembers, and the longest that it remembers (bounds its memory to about 60 MB).
-SEEN, SEEN_CHARS = 250_000, 40
+#: Matches a worker remembers, and the longest that it remembers (bounds its memory to about 30 MB).
+SEEN, SEEN_CHARS = 150_000, 40
 
 
 def _library(spec: str, cut):
@@ -85,18 +85,18 @@ def _library(spec: str, cut):
     return made
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _whole_texts(spec: str, pattern: str):
     from tokenizers import Regex, pre_tokenizers
     return _library(spec, [pre_tokenizers.Split(Regex(pattern), "isolated")])
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _matches(spec: str, pattern: str):
     return _library(spec, []), regex.compile(pattern), {}
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _byte_table(spec: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens' bytes one after another, and where each id's bytes start and how many they are."""
     byte_of = {c: b for b, c in enumerate(byte_characters())}
@@ -113,18 +113,26 @@ def encode_batch(texts: list[str], vocabulary: Vocabulary, offsets: bool = False
     if offsets:
         found = _whole_texts(vocabulary.spec, vocabulary.pattern).encode_batch(texts, add_special_tokens=False)
         return [e.ids for e in found], [e.offsets for e in found]
+    return [np.frombuffer(x, np.int32).tolist() for x in _packed(texts, vocabulary)], None
+
+
+def _packed(texts: list[str], vocabulary: Vocabulary) -> list[bytes]:
+    """Ids of each text as packed 32-bit integers."""
     run, pattern, seen = _matches(vocabulary.spec, vocabulary.pattern)
     cut = [pattern.findall(t) for t in texts]
     new = list(set(itertools.chain.from_iterable(cut)).difference(seen))
     if len(seen) + len(new) > SEEN:
         seen.clear()
         new = list(set(itertools.chain.from_iterable(cut)))
-    seen.update(zip(new, [e.ids for e in run.encode_batch_fast(new, add_special_tokens=False)]))
-    ids = [list(itertools.chain.from_iterable(map(seen.__getitem__, c))) for c in cut]
+    for at in range(0, len(new), 4096):
+        part = new[at:at + 4096]
+        seen.update((t, np.array(e.ids, np.int32).tobytes()) for t, e in zip(
+            part, run.encode_batch_fast(part, add_special_tokens=False)))
+    ids = [b"".join(map(seen.__getitem__, c)) for c in cut]
     for match in new:
         if len(match) > SEEN_CHARS:
             del seen[match]
-    return ids, None
+    return ids
 
 
 def decode_flat(ids: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +146,9 @@ def decode_flat(ids: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> tu
     return data[at], upto[ends]
 
 
-def _lists(items: list[list[int]], kind) -> pa.ListArray:
-    ends = np.cumsum([0] + [len(x) for x in items])
-    flat = np.fromiter((v for x in items for v in x), np.int32, ends[-1])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
+def _lists(items: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(x) // 4 for x in items])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(items), np.int32)))
 
 
 def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids",
@@ -154,14 +161,14 @@ def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out
     bounded_batches(docs.sparkSession)
 
     def ids_of(texts: pa.Array) -> pa.Array:
-        return _lists(encode_batch(texts.to_pylist(), vocabulary)[0], pa.int32())
+        return _lists(_packed(texts.to_pylist(), vocabulary))
 
     def both_of(texts: pa.Array) -> pa.Array:
         ids, spans = encode_batch(texts.to_pylist(), vocabulary, offsets=True)
         ends = pa.array(np.cumsum([0] + [len(x) for x in ids]), pa.int32())
         flat = np.array([p for s in spans for p in s], np.int32).reshape(-1, 2)
         pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
-        return pa.StructArray.from_arrays([_lists(ids, pa.int32()), pa.ListArray.from_arrays(ends, pairs)],
+        return pa.StructArray.from_arrays([_lists([np.array(x, np.int32).tobytes() for x in ids]), pa.ListArray.from_arrays(ends, pairs)],
                                           ["ids", "spans"])
 
     if not offsets:

@@ -18,7 +18,6 @@ the id). The class prior and the scores cover all rows.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import zlib
@@ -42,18 +41,24 @@ THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-@functools.lru_cache(maxsize=200_000)
+#: Words whose cells a worker remembers.
+SEEN = 100_000
+
+
 def _cells(word: str) -> tuple[int, ...]:
     """Hash cells of a word: itself and its first four and five letters."""
+    word = word[:64]
     forms = {"w" + word} | {f"{n}" + word[:n] for n in (4, 5) if len(word) >= n}
     return tuple(sorted(zlib.crc32(f.encode("utf-8", "surrogatepass")) % CELLS for f in forms))
 
 
+def _words(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
 def features(text: str) -> np.ndarray:
     """Distinct feature cells of a whole text, ascending."""
-    found: set[int] = set()
-    for word in set(_WORD.findall(text.lower())):
-        found.update(_cells(word if len(word) <= 64 else word[:64]))
+    found = {cell for word in _words(text) for cell in _cells(word)}
     return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
@@ -66,14 +71,26 @@ class Model:
     bias: float
     prior: float
 
-    def score(self, text: str) -> float:
-        """Probability-like score in (0, 1); a text without selected features gets the bias' score."""
-        x = features(text)
-        at = np.searchsorted(self.cells, x)
-        at = at[at < len(self.cells)] if len(self.cells) else at[:0]
-        hit = at[np.isin(self.cells[at], x)] if len(at) else at
-        z = float(self.weights[np.unique(hit)].sum()) + self.bias
-        return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, z))))
+    def scorer(self):
+        """Function from a text to its score in (0, 1). Of each word only the selected cells are
+        remembered (mostly none), for a bounded number of words."""
+        weight = dict(zip(self.cells.tolist(), self.weights.tolist()))
+        seen: dict[str, tuple[int, ...]] = {}
+
+        def score(text: str) -> float:
+            found: set[int] = set()
+            for word in _words(text):
+                cells = seen.get(word)
+                if cells is None:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    cells = tuple(c for c in _cells(word) if c in weight)
+                    if len(word) <= 64:
+                        seen[word] = cells
+                found.update(cells)
+            z = math.fsum(weight[c] for c in found) + self.bias
+            return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, z))))
+        return score
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -177,8 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     picked = counts.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("p") >= max(2, LEAST_SHARE * np_))).orderBy(F.desc("z"), "cell").limit(MOST_FEATURES)
     cells = np.sort(np.array([r.cell for r in picked.select("cell").collect()], np.int64))
     keep = F.array_intersect("cells", F.array(*[F.lit(int(c)) for c in cells])) if len(cells) else F.array().cast("array<int>")
-    rows = seen.select("positive", keep.alias("cells")).collect()  # bounded: samples times selected features
-    index = [(r.positive, np.searchsorted(cells, np.sort(np.array(r.cells, np.int64)))) for r in rows]
+    rows = seen.select("positive", F.array_sort(keep).alias("cells")).toArrow()  # bounded: samples times selected features
+    flags = rows["positive"].to_pylist()
+    index = [np.searchsorted(cells, np.array(x, np.int64)) for x in rows["cells"].to_pylist()]
+    index = list(zip(flags, index))
     weights, bias = fit([x for p, x in index if p], [x for p, x in index if not p], prior)
     return Model(cells, np.append(weights, np.zeros(len(cells) - len(weights))), bias, prior)
 
@@ -190,7 +209,8 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "sc
 
     @F.pandas_udf(DoubleType())
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score_one = model.scorer()
         for s in parts:
-            yield pd.Series([model.score(t) for t in s], dtype="float64")
+            yield pd.Series([score_one(t) for t in s], dtype="float64")
 
     return docs.withColumn(out, score(text_or_empty(text)))

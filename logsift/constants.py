@@ -110,5 +110,7 @@ ARCHIVE_DATE_RE = r"results-(?:since-)?(\d{4}-\d{2}-\d{2})"
 # ---------------------------------------------------------------------------
 # FIXED VALUES — enumerations
 # ---------------------------------------------------------------------------
-FORGES = ["https://gitlab.com", "http://gitlab.cee.redhat.com/"]
 ENDPOINTS = ["analyze", "analyze_gitlab_job", "analyze_koji_task"]
+
+# Defaults of the forge parameter; deployments pass their own list.
+FORGES = ["https://gitlab.com", "https://forge.example.com/"]

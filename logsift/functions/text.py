@@ -7,6 +7,8 @@ terminators to ``\\n`` as in Python.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -79,20 +81,19 @@ def noise_predicate(text: ColumnOrName, rules: Sequence[tuple[str, str, Sequence
                     source_file: ColumnOrName | None = None) -> Column:
     """True when any applicable rule matches the start of ``text``.
 
-    Rules without files apply everywhere; scoped rules only where ``source_file`` is one of the
-    files. Each rule stays a literal regex so it is compiled once per task.
+    Rules without files apply everywhere and share one alternation (rules with back references
+    keep a regex of their own); scoped rules apply only where ``source_file`` is one of the files.
     """
     t = _c(text)
     f = _c(source_file) if source_file is not None else None
-    pred = F.lit(False)
-    for _name, pattern, files in rules:
-        m = t.rlike(noise_regex(pattern))
-        if files:
-            if f is None:
-                continue
-            m = f.isin(list(files)) & m
-        pred = pred | m
-    return F.coalesce(pred, F.lit(False))
+    everywhere = [p for _, p, files in rules if not files]
+    joined = [p for p in everywhere if not re.search(r"\\[1-9k]|\(\?P?<[a-zA-Z]", p)]
+    alone = [p for p in everywhere if p not in joined]
+    hits = [t.rlike(noise_regex("|".join(f"(?:{p})" for p in joined)))] if joined else []
+    hits += [t.rlike(noise_regex(p)) for p in alone]
+    if f is not None:
+        hits += [f.isin(list(files)) & t.rlike(noise_regex(p)) for _, p, files in rules if files]
+    return F.coalesce(functools.reduce(lambda a, b: a | b, hits, F.lit(False)), F.lit(False))
 
 
 # --- O17 / O18 masks and tokens ---------------------------------------------------------------------
@@ -185,8 +186,9 @@ def is_eligible(name: ColumnOrName, allow: Sequence[str], deny: Sequence[str]) -
     return F.coalesce(allowed & ~denied, F.lit(False))
 
 
-def known_forge(forge: ColumnOrName) -> Column:
-    return F.coalesce(_c(forge).isin(C.FORGES), F.lit(False))
+def known_forge(forge: ColumnOrName, forges: Sequence[str] = tuple(C.FORGES)) -> Column:
+    """Whether the URL is one of the configured forges (a null is not)."""
+    return F.coalesce(_c(forge).isin(*forges), F.lit(False))
 
 
 def response_length(explanation: ColumnOrName) -> Column:

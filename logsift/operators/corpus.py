@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsift import constants as C
+from logsift.sources.batches import publish, read_batches, remove
+from logsift.sources.contributions import parse_contributions
 
-# Queries broadcast per pass: rows * dim * 4 bytes must stay below this bound.
-MAX_BROADCAST_BYTES = 64 << 20
-MAX_QUERIES_PER_PASS = 2048
+# Corpus rows and queries of one comparison task (bounds its memory), and distances held at once.
+CORPUS_BLOCK, QUERY_BLOCK, PAIRS_AT_ONCE = 16_384, 4_096, 1 << 22
 
 
 # --- O59a / O59b counts ------------------------------------------------------------------------------
@@ -43,26 +44,40 @@ def update_log_summary(updates: DataFrame) -> DataFrame:
 
 # --- O61 / O59b / O67 ingest -----------------------------------------------------------------------------
 
-def insert_new_builds(existing: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``batch(seq, source_path, fail_reason, how_to_fix, snippets)``: keep the first row per
-    ``source_path`` (lowest seq), drop paths already in ``existing(source_path)``.
-
-    Returns ``(new_builds, new_snippets)``; snippets only of builds really inserted."""
+def new_annotations(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """``batch(seq, source_path, fail_reason, how_to_fix, snippets)``: the first row per
+    ``source_path`` (lowest seq) whose path is not in ``existing(source_path)``, snippets nested."""
     first = batch.groupBy("source_path").agg(
-        F.min_by(F.struct("seq", "fail_reason", "how_to_fix", "snippets"), F.col("seq")).alias("b"))
-    first = first.select("source_path", "b.*")
-    new = first.join(existing.select("source_path"), "source_path", "left_anti")
-    builds = new.select("source_path", "seq", F.col("fail_reason").alias("problem"),
-                        F.col("how_to_fix").alias("solution"))
-    snippets = new.select("source_path", F.posexplode("snippets").alias("pos", "s")).select(
+        F.min_by(F.struct("seq", "fail_reason", "how_to_fix", "snippets"),
+                 F.struct("seq", F.xxhash64("fail_reason", "how_to_fix", "snippets"))).alias("b"))
+    return first.select("source_path", "b.*").join(existing.select("source_path"), "source_path", "left_anti")
+
+
+def builds_of(annotations: DataFrame) -> DataFrame:
+    return annotations.select("source_path", "seq", F.col("fail_reason").alias("problem"),
+                              F.col("how_to_fix").alias("solution"))
+
+
+def snippets_of(annotations: DataFrame) -> DataFrame:
+    return annotations.select("source_path", F.posexplode("snippets").alias("pos", "s")).select(
         "source_path", F.col("pos").cast("int").alias("pos"), F.col("s.log_name").alias("source_artifact_name"),
         F.col("s.text").alias("text"), F.col("s.user_comment").alias("annotation"))
-    return builds, snippets
+
+
+def insert_new_builds(existing: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(new_builds, new_snippets)`` of ``new_annotations``; snippets only of builds really inserted."""
+    new = new_annotations(existing, batch)
+    return builds_of(new), snippets_of(new)
 
 
 def run_report(batch: DataFrame, new_builds: DataFrame) -> DataFrame:
-    """One row: processed, added, snippets, skipped = processed - added (one aggregate)."""
-    marked = batch.join(new_builds.select("seq", F.lit(1).alias("added")), "seq", "left")
+    """One row: processed, added, snippets, skipped = processed - added.
+
+    Joined on path and seq, each pair once, so a seq that full and delta archive share counts once."""
+    added = new_builds.select("source_path", "seq").distinct().withColumn("added", F.lit(1))
+    once = batch.withColumn("__n", F.row_number().over(Window.partitionBy("source_path", "seq").orderBy(
+        F.xxhash64("fail_reason", "how_to_fix", "snippets"))))
+    marked = once.join(added, ["source_path", "seq"], "left").withColumn("added", F.when(F.col("__n") == 1, F.col("added")))
     return marked.agg(
         F.count(F.lit(1)).cast("bigint").alias("processed"),
         F.count("added").cast("bigint").alias("added"),
@@ -70,45 +85,86 @@ def run_report(batch: DataFrame, new_builds: DataFrame) -> DataFrame:
         .alias("snippets")).withColumn("skipped", F.col("processed") - F.col("added"))
 
 
-def write_annotations(builds: DataFrame, snippets: DataFrame, root: str, reset: bool = False,
+SNIPPET = "struct<log_name:string,text:string,user_comment:string,text_embedding:array<float>>"
+ANNOTATIONS = f"source_path string, seq long, fail_reason string, how_to_fix string, snippets array<{SNIPPET}>"
+UPDATES = "id long, file_count int, archive_date date"
+
+
+def annotated_builds(spark: SparkSession, root: str) -> DataFrame:
+    return builds_of(read_batches(spark, f"{root}/annotations", ANNOTATIONS))
+
+
+def annotated_snippets(spark: SparkSession, root: str) -> DataFrame:
+    """Snippets with their embedding, ready for the nearest-snippet lookups."""
+    rows = read_batches(spark, f"{root}/annotations", ANNOTATIONS)
+    return rows.select("source_path", F.posexplode("snippets").alias("pos", "s")).select(
+        F.xxhash64("source_path", "pos").alias("id"), "source_path", F.col("pos").cast("int").alias("pos"),
+        F.col("s.log_name").alias("source_artifact_name"), F.col("s.text").alias("text"),
+        F.col("s.user_comment").alias("annotation"), F.col("s.text_embedding").alias("text_embedding"))
+
+
+def with_embeddings(annotations: DataFrame, model=None) -> DataFrame:
+    """Annotations whose nested snippets carry the embedding of their text."""
+    flat = annotations.select("source_path", F.posexplode("snippets").alias("pos", "s")).select(
+        "source_path", "pos", "s", F.coalesce("s.text", F.lit("")).alias("text"))
+    told = embed(flat, "text", model=model).select("source_path", F.struct("pos", F.struct(
+        F.col("s.log_name").alias("log_name"), F.col("s.text").alias("text"), F.col("s.user_comment").alias("user_comment"),
+        F.col("text_embedding")).alias("s")).alias("p"))
+    nested = told.groupBy("source_path").agg(F.array_sort(F.collect_list("p")).alias("ps")).select(
+        "source_path", F.transform("ps", lambda p: p["s"]).alias("__snippets"))
+    return annotations.join(nested, "source_path", "left").select(
+        "source_path", F.col("seq").cast("long").alias("seq"), "fail_reason", "how_to_fix",
+        F.coalesce("__snippets", F.array().cast(f"array<{SNIPPET}>")).alias("snippets"))
+
+
+def write_annotations(new: DataFrame, root: str, batch_id: int, model=None, reset: bool = False,
                       dry_run: bool = False) -> DataFrame | None:
-    """Append (or with ``reset`` overwrite) the annotation tables under ``root``. ``dry_run``
-    writes nothing and returns the planned counts instead."""
+    """Embeds and publishes the rows of ``new_annotations`` as one batch, builds and snippets
+    together. ``reset`` removes what was there first; ``dry_run`` writes nothing and returns the planned
+    counts. Running it again with the same batch id leaves the same table."""
     if dry_run:
-        return builds.agg(F.count(F.lit(1)).cast("bigint").alias("builds")).join(
-            snippets.agg(F.count(F.lit(1)).cast("bigint").alias("snippets")), how="left")
-    mode = "overwrite" if reset else "append"
-    builds.write.mode(mode).parquet(f"{root}/annotated_builds")
-    snippets.write.mode(mode).parquet(f"{root}/annotated_snippets")
+        return new.agg(F.count(F.lit(1)).cast("bigint").alias("builds"),
+                       F.coalesce(F.sum(F.size("snippets")), F.lit(0)).cast("bigint").alias("snippets"))
+    if reset:
+        remove(new.sparkSession, f"{root}/annotations")
+    publish(with_embeddings(new, model), f"{root}/annotations", batch_id)
     return None
 
 
 def sync_annotations(spark: SparkSession, root: str, full: DataFrame | None, delta: DataFrame,
-                     last_date, archive_date) -> DataFrame:
-    """bootstrap = full archive then delta; later runs delta only. The update record is
-    written only when something was processed. Returns the run report."""
-    import os
-    builds_path = f"{root}/annotated_builds"
-    bootstrap = last_date is None
-    batch = delta if not bootstrap or full is None else full.unionByName(delta)
-    try:
-        existing = spark.read.parquet(builds_path).select("source_path")
-    except Exception:  # noqa: BLE001 - first run: no table yet
-        existing = spark.createDataFrame([], "source_path string")
-    new_builds, new_snippets = insert_new_builds(existing, batch)
-    new_builds = new_builds.checkpoint()
-    report = run_report(batch, new_builds).checkpoint()
+                     last_date, archive_date, model=None, today=None) -> DataFrame:
+    """bootstrap = full archive then delta; later runs delta only. Returns the run report.
+
+    ``full`` and ``delta`` hold parsed contributions, or raw ones ``(source_path, raw)`` that are
+    validated first. A stale archive (older than the limit, against ``today``) is an error. New builds
+    are embedded and published as one batch; its id follows from the update log, whose record is
+    written after it and only when something was processed. A run stopped in between is made good by
+    the next, which publishes the same batch again.
+    """
+    from logsift.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    if today is not None and (today - archive_date).days > C.ARCHIVE_MAX_AGE_DAYS:
+        raise ValueError(f"the archive of {archive_date} is older than {C.ARCHIVE_MAX_AGE_DAYS} days")
+
+    def parsed(df: DataFrame, part: int) -> DataFrame:
+        if "raw" in df.columns:
+            df = parse_contributions(df)[0].withColumn("seq", F.abs(F.xxhash64("source_path")) % F.lit(1 << 40))
+        return df.withColumn("seq", F.lit(part << 48) + F.col("seq"))  # the full archive comes first
+
+    batch = parsed(delta, 1)
+    if last_date is None and full is not None:
+        batch = parsed(full, 0).unionByName(batch)
+    batch = batch.checkpoint()
+    updates = read_batches(spark, f"{root}/annotation_updates", UPDATES)
+    number = (updates.agg(F.max("id")).first()[0] or 0) + 1
+    existing = read_batches(spark, f"{root}/annotations", ANNOTATIONS, before=number)
+    new = new_annotations(existing, batch).checkpoint()
+    report = run_report(batch, new).checkpoint()
+    write_annotations(new, root, number, model)
     processed = report.first()["processed"]
-    write_annotations(new_builds, new_snippets, root)
     if processed:
-        upd_path = os.path.join(root, "annotation_updates")
-        try:
-            last_id = spark.read.parquet(upd_path).agg(F.max("id")).first()[0] or 0
-        except Exception:  # noqa: BLE001 - first record
-            last_id = 0
-        upd = spark.createDataFrame([(int(last_id) + 1, int(processed), archive_date)],
-                                    "id long, file_count int, archive_date date")
-        upd.write.mode("append").parquet(upd_path)
+        record = spark.createDataFrame([(number, int(processed), archive_date)], UPDATES)
+        publish(record, f"{root}/annotation_updates", number)
     return report
 
 
@@ -170,72 +226,52 @@ def nearest_snippets(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_D
                      max_k: int | None = C.NEAREST_MAX_K) -> DataFrame:
     """Exact top-k corpus rows per query: ``(query_id, id, distance, rank)``.
 
-    Queries with a blank ``text_col`` give no rows. The query matrix is broadcast in passes of
-    at most ``MAX_BROADCAST_BYTES``; each corpus partition keeps its k best per query.
+    Queries with a blank ``text_col`` give no rows; null vectors take no part, and vectors meet those
+    of their own dimension. Blocks of queries meet blocks of corpus rows in tasks of bounded size, and
+    each task keeps every row within rounding of its k-th distance; the ranking of these few rows is by
+    distances in the JVM, ties by id. No side passes through the driver.
     """
     _check_k(k, max_k)
-    qvec_col = qvec_col or vec_col
-    q = queries
-    if text_col:
-        q = q.filter(F.trim(F.col(text_col)) != "")
-    q = q.select(F.col(qid).alias("qid"), F.col(qvec_col).alias("qv"))
-    dim_row = corpus.select(F.size(vec_col).alias("d")).limit(1).collect()
-    if not dim_row:
-        return queries.sparkSession.createDataFrame([], f"{qid} bigint, {cid} bigint, distance double, rank int")
-    dim = int(dim_row[0]["d"])
-    n_q = q.count()
-    # Broadcast bound, and a bound on the (queries x batch rows) distance block per task.
-    per_pass = max(1, min(MAX_BROADCAST_BYTES // max(1, dim * 4 + 16), MAX_QUERIES_PER_PASS))
-    keep = 2 * k + 2  # margin so float rounding of the fast pre-selection cannot drop a true top-k row
-    n_pass = max(1, -(-n_q // per_pass))
-    spark = queries.sparkSession
-    sc = spark.sparkContext
-    c = corpus.select(F.col(cid).alias("cid"), F.col(vec_col).alias("cv"))
-    out_schema = "qid bigint, cid bigint, distance double"
-    parts = []
-    qb = q.withColumn("__pass", (F.abs(F.xxhash64("qid")) % n_pass).cast("int")) if n_pass > 1 else q
-    for p in range(n_pass):
-        qp = qb.filter(F.col("__pass") == p) if n_pass > 1 else qb
-        rows = qp.select("qid", "qv").collect()  # bounded: at most per_pass rows of dim floats
-        if not rows:
-            continue
-        ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        mat = np.array([r["qv"] for r in rows], dtype=np.float64)
-        bc = sc.broadcast((ids, mat))
-
-        def topk(batches, bc=bc, keep=keep):
-            qids, qm = bc.value
-            best_d = np.full((len(qids), 0), np.inf)
-            best_i = np.zeros((len(qids), 0), dtype=np.int64)
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                cm = np.stack(pdf["cv"].to_numpy()).astype(np.float64)
-                cids = pdf["cid"].to_numpy(dtype=np.int64)
-                d2 = (qm * qm).sum(1)[:, None] + (cm * cm).sum(1)[None, :] - 2.0 * qm @ cm.T
-                d = np.sqrt(np.maximum(d2, 0.0))
-                best_d = np.concatenate([best_d, d], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(cids, d.shape)], axis=1)
-                if best_d.shape[1] > 4 * keep:
-                    order = np.lexsort((best_i, best_d), axis=1)[:, :keep]
-                    best_d = np.take_along_axis(best_d, order, 1)
-                    best_i = np.take_along_axis(best_i, order, 1)
-            if best_d.shape[1] == 0:
-                return
-            order = np.lexsort((best_i, best_d), axis=1)[:, :keep]
-            best_d = np.take_along_axis(best_d, order, 1)
-            best_i = np.take_along_axis(best_i, order, 1)
-            yield pd.DataFrame({"qid": np.repeat(qids, best_d.shape[1]), "cid": best_i.ravel(),
-                                "distance": best_d.ravel()})
-
-        parts.append(c.mapInPandas(topk, out_schema))
-    if not parts:
-        return spark.createDataFrame([], f"{qid} bigint, {cid} bigint, distance double, rank int")
-    cand = parts[0]
-    for extra in parts[1:]:
-        cand = cand.unionByName(extra)
-    # Re-rank exactly in the JVM (float64 distance from the stored float vectors).
-    cand = cand.join(c, "cid").join(q, "qid").withColumn("distance", l2(F.col("cv"), F.col("qv")))
+    q = queries.filter(F.trim(F.col(text_col)) != "") if text_col else queries
+    q = q.select(F.col(qid).alias("qid"), F.col(qvec_col or vec_col).alias("v")).filter("v is not null")
+    c = corpus.select(F.col(cid).alias("cid"), F.col(vec_col).alias("v")).filter("v is not null")
+    nq, nc = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // CORPUS_BLOCK))
+    spread_q = q.select(F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("a"),
+                        F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("b"), F.size("v").alias("dim"),
+                        F.lit(True).alias("query"), F.col("qid").cast("bigint").alias("id"), "v")
+    spread_c = c.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"),
+                        F.pmod(F.xxhash64("cid"), F.lit(nc)).cast("int").alias("b"), F.size("v").alias("dim"),
+                        F.lit(False).alias("query"), F.col("cid").cast("bigint").alias("id"), "v")
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, rows = pdf[pdf["query"]], pdf[~pdf["query"]]
+        out = []
+        if len(asked) and len(rows):
+            cm = np.stack(rows["v"].to_numpy()).astype(np.float64)
+            cids = rows["id"].to_numpy(np.int64)
+            same = np.unique(cm, axis=0, return_inverse=True)[1].reshape(-1)
+            size = (cm * cm).sum(axis=1)
+            ids = asked["id"].to_numpy(np.int64)
+            step, kth = max(1, PAIRS_AT_ONCE // len(cm)), min(k, len(cm)) - 1
+            for at in range(0, len(ids), step):
+                qm = np.stack(asked["v"].iloc[at:at + step].to_numpy()).astype(np.float64)
+                own = (qm * qm).sum(axis=1)
+                d2 = own[:, None] + size[None, :] - 2.0 * qm @ cm.T
+                # Rounding of these sums stays far below 1e-11 of the squared lengths: all that may be among
+                # the k nearest is kept.
+                reach = np.partition(d2, kth, axis=1)[:, kth] + 1e-11 * (own + size.max())
+                i, j = np.nonzero(d2 <= reach[:, None])
+                # Equal vectors tie exactly, so of each only the k smallest ids can be ranked.
+                order = np.lexsort((cids[j], same[j], i))
+                i, j = i[order], j[order]
+                group = i.astype(np.int64) * len(cm) + same[j]
+                near = np.arange(len(i)) - np.searchsorted(group, group) < k
+                out.append(pd.DataFrame({"qid": ids[at:at + step][i[near]], "cid": cids[j[near]]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": np.empty(0, np.int64), "cid": np.empty(0, np.int64)})
+
+    found = spread_q.union(spread_c).groupBy("a", "b", "dim").applyInPandas(top, "qid bigint, cid bigint")
+    cand = found.join(c.withColumnRenamed("v", "cv"), "cid").join(q.withColumnRenamed("v", "qv"), "qid") \
+        .withColumn("distance", l2(F.col("cv"), F.col("qv")))
     w = Window.partitionBy("qid").orderBy("distance", "cid")
     ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias(qid), F.col("cid").alias(cid), "distance", "rank")
@@ -243,17 +279,60 @@ def nearest_snippets(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_D
 
 def nearest_snippets_approx(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_DEFAULT_K,
                             qid: str = "query_id", cid: str = "id", vec_col: str = "text_embedding",
-                            bucket_length: float = 2.0, num_tables: int = 4, threshold: float = 1.5) -> DataFrame:
-    """Approximate top-k via random-projection LSH (stands in for an HNSW index), exact re-rank
-    of the candidate pairs found within ``threshold``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    a = corpus.select(F.col(cid).alias("cid"), array_to_vector(F.col(vec_col)).alias("v"))
-    b = queries.select(F.col(qid).alias("qid"), array_to_vector(F.col(vec_col)).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=7).fit(a)
-    pairs = lsh.approxSimilarityJoin(b, a, threshold, distCol="distance").select(
-        F.col("datasetA.qid").alias("qid"), F.col("datasetB.cid").alias("cid"), "distance")
+                            centres: int | None = None, probes: int = 8, sample: int = 20_000, seed: int = 7) -> DataFrame:
+    """Approximate top-k over an inverted file of centroids (stands in for an HNSW index).
+
+    Centroids (by default the square root of the number of rows) are fitted on a bounded sample;
+    every row is listed under its nearest centroid and every query looks into the ``probes`` nearest
+    lists, ranked exactly. A query whose lists hold fewer than k rows is answered by the exact lookup, so
+    each gets k rows where there are as many. ``probe_quality`` measures recall and candidate share.
+    """
+    c = corpus.select(F.col(cid).alias("cid"), F.col(vec_col).alias("cv")).filter("cv is not null")
+    q = queries.select(F.col(qid).alias("qid"), F.col(vec_col).alias("qv")).filter("qv is not null")
+    n = c.count()
+    if not n:
+        return queries.sparkSession.createDataFrame([], f"{qid} bigint, {cid} bigint, distance double, rank int")
+    fitted = _centroids(c, centres or max(1, min(4096, int(n ** 0.5))), min(sample, n), n, seed)
+    pairs = _probed(q, c, fitted, probes).withColumn("distance", l2(F.col("cv"), F.col("qv")))
     w = Window.partitionBy("qid").orderBy("distance", "cid")
     top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("qid").alias(qid), F.col("cid").alias(cid), "distance", "rank")
+    top = top.select(F.col("qid").alias(qid), F.col("cid").alias(cid), "distance", "rank")
+    enough = top.groupBy(qid).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, n)).select(qid)
+    few = queries.join(enough, qid, "left_anti")
+    exact = nearest_snippets(few, corpus, k, qid, cid, vec_col, max_k=None)
+    return top.join(enough, qid, "left_semi").unionByName(exact)
+
+
+def _centroids(c: DataFrame, number: int, sample: int, n: int, seed: int) -> np.ndarray:
+    """k-means over a bounded sample (chosen by a hash of the id); the sample alone reaches the driver."""
+    part = c.filter(F.pmod(F.xxhash64(F.lit(seed), "cid"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n)))
+    rows = np.array([r["cv"] for r in part.orderBy("cid").select("cv").collect()] or [c.first()["cv"]], dtype=np.float64)
+    centre = rows[np.random.default_rng(seed).permutation(len(rows))[:number]]
+    for _ in range(8):
+        own = ((centre * centre).sum(1)[None, :] - 2.0 * rows @ centre.T).argmin(axis=1)
+        count = np.bincount(own, minlength=len(centre))
+        total = np.zeros_like(centre)
+        np.add.at(total, own, rows)
+        centre = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centre)
+    return centre
+
+
+def _probed(q: DataFrame, c: DataFrame, centre: np.ndarray, probes: int) -> DataFrame:
+    """Pairs ``(qid, qv, cid, cv)`` of queries with the rows in their nearest lists."""
+    @F.pandas_udf("array<int>")
+    def lists(v: pd.Series, m: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        take = min(int(m.iloc[0]), len(centre))
+        d = (centre * centre).sum(1)[None, :] - 2.0 * x @ centre.T
+        return pd.Series(list(np.argpartition(d, take - 1, axis=1)[:, :take].astype(np.int32)))
+
+    rows = c.withColumn("list", lists("cv", F.lit(1))[0])
+    asked = q.withColumn("list", F.explode(lists("qv", F.lit(probes))))
+    return asked.join(rows, "list")
+
+
+def probe_quality(approx: DataFrame, exact: DataFrame, qid: str = "query_id", cid: str = "id") -> DataFrame:
+    """One row: recall of the approximate result against the exact one."""
+    hit = exact.join(approx.select(qid, cid, F.lit(1).alias("hit")), [qid, cid], "left")
+    return hit.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"),
+                   (F.count("hit") / F.count(F.lit(1))).alias("recall"))

@@ -42,25 +42,27 @@ def remaining_artifacts(artifacts: DataFrame, done: DataFrame, key: str | Sequen
     return artifacts.join(done, key, "left_anti")
 
 
-def attach_analysis(snippets: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Attach ``analyses(analysis_id, source_file, line_number, snippet_analysis)`` to
-    ``snippets(source_file, line_number, ...)`` on (source_file, line_number).
+def attach_analysis(snippets: DataFrame, analyses: DataFrame,
+                    within: Sequence[str] = ("request_id",)) -> tuple[DataFrame, DataFrame]:
+    """Attach ``analyses(*within, analysis_id, source_file, line_number, snippet_analysis)`` to
+    ``snippets(*within, source_file, line_number, ...)`` on file and line of the same request.
 
     The first analysis (lowest id) of a snippet wins. Returns ``(analysed, rejects)``; rejects
     carry ``reason`` in {unknown_file, unknown_line, already_analyzed}.
     """
-    keys = ["source_file", "line_number"]
+    file = [*within, "source_file"]
+    keys = [*file, "line_number"]
     known = analyses.join(snippets.select(*keys).distinct(), keys, "left_semi")
     # min_by aggregates partially before the shuffle: a snippet with very many analyses is fine.
     first = known.groupBy(*keys).agg(
         F.min_by(F.struct(*[c for c in analyses.columns if c not in keys]), F.col("analysis_id")).alias("a"))
     first = first.select(*keys, "a.*")
     analysed = snippets.join(first.drop("analysis_id"), keys, "left")
-    files = snippets.select("source_file").distinct()
-    unknown_file = analyses.join(files, "source_file", "left_anti") \
+    files = snippets.select(*file).distinct()
+    unknown_file = analyses.join(files, file, "left_anti") \
         .select("analysis_id", F.lit("unknown_file").alias("reason"))
-    unknown_line = analyses.join(files, "source_file", "left_semi") \
-        .join(snippets.select("source_file", "line_number").distinct(), ["source_file", "line_number"], "left_anti") \
+    unknown_line = analyses.join(files, file, "left_semi") \
+        .join(snippets.select(*keys).distinct(), keys, "left_anti") \
         .select("analysis_id", F.lit("unknown_line").alias("reason"))
     repeat = known.join(first.select("analysis_id"), "analysis_id", "left_anti") \
         .select("analysis_id", F.lit("already_analyzed").alias("reason"))

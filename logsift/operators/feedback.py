@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsift import constants as C
 from logsift.functions.text import known_forge
 
 JOB_KEY = ["forge", "project_id", "mr_iid", "job_id"]
@@ -106,9 +107,10 @@ def comments_for_forge(comments: DataFrame, jobs: DataFrame, forge: str, since:
     return comments_with_jobs(c, jobs)
 
 
-def split_known_forges(df: DataFrame, col: str = "forge") -> tuple[DataFrame, DataFrame]:
-    """Rows of known forges and the rest."""
-    ok = known_forge(col)
+def split_known_forges(df: DataFrame, col: str = "forge",
+                       forges: Sequence[str] = tuple(C.FORGES)) -> tuple[DataFrame, DataFrame]:
+    """Rows of the configured forges and the rest."""
+    ok = known_forge(col, forges)
     return df.filter(ok), df.filter(~ok)
 
 
@@ -130,27 +132,101 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def _settle(candidates: DataFrame, uniques: Sequence[Sequence[str]]) -> DataFrame:
+    """Adds ``accepted``: rows taken in id order, each only if none of its keys is taken yet.
+
+    Rounds instead of a sequential scan: a row that comes first under all its keys is taken, rows that
+    share a key with a taken one fall out, and the rest go on until no row is left. A round is cut by
+    a reliable checkpoint; rows without conflicts (nearly all) are settled in the first.
+    """
+    from logsift.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(candidates.sparkSession)
+    left, done = candidates.checkpoint(), None
+    while True:
+        first = left
+        for i, key in enumerate(uniques):
+            least = left.groupBy(*key).agg(F.min("id").alias(f"__first{i}"))
+            first = first.join(least, list(key))
+        ok = F.lit(True)
+        for i in range(len(uniques)):
+            ok = ok & (F.col("id") == F.col(f"__first{i}"))
+        taken = first.filter(ok).select(*candidates.columns).dropDuplicates(["id"]).checkpoint()
+        rest = left.join(taken.select("id"), "id", "left_anti")
+        clash = F.lit(False)
+        for i, key in enumerate(uniques):
+            rest = rest.join(taken.select(*key).distinct().withColumn(f"__hit{i}", F.lit(True)), list(key), "left")
+            clash = clash | F.col(f"__hit{i}").isNotNull()
+        rest = rest.withColumn("__clash", clash).checkpoint()
+        settled = taken.withColumn("accepted", F.lit(True)).unionByName(
+            rest.filter("__clash").select(*candidates.columns).withColumn("accepted", F.lit(False)))
+        done = settled if done is None else done.unionByName(settled)
+        left = rest.filter("not __clash").select(*candidates.columns)
+        if left.isEmpty():
+            return done
+
+
+def merge_jobs(jobs: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs after adding those of ``incoming(id, forge, project_id, mr_iid, job_id)`` that are
+    new, and the rejected rows ``(id, reason)``.
+
+    A job is unique per (forge, job_id). A row that repeats a known job as it is adds nothing and is
+    no reject; one that names a known (forge, job_id) under another project or merge request is. The
+    lowest id wins inside the batch.
+    """
+    known = incoming.join(jobs.select(*JOB_KEY), JOB_KEY, "left_anti")
+    new = known.groupBy(*JOB_KEY).agg(F.min("id").alias("id"))
+    taken = new.join(jobs.select("forge", "job_id"), ["forge", "job_id"], "left_anti")
+    first = taken.groupBy("forge", "job_id").agg(F.min_by(F.struct("id", "project_id", "mr_iid"), "id").alias("j"))
+    added = first.select("j.id", "forge", "j.project_id", "j.mr_iid", "job_id")
+    after = jobs.unionByName(added.select(*jobs.columns))
+    rejects = incoming.join(after.select(*JOB_KEY), JOB_KEY, "left_anti").select(
+        "id", F.lit("job belongs to another merge request").alias("reason"))
+    return after, rejects
+
+
 def get_or_create_jobs(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Add jobs of ``incoming(id, forge, project_id, mr_iid, job_id)`` that are new; first
-    occurrence (lowest id) wins inside the batch."""
-    new = incoming.join(jobs.select(*JOB_KEY), JOB_KEY, "left_anti")
-    new = new.groupBy(*JOB_KEY).agg(F.min("id").alias("id"))
-    return jobs.unionByName(new.select(*jobs.columns))
+    """The jobs of ``merge_jobs``."""
+    return merge_jobs(jobs, incoming)[0]
 
 
-def get_or_create_comments(comments: DataFrame, jobs: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_comments(comments: DataFrame, jobs: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A comment implies its job. ``incoming`` has JOB_KEY + (id, comment_id, created_at).
-    Returns (jobs, comments) after the merge; existing (forge, comment_id) pairs are kept."""
-    jobs2 = get_or_create_jobs(jobs, incoming.select("id", *JOB_KEY))
+
+    Returns jobs and comments after the merge and the rejects ``(id, reason)``. Comments are unique
+    per (forge, comment_id) and per job: known ones stay, of the incoming the lowest id wins, the
+    others are rejected.
+    """
+    jobs2, bad_jobs = merge_jobs(jobs, incoming.select("id", *JOB_KEY))
     ids = jobs2.select(F.col("id").alias("merge_request_job_id"), *JOB_KEY)
-    cand = incoming.join(ids, JOB_KEY).select(
-        "id", "merge_request_job_id", "forge", "comment_id", "created_at")
-    cand = cand.join(comments.select("forge", "comment_id"), ["forge", "comment_id"], "left_anti") \
+    named = incoming.join(ids, JOB_KEY).select("id", "merge_request_job_id", "forge", "comment_id", "created_at")
+    free = named.join(comments.select("forge", "comment_id"), ["forge", "comment_id"], "left_anti") \
         .join(comments.select("merge_request_job_id"), "merge_request_job_id", "left_anti")
-    first = cand.groupBy("merge_request_job_id").agg(
-        F.min_by(F.struct("id", "forge", "comment_id", "created_at"), F.col("id")).alias("c"))
-    new = first.select(F.col("c.id").alias("id"), "merge_request_job_id", "c.forge", "c.comment_id", "c.created_at")
-    return jobs2, comments.unionByName(new.select(*comments.columns))
+    settled = _settle(free, (["forge", "comment_id"], ["merge_request_job_id"]))
+    new = settled.filter("accepted")
+    same = named.join(comments.select("forge", "comment_id", "merge_request_job_id"),
+                      ["forge", "comment_id", "merge_request_job_id"], "left_semi")
+    bad = named.join(new.select("id"), "id", "left_anti").join(same.select("id"), "id", "left_anti").select(
+        "id", F.lit("comment or its job is taken").alias("reason"))
+    return jobs2, comments.unionByName(new.select(*comments.columns)), bad_jobs.unionByName(bad)
+
+
+def get_or_create_comments(comments: DataFrame, jobs: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs and comments of ``merge_comments``."""
+    return merge_comments(comments, jobs, incoming)[:2]
+
+
+def latest_snapshots(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(snapshot, fetched)`` for ``sync_reactions`` out of ``(comment_id, snapshot_time, reactions
+    array<struct<reaction_type, cnt>>)``: the newest snapshot of each comment counts as a whole, and a
+    comment whose newest snapshot is empty or null is fetched all the same, so its rows go. Snapshots of
+    one time: the one with more reaction types; a type repeated inside a snapshot counts by its maximum.
+    """
+    latest = batch.filter("comment_id is not null").groupBy("comment_id").agg(F.max_by(
+        F.coalesce("reactions", F.array().cast("array<struct<reaction_type:string,cnt:bigint>>")),
+        F.struct("snapshot_time", F.size("reactions"), F.xxhash64("reactions"))).alias("reactions"))
+    rows = latest.select("comment_id", F.explode("reactions").alias("r")).groupBy(
+        "comment_id", F.col("r.reaction_type").alias("reaction_type")).agg(F.max("r.cnt").cast("bigint").alias("cnt"))
+    return rows, latest.select("comment_id")
 
 
 def latest_comment(comments: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -80,11 +80,11 @@ def select_failed_subtask(tasks: DataFrame, requested: DataFrame) -> tuple[DataF
 
 def failed_log_of_task(faults: DataFrame, outputs: DataFrame, max_size: int) -> DataFrame:
     """``faults(task_id, fault)``, ``outputs(task_id, name, size)`` -> ``(task_id, log_name,
-    status)``: the log named in the fault (first ``\\w*.log``), else the fault text itself as
-    ``task_failed.log``; status ok / missing / too_large / fault_text."""
+    status, log_text)``: the log named in the fault (first ``\\w*.log``), else the fault text itself as
+    ``task_failed.log`` (``log_text`` holds it); status ok / missing / too_large / fault_text."""
     named = F.regexp_extract("fault", C.FAILED_LOG_NAME_RE, 1)
     f = faults.select("task_id", F.when(named == "", F.lit("task_failed.log")).otherwise(named).alias("log_name"),
-                      (named == "").alias("from_fault"))
+                      (named == "").alias("from_fault"), "fault")
     o = outputs.select("task_id", F.col("name").alias("log_name"), "size")
     anyo = outputs.select("task_id").distinct().withColumn("has_output", F.lit(True))
     j = f.join(o, ["task_id", "log_name"], "left").join(anyo, "task_id", "left")
@@ -93,12 +93,22 @@ def failed_log_of_task(faults: DataFrame, outputs: DataFrame, max_size: int) ->
               .when(F.col("size").isNull(), F.lit("missing"))
               .when(F.col("size") > max_size, F.lit("too_large"))
               .otherwise(F.lit("ok")))
-    return j.select("task_id", "log_name", status.alias("status"))
+    return j.select("task_id", "log_name", status.alias("status"), F.when(F.col("from_fault"), F.col("fault")).alias("log_text"))
 
 
 def version_key(v: Column) -> Column:
-    """Numeric version segments as ``array<bigint>`` (compared lexicographically)."""
-    return F.transform(F.filter(F.split(v, "[^0-9]+"), lambda s: s != ""), lambda s: s.cast("bigint"))
+    """Sort key of a package version: ``array<string>``, compared element by element.
+
+    Runs of digits and runs of letters are segments, all other characters only separate. Each
+    segment starts with its rank: ``~`` sorts before the end of a version, the end before ``^``,
+    then letters (by character), then numbers (by value, of any length). A null version is empty.
+    """
+    digits = lambda s: F.regexp_replace(s, "^0+(?=[0-9])", "")
+    segments = F.regexp_extract_all(F.coalesce(v, F.lit("")), F.lit("([0-9]+|[A-Za-z]+|~|\\^)"), 1)
+    ranked = F.transform(segments, lambda s: F.when(s == "~", F.lit("0")).when(s == "^", F.lit("2"))
+                         .when(s.rlike("^[0-9]"), F.concat(F.lit("4"), F.lpad(F.length(digits(s)).cast("string"), 10, "0"), digits(s)))
+                         .otherwise(F.concat(F.lit("3"), s)))
+    return F.concat(ranked, F.array(F.lit("1")))
 
 
 def fixed_later(builds: DataFrame, after: str, n: int = 200) -> DataFrame:

@@ -554,10 +554,11 @@ ou AS (SELECT event_id AS task_id, 'build.log' AS name, CAST(json_extract_string
        FROM events WHERE event_type = 'error' AND event_id % 4 <> 0),
 j AS (SELECT fa.task_id, CASE WHEN regexp_extract(fault, '(\\w*\\.log)', 1) = '' THEN 'task_failed.log'
              ELSE regexp_extract(fault, '(\\w*\\.log)', 1) END AS log_name,
-             regexp_extract(fault, '(\\w*\\.log)', 1) = '' AS from_fault FROM fa)
+             regexp_extract(fault, '(\\w*\\.log)', 1) = '' AS from_fault, fault FROM fa)
 SELECT j.task_id, j.log_name,
   CASE WHEN from_fault THEN 'fault_text' WHEN NOT EXISTS (SELECT 1 FROM ou WHERE ou.task_id = j.task_id) THEN 'missing'
-       WHEN o.size IS NULL THEN 'missing' WHEN o.size > 60000 THEN 'too_large' ELSE 'ok' END AS status
+       WHEN o.size IS NULL THEN 'missing' WHEN o.size > 60000 THEN 'too_large' ELSE 'ok' END AS status,
+  CASE WHEN from_fault THEN fault END AS log_text
 FROM j LEFT JOIN ou o ON o.task_id = j.task_id AND o.name = j.log_name""")
 def q_failed_log_of_task(spark, sf):
     e = _ev(spark, sf).filter(F.col("event_type") == "error")

@@ -258,51 +258,59 @@ def q_remaining(spark, sf):
                                table(spark, sf, "labels").select("doc_id"), "doc_id")
 
 
+def _snippets(spark, sf):
+    """Documents as snippets: the language is the request, few file names occur in every request."""
+    return table(spark, sf, "documents").select(
+        F.col("lang").alias("request_id"), F.concat(F.lit("log"), (F.col("doc_id") % 5).cast("string")).alias("source_file"),
+        F.floor(F.col("doc_id") / 25).cast("bigint").alias("line_number"), "n_chars")
+
+
 def _analyses(spark, sf):
-    lab = table(spark, sf, "labels")
-    a = lab.select(F.col("doc_id").alias("analysis_id"),
-                   F.concat(F.lit("src"), (F.col("doc_id") % 23).cast("string")).alias("source_file"),
-                   F.col("doc_id").alias("line_number"),
+    lab = table(spark, sf, "labels").filter(F.col("doc_id") % 11 != 0)
+    at = [F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "xx")]), (F.col("doc_id") % 4 + 1).cast("int")).alias("request_id"),
+          F.concat(F.lit("log"), (F.col("doc_id") % 6).cast("string")).alias("source_file"),
+          F.floor(F.col("doc_id") / 25).cast("bigint").alias("line_number")]
+    a = lab.select(F.col("doc_id").alias("analysis_id"), *at,
                    F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("snippet_analysis"))
-    again = lab.filter(F.col("toxic") == 1).select(
-        (F.col("doc_id") + 1_000_000_000).alias("analysis_id"),
-        F.concat(F.lit("src"), (F.col("doc_id") % 23).cast("string")).alias("source_file"),
-        F.col("doc_id").alias("line_number"), F.lit("toxic").alias("snippet_analysis"))
+    again = lab.filter(F.col("toxic") == 1).select((F.col("doc_id") + 1_000_000_000).alias("analysis_id"), *at,
+                                                   F.lit("toxic").alias("snippet_analysis"))
     return a.unionByName(again)
 
 
-_ANALYSES_SQL = """
-WITH a AS (SELECT doc_id AS analysis_id, 'src' || CAST(doc_id % 23 AS VARCHAR) AS source_file,
-                  doc_id AS line_number, 'quality ' || CAST(quality AS VARCHAR) AS snippet_analysis FROM labels
-           UNION ALL
-           SELECT doc_id + 1000000000, 'src' || CAST(doc_id % 23 AS VARCHAR), doc_id, 'toxic' FROM labels WHERE toxic = 1),
-s AS (SELECT source AS source_file, doc_id AS line_number, n_chars FROM documents),
-k AS (SELECT a.* FROM a WHERE EXISTS (SELECT 1 FROM s WHERE s.source_file = a.source_file AND s.line_number = a.line_number)),
-f AS (SELECT source_file, line_number, arg_min(analysis_id, analysis_id) AS analysis_id,
-             arg_min(snippet_analysis, analysis_id) AS snippet_analysis FROM k GROUP BY 1, 2)
+_AT_SQL = """['en', 'de', 'fr', 'xx'][CAST(doc_id % 4 AS INTEGER) + 1] AS request_id,
+           'log' || CAST(doc_id % 6 AS VARCHAR) AS source_file, CAST(doc_id // 25 AS BIGINT) AS line_number"""
+
+_ANALYSES_SQL = f"""
+WITH l AS (SELECT * FROM labels WHERE doc_id % 11 <> 0),
+a AS (SELECT doc_id AS analysis_id, {_AT_SQL}, 'quality ' || CAST(quality AS VARCHAR) AS snippet_analysis FROM l
+      UNION ALL
+      SELECT doc_id + 1000000000, {_AT_SQL}, 'toxic' FROM l WHERE toxic = 1),
+s AS (SELECT lang AS request_id, 'log' || CAST(doc_id % 5 AS VARCHAR) AS source_file,
+             CAST(doc_id // 25 AS BIGINT) AS line_number, n_chars FROM documents),
+k AS (SELECT a.* FROM a WHERE EXISTS (SELECT 1 FROM s WHERE s.request_id = a.request_id AND s.source_file = a.source_file
+                                      AND s.line_number = a.line_number)),
+f AS (SELECT request_id, source_file, line_number, min(analysis_id) AS analysis_id,
+             arg_min(snippet_analysis, analysis_id) AS snippet_analysis FROM k GROUP BY 1, 2, 3)
 """
 
 
 @register("attach_analysis_documents", _ANALYSES_SQL + """
-SELECT s.source_file, s.line_number, s.n_chars, f.snippet_analysis FROM s LEFT JOIN f USING (source_file, line_number)""")
+SELECT request_id, source_file, line_number, s.n_chars, f.snippet_analysis
+FROM s LEFT JOIN f USING (request_id, source_file, line_number)""")
 def q_attach(spark, sf):
-    s = table(spark, sf, "documents").select(F.col("source").alias("source_file"),
-                                             F.col("doc_id").alias("line_number"), "n_chars")
-    analysed, _ = attach_analysis(s, _analyses(spark, sf))
+    analysed, _ = attach_analysis(_snippets(spark, sf), _analyses(spark, sf))
     return analysed
 
 
 @register("attach_analysis_rejects", _ANALYSES_SQL + """
-SELECT analysis_id, 'unknown_file' AS reason FROM a WHERE source_file NOT IN (SELECT source_file FROM s)
+SELECT analysis_id, 'unknown_file' AS reason FROM a WHERE (request_id, source_file) NOT IN (SELECT (request_id, source_file) FROM s)
 UNION ALL
-SELECT analysis_id, 'unknown_line' FROM a WHERE source_file IN (SELECT source_file FROM s)
-  AND NOT EXISTS (SELECT 1 FROM s WHERE s.source_file = a.source_file AND s.line_number = a.line_number)
+SELECT analysis_id, 'unknown_line' FROM a WHERE (request_id, source_file) IN (SELECT (request_id, source_file) FROM s)
+  AND NOT EXISTS (SELECT 1 FROM s WHERE s.request_id = a.request_id AND s.source_file = a.source_file AND s.line_number = a.line_number)
 UNION ALL
 SELECT analysis_id, 'already_analyzed' FROM k WHERE analysis_id NOT IN (SELECT analysis_id FROM f)""")
 def q_attach_rejects(spark, sf):
-    s = table(spark, sf, "documents").select(F.col("source").alias("source_file"),
-                                             F.col("doc_id").alias("line_number"), "n_chars")
-    _, rejects = attach_analysis(s, _analyses(spark, sf))
+    _, rejects = attach_analysis(_snippets(spark, sf), _analyses(spark, sf))
     return rejects
 
 

@@ -228,9 +228,9 @@ SELECT request_id, doc_id, CAST({BUDGET} - request_size - before AS BIGINT) AS r
 FROM u""")
 def q_budget(spark, sf):
     d = table(spark, sf, "documents").select(
-        F.col("source").alias("request_id"), "doc_id", F.col("n_chars").alias("size"),
+        F.col("source").alias("request_id"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"),
         (F.col("doc_id") % 2 == 0).alias("is_url"))
-    return admit_by_request_budget(d, BUDGET).select("request_id", "doc_id", "remaining_limit", "admitted")
+    return admit_by_request_budget(d, BUDGET).select("request_id", F.col("pos").alias("doc_id"), "remaining_limit", "admitted")
 
 
 @register("validate_pages", f"""

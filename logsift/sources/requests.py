@@ -46,7 +46,7 @@ def validate_artifacts(a: DataFrame, max_files: int = C.MAX_FILES_PER_REQUEST) -
 
 
 def admit_by_request_budget(files: DataFrame, limit: int) -> DataFrame:
-    """Per URL file of a request ``(request_id, doc_id, size, is_url)``: the cap that remains
+    """Per URL file of a request ``(request_id, pos, size, is_url)``: the cap that remains
     (``limit - request_size - earlier URL sizes``) and whether it is admitted.
 
     Inline files are already part of the request size. Sizes are non-negative, so the first
@@ -56,9 +56,9 @@ def admit_by_request_budget(files: DataFrame, limit: int) -> DataFrame:
     req = files.groupBy("request_id").agg(
         F.sum(F.when(~F.col("is_url"), F.col("size")).otherwise(0)).alias("request_size"))
     urls = files.filter(F.col("is_url"))
-    urls = blocked_cumsum(urls, ["request_id"], ["doc_id"], line_block("doc_id"),
+    urls = blocked_cumsum(urls, ["request_id"], ["pos"], line_block("pos"),
                           {"before": F.col("size")}, inclusive=False)
     rem = F.lit(limit) - F.col("request_size") - F.col("before")
     return urls.join(req, "request_id").select(
-        "request_id", "doc_id", "size", rem.cast("bigint").alias("remaining_limit"),
+        "request_id", "pos", "size", rem.cast("bigint").alias("remaining_limit"),
         ((rem > 0) & (F.col("size") <= rem)).alias("admitted"))

@@ -1,5 +1,5 @@
 """The blocked scans with tiny blocks: every boundary case (halo lag, per-block offsets, islands
-spanning blocks) must give the same result as the sequential models."""
+spanning blocks) must give the same result as one block does."""
 
 import random
 
@@ -10,8 +10,13 @@ from logsift.operators.lines import assemble_messages, split_lines
 from logsift.operators.tracebacks import python_tracebacks
 from logsift.plans import scan
 
-from test_lines import sequential_chunks
-from test_tracebacks import model as tb_model
+
+def same_in_one_block(spark, logs, run):
+    """Rows of ``run`` over the logs, which must not depend on the block size."""
+    d = spark.createDataFrame(list(enumerate(logs)), "artifact_id long, text string")
+    small = sorted(tuple(r) for r in run(split_lines(d)).collect())
+    scan.LINE_BLOCK = 1 << 16
+    assert small and small == sorted(tuple(r) for r in run(split_lines(d)).collect())
 
 
 @pytest.fixture(params=[2, 3, 7])
@@ -27,32 +32,18 @@ def _logs(seed, pieces, n=40):
 
 def test_chunks_across_blocks(spark, tiny_blocks):
     logs = _logs(11, ["msg", " cont", "|bar", "", "\tTab", "x" * 60, "word word word"])
-    d = spark.createDataFrame(list(enumerate(logs)), "artifact_id long, text string")
-    got = {}
-    for r in assemble_messages(split_lines(d), 100).collect():
-        got.setdefault(r["artifact_id"], []).append((r["line_number"], r["text"]))
-    for i, text in enumerate(logs):
-        assert sorted(got.get(i, [])) == sorted(sequential_chunks(text, 100)), text
+    same_in_one_block(spark, logs, lambda lines: assemble_messages(lines, 100))
 
 
 def test_tracebacks_across_blocks(spark, tiny_blocks):
     from logsift import constants as C
     logs = _logs(12, [C.TB_HEADER, C.TB_CHAIN[0], "", "  frame", "Err: x", "plain"])
-    d = spark.createDataFrame(list(enumerate(logs)), "artifact_id long, text string")
-    got = {}
-    for r in python_tracebacks(split_lines(d), rules=()).collect():
-        got.setdefault(r["artifact_id"], []).append((r["line_number"], r["text"]))
-    for i, text in enumerate(logs):
-        assert sorted(got.get(i, [])) == tb_model(text), text
+    same_in_one_block(spark, logs, lambda lines: python_tracebacks(lines, rules=()))
 
 
 def test_compiler_errors_across_blocks(spark, tiny_blocks):
     logs = _logs(13, ["a.c:1:2: error: bad", "   1 | x", "      ^", "other", "ld: error: y", ""])
-    d = spark.createDataFrame(list(enumerate(logs)), "artifact_id long, text string")
-    with_blocks = sorted(tuple(r) for r in compiler_errors(split_lines(d)).collect())
-    scan.LINE_BLOCK = 1 << 16
-    one_block = sorted(tuple(r) for r in compiler_errors(split_lines(d)).collect())
-    assert with_blocks == one_block and with_blocks
+    same_in_one_block(spark, logs, compiler_errors)
 
 
 def test_blocked_prev_sparse_positions(spark, tiny_blocks):

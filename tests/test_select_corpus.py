@@ -4,8 +4,11 @@ import datetime as dt
 import json
 import os
 
+import pytest
+
 from logsift.operators import corpus as K
 from logsift.operators import select as S
+from logsift.sources.batches import read_batches
 from logsift.sources.contributions import archive_date, parse_contributions, read_contributions
 
 
@@ -48,7 +51,9 @@ def test_failed_log_of_task(spark):
                                     (4, "see build.log")], "task_id long, fault string")
     outs = spark.createDataFrame([(1, "build.log", 10), (3, "build.log", 5), (4, "build.log", 10**9)],
                                  "task_id long, name string, size long")
-    got = {r["task_id"]: (r["log_name"], r["status"]) for r in S.failed_log_of_task(faults, outs, 1000).collect()}
+    rows = S.failed_log_of_task(faults, outs, 1000).collect()
+    assert {r["task_id"]: r["log_text"] for r in rows if r["log_text"]} == {2: "no log here"}
+    got = {r["task_id"]: (r["log_name"], r["status"]) for r in rows}
     assert got == {1: ("build.log", "ok"), 2: ("task_failed.log", "fault_text"), 3: ("root.log", "missing"),
                    4: ("build.log", "too_large")}
 
@@ -114,11 +119,12 @@ def test_insert_new_builds_and_report(spark, tmp_path):
     rep = K.run_report(batch, builds).first()
     assert (rep["processed"], rep["added"], rep["snippets"], rep["skipped"]) == (4, 2, 3, 2)
     root = str(tmp_path / "ann")
-    planned = K.write_annotations(builds, snippets, root, dry_run=True).first()
+    new = K.new_annotations(existing, batch)
+    planned = K.write_annotations(new, root, 1, dry_run=True).first()
     assert (planned["builds"], planned["snippets"]) == (2, 3) and not os.path.exists(root)
-    K.write_annotations(builds, snippets, root)
-    K.write_annotations(builds, snippets, root, reset=True)
-    assert spark.read.parquet(root + "/annotated_builds").count() == 2
+    for reset in (False, True, False):  # the same batch again replaces itself
+        K.write_annotations(new, root, 1, reset=reset)
+        assert K.annotated_builds(spark, root).count() == 2 and K.annotated_snippets(spark, root).count() == 3
 
 
 def test_sync_annotations_bootstrap_then_delta(spark, tmp_path):
@@ -131,13 +137,65 @@ def test_sync_annotations_bootstrap_then_delta(spark, tmp_path):
     assert (r1["processed"], r1["added"]) == (3, 2)
     r2 = K.sync_annotations(spark, root, full, delta, dt.date(2024, 5, 1), dt.date(2024, 5, 2)).first()
     assert (r2["processed"], r2["added"]) == (2, 0)
-    upd = spark.read.parquet(root + "/annotation_updates")
+    upd = read_batches(spark, root + "/annotation_updates", K.UPDATES)
     s = K.update_log_summary(upd).first()
     assert s["total_files"] == 5 and s["latest_archive"] == dt.date(2024, 5, 2)
     empty = K.update_log_summary(spark.createDataFrame([], "id long, file_count int, archive_date date")).first()
     assert empty["total_files"] == 0 and empty["latest_archive"] is None
 
 
+def test_sync_stopped_between_writes_is_made_good(spark, tmp_path, monkeypatch):
+    snip = "array<struct<log_name:string,text:string,user_comment:string>>"
+    schema = f"seq long, source_path string, fail_reason string, how_to_fix string, snippets {snip}"
+    delta = spark.createDataFrame([(1, "p1", "r", "f", [("l", "linker failed on x", "c"), ("l", "disk is full", "d")])], schema)
+    root, day = str(tmp_path / "corpus"), dt.date(2024, 5, 1)
+    whole = K.publish
+    with monkeypatch.context() as m:
+        m.setattr(K, "publish", lambda df, path, n: whole(df, path, n) if "updates" not in path else (_ for _ in ()).throw(OSError()))
+        with pytest.raises(OSError):
+            K.sync_annotations(spark, root, None, delta, None, day)
+    report = K.sync_annotations(spark, root, None, delta, None, day).first()
+    assert (report["processed"], report["added"], report["snippets"]) == (1, 1, 2)
+    found = K.annotated_snippets(spark, root)
+    assert found.count() == 2 and K.annotated_builds(spark, root).count() == 1
+    query = K.embed(spark.createDataFrame([(1, "the disk is full")], "query_id long, text string"))
+    best = K.nearest_snippets(query, found, 1).join(found, "id").first()
+    assert best["annotation"] == "d"
+    with pytest.raises(ValueError):
+        K.sync_annotations(spark, root, None, delta, day, day, today=dt.date(2025, 1, 1))
+
+
+def test_sync_of_raw_contributions(spark, tmp_path):
+    _write_tree(str(tmp_path / "in"))
+    raw = read_contributions(spark, str(tmp_path / "in"))
+    report = K.sync_annotations(spark, str(tmp_path / "out"), raw, raw.limit(0), None, dt.date(2024, 5, 1)).first()
+    assert (report["added"], report["snippets"]) == (1, 2)
+
+
+def test_version_order(spark):
+    rising = ["", "1.0~rc1", "1.0~rc2", "1.0", "1.0^git1", "1.0a", "1.0b", "1.0.0", "1.0.1", "1.2", "1.10", "2a", "2.0",
+              "10", "1" + "0" * 30]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rising)] + [(99, "0001.02"), (98, None)], "i long, v string")
+    got = [r["i"] for r in df.filter("i < 90").withColumn("k", S.version_key(df["v"])).orderBy("k").collect()]
+    assert got == list(range(len(rising)))
+    same = df.withColumn("k", S.version_key(df["v"]))
+    key = {r["i"]: r["k"] for r in same.collect()}
+    assert key[99] == key[9] and key[98] == key[0]
+
+
+def test_analysis_stays_in_its_request(spark):
+    from logsift.operators.extract import attach_analysis
+    snippets = spark.createDataFrame([(1, "build.log", 12), (2, "build.log", 12), (2, "root.log", 3)],
+                                     "request_id long, source_file string, line_number long")
+    analyses = spark.createDataFrame([(1, 1, "build.log", 12, "a"), (2, 2, "build.log", 12, "b"), (3, 2, "build.log", 12, "c"),
+                                      (4, 1, "root.log", 3, "d"), (5, 2, "root.log", 4, "e")],
+                                     "analysis_id long, request_id long, source_file string, line_number long, snippet_analysis string")
+    done, rejects = attach_analysis(snippets, analyses)
+    assert sorted((r["request_id"], r["source_file"], r["snippet_analysis"]) for r in done.collect()) == [
+        (1, "build.log", "a"), (2, "build.log", "b"), (2, "root.log", None)]
+    assert {r["analysis_id"]: r["reason"] for r in rejects.collect()} == {3: "already_analyzed", 4: "unknown_file", 5: "unknown_line"}
+
+
 def test_archive_date(spark):
     d = spark.createDataFrame([("results-2024-05-01.tar.gz",), ("results-since-2024-04-30.tar.gz",), ("x.tgz",)],
                               "n string")
@@ -158,8 +216,12 @@ def test_nearest(spark):
         want = [int(i) for i in np.lexsort((np.arange(200), d))[:3]]
         assert [r["id"] for r in sorted((r for r in got if r["query_id"] == qid), key=lambda r: r["rank"])] == want
     assert not [r for r in got if r["query_id"] == 1000]  # blank query -> no rows
-    approx = K.nearest_snippets_approx(q, c, 3, threshold=10.0).collect()
-    assert len(approx) > 0
-    import pytest
+    approx = K.nearest_snippets_approx(q, c, 3, probes=6)
+    assert approx.groupBy("query_id").count().filter("count = 3").count() == 20
+    exact = K.nearest_snippets(q, c, 3)
+    assert K.probe_quality(approx, exact).first()["recall"] >= 0.8
+    copies = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(500)] + [(900, [0.0, 1.0])], "id long, text_embedding array<float>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, text_embedding array<float>")
+    assert [r["id"] for r in K.nearest_snippets(one, copies, 3).orderBy("rank").collect()] == [0, 1, 2]
     with pytest.raises(ValueError):
         K.nearest_snippets(q, c, 4)

@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from logsift.operators.corpus import annotated_builds, annotated_snippets
 from logsift.operators.lines import assemble_messages, split_lines
 from logsift.plans.views import request_metrics
 from logsift.streaming import ops as S
@@ -54,6 +55,12 @@ def test_pair_requests(spark, tmp_path):
     matched = {r["id"]: r["response_length"] for r in got.filter(F.col("response_sent_at").isNotNull()).collect()}
     want = {r["id"]: r["response_length"] for r in resp.collect()}
     assert matched == want
+    # Requests without a response come out with nulls once the watermark has passed their time.
+    last = rm.agg(F.max("request_received_at")).first()[0]
+    settled = {r["id"] for r in rm.filter(F.col("response_sent_at").isNull()
+                                          & (F.col("request_received_at") < F.lit(last - dt.timedelta(hours=1)))).collect()}
+    empty = {r["id"] for r in got.filter(F.col("response_sent_at").isNull()).collect()}
+    assert settled and settled <= empty and not empty & set(want)
 
 
 def test_collapse_bursts(spark, tmp_path):
@@ -77,23 +84,55 @@ def test_live_messages_equal_batch(spark, tmp_path):
     lines.filter(F.col("line_no") > 4).unionByName(eof).write.parquet(src + "/p2")
     st = spark.readStream.schema(lines.schema).option("recursiveFileLookup", "true") \
         .option("maxFilesPerTrigger", 1).parquet(src)
-    got = run_stream(S.live_messages(st, 100, idle_ms=None), "s6")
+    got = run_stream(S.live_messages(st, 100), "s6")
     want = assemble_messages(lines, 100)
     key = lambda d: sorted((r["line_number"], r["text"]) for r in d.collect())
-    assert key(got) == key(want)
+    assert key(got) == key(want) and not got.filter("late").count()
+
+
+def test_live_messages_mark_late_lines(spark, tmp_path):
+    src = str(tmp_path / "lines")
+    schema = "artifact_id long, line_no long, line string"
+    for k, rows in enumerate(([(1, 1, "one"), (1, 4, " four")], [(1, 2, "two"), (1, 5, "five"), (1, 9, None)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/p{k}")
+    st = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src)
+    got = sorted((r["line_number"], r["text"], r["late"]) for r in run_stream(S.live_messages(st, 100), "s6late").collect())
+    assert got == [(1, "one\n four", False), (2, "two", True), (5, "five", False)]
+
+
+SNAPSHOTS = "comment_id long, snapshot_time timestamp, reactions array<struct<reaction_type string, cnt long>>"
 
 
 def test_reaction_sync_sink(spark, tmp_path):
     root = str(tmp_path / "reactions")
-    os.makedirs(root)
     sink = S.reaction_sync_sink(root)
-    b1 = spark.createDataFrame([(1, "up", 2), (2, "down", 1)], "comment_id long, reaction_type string, cnt long")
-    b2 = spark.createDataFrame([(1, "heart", 1)], "comment_id long, reaction_type string, cnt long")
-    sink(b1, 0)
-    sink(b2, 1)
-    sink(b2, 1)  # replay of the same epoch
-    cur = open(os.path.join(root, "CURRENT")).read().strip()
-    assert sorted(map(tuple, spark.read.parquet(cur).collect())) == [(1, "heart", 1), (2, "down", 1)]
+    t = lambda h: dt.datetime(2024, 5, 1, h)
+    table = lambda: sorted(map(tuple, S.read_reactions(spark, root).collect()))
+    sink(spark.createDataFrame([(1, t(1), [("up", 2), ("heart", 1)]), (1, t(2), [("up", 3)]), (2, t(1), [("down", 1)]),
+                                (3, t(1), [("up", 1)])], SNAPSHOTS), 0)
+    assert table() == [(1, "up", 3), (2, "down", 1), (3, "up", 1)]  # the newer snapshot counts as a whole
+    second = spark.createDataFrame([(1, t(3), [("heart", 1)]), (2, t(3), [])], SNAPSHOTS)
+    for _ in range(2):  # a replay of the same batch
+        sink(second, 1)
+        assert table() == [(1, "heart", 1), (3, "up", 1)]
+    sink(spark.createDataFrame([(3, t(4), None)], SNAPSHOTS), 2)
+    sink(spark.createDataFrame([], SNAPSHOTS), 3)
+    assert table() == [(1, "heart", 1)]
+
+
+def test_reaction_batch_stopped_before_its_manifest(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "reactions")
+    sink = S.reaction_sync_sink(root)
+    at = dt.datetime(2024, 5, 1)
+    sink(spark.createDataFrame([(1, at, [("up", 1)])], SNAPSHOTS), 0)
+    change = spark.createDataFrame([(1, at, [("down", 5)])], SNAPSHOTS)
+    with monkeypatch.context() as m:
+        m.setattr(S.batches, "publish", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        with __import__("pytest").raises(OSError):
+            sink(change, 1)
+    assert sorted(map(tuple, S.read_reactions(spark, root).collect())) == [(1, "up", 1)]
+    sink(change, 1)
+    assert sorted(map(tuple, S.read_reactions(spark, root).collect())) == [(1, "down", 5)]
 
 
 def test_contribution_ingest_stream(spark, tmp_path):
@@ -111,5 +150,7 @@ def test_contribution_ingest_stream(spark, tmp_path):
                 F.col("value").alias("raw"))
     run_stream(raw, "s5", foreach=S.contribution_ingest_sink(root))
     run_stream(raw, "s5b", foreach=S.contribution_ingest_sink(root))  # a second run over the same files
-    got = sorted(r["source_path"] for r in spark.read.parquet(root + "/annotated_builds").collect())
+    got = sorted(r["source_path"] for r in annotated_builds(spark, root).collect())
     assert got == ["results/results/a.json", "results/results/b.json"]
+    snippets = annotated_snippets(spark, root)
+    assert snippets.count() == 2 and snippets.filter(F.size("text_embedding") == 384).count() == 2

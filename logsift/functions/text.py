@@ -107,6 +107,16 @@ def _mask_guard(pattern: str, tag: str) -> str | None:
     return C.MASK_GUARDS.get(tag)
 
 
+def _mask_guard_regex(pattern: str, tag: str) -> str | None:
+    """A cheap regex found in every text that ``pattern`` matches: without the look-behind alternation
+    that the rule tries at each character. None: the rule has no such guard."""
+    if tag == "NUM":
+        return "(?U)\\d"
+    if tag == "SEQ":
+        return "[0-9a-f]{6} [0-9a-f]{6}" if "0-9a-f" in pattern else "[0-9A-F]{4} [0-9A-F]{4}"
+    return None
+
+
 def mask(text: ColumnOrName, rules: Iterable[tuple[str, str]] = C.MASK_RULES) -> Column:
     """Apply the mask rules in order (one regex pass per rule)."""
     out = _c(text)
@@ -127,9 +137,9 @@ def mask_column(df, text_col: str, out_col: str, rules: Iterable[tuple[str, str]
     for pattern, tag in rules:
         rep = F.regexp_replace(F.col(out_col), F.lit("(?dU)" + pattern),
                                F.lit(C.MASK_PREFIX + tag + C.MASK_SUFFIX))
-        guard = _mask_guard(pattern, tag)
-        d = d.withColumn(out_col, rep if guard is None else
-                         F.when(F.instr(F.col(text_col), guard) > 0, rep).otherwise(F.col(out_col)))
+        guard, regex = _mask_guard(pattern, tag), _mask_guard_regex(pattern, tag)
+        needed = F.instr(F.col(text_col), guard) > 0 if guard else F.col(text_col).rlike(regex) if regex else None
+        d = d.withColumn(out_col, rep if needed is None else F.when(needed, rep).otherwise(F.col(out_col)))
     return d
 
 

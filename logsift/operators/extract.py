@@ -19,7 +19,7 @@ def extract_all(lines: DataFrame, extractors: dict[str, Callable[[DataFrame], Da
     as a Parquet table under the cluster's checkpoint folder, so the upstream (file scan,
     decode, split, numbering shuffle) runs once instead of once per extractor."""
     if materialize and len(extractors) > 1:
-        lines = materialize_table(lines, "lines")
+        lines = materialize_table(lines)
     out = None
     for name, fn in extractors.items():
         part = fn(lines).select("artifact_id", F.lit(name).alias("extractor"), "line_number", "text")
@@ -27,14 +27,12 @@ def extract_all(lines: DataFrame, extractors: dict[str, Callable[[DataFrame], Da
     return out
 
 
-def materialize_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to ``<spark.checkpoint.dir>/tables/<name>-<uuid>`` and read it back
-    (cuts lineage on shared, reliable storage; a lost executor re-reads, never recomputes)."""
-    import uuid
+def materialize_table(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder: written once, read by all that follows, and
+    removed with the last reference (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
     from logsift.session import ensure_checkpoint_dir
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def remaining_artifacts(artifacts: DataFrame, done: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -98,7 +96,7 @@ def extract_fused(lines: DataFrame, max_clusters: int = 8, max_snippet_len: int
         "diag_island": F.when(F.col("is_cont"), 0).otherwise(1)})
     d = d.select(*keys, "line_no", "line", "cls", "is_cont", "msg_island", "tb_island", "diag_island")
     if materialize:
-        d = materialize_table(d, "islands")
+        d = materialize_table(d)
     src = source_file
     chunks = drop_noise(messages_from_islands(d, max_snippet_len, keep), rules, source_file=src)
     drain = representative_snippets(mine_templates(chunks.drop(*keep)), max_clusters)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,31 +62,38 @@ def _in_period(df: DataFrame, period: Period, endpoint: str | None) -> DataFrame
     return d.filter(F.col("endpoint") == endpoint) if endpoint else d
 
 
-def requests_per_bucket(rm: DataFrame, period: Period, endpoint: str = "analyze") -> DataFrame:
-    d = _in_period(rm, period, endpoint)
-    return d.groupBy(_bucket("request_received_at", period.grain).alias("bucket")).agg(
-        F.count_distinct("id").cast("double").alias("value")).select(
-        F.lit("requests").alias("metric"), "bucket", "value").orderBy("bucket")
-
-
 def _seconds(a: str, b: str) -> Column:
     return (F.unix_micros(F.col(a)) - F.unix_micros(F.col(b))) / F.lit(1_000_000.0)
 
 
+def request_series(rm: DataFrame, period: Period, endpoint: str | None = "analyze",
+                   names: Sequence[str] = ("requests", "avg_response_time", "avg_response_length")) -> DataFrame:
+    """The named request series, unsorted, from one pass and one aggregate over the rows of the period."""
+    value = {
+        "requests": F.count_distinct("id").cast("double"),
+        # Null responses are skipped; a bucket without any response has mean time 0 and mean length null.
+        "avg_response_time": F.coalesce(F.avg(_seconds("response_sent_at", "request_received_at")), F.lit(0.0)),
+        "avg_response_length": F.avg("response_length"),
+    }
+    d = _in_period(rm, period, endpoint).groupBy(_bucket("request_received_at", period.grain).alias("bucket")).agg(
+        *[value[n].alias(n) for n in names])
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])
+    return d.select("bucket", F.explode(pairs).alias("p")).select("p.metric", "bucket", "p.value")
+
+
+def requests_per_bucket(rm: DataFrame, period: Period, endpoint: str = "analyze") -> DataFrame:
+    """Distinct requests per bucket."""
+    return request_series(rm, period, endpoint, ["requests"]).orderBy("bucket")
+
+
 def avg_response_time(rm: DataFrame, period: Period, endpoint: str = "analyze") -> DataFrame:
     """Mean seconds from receipt to response; null responses are skipped, an all-null bucket is 0."""
-    d = _in_period(rm, period, endpoint)
-    return d.groupBy(_bucket("request_received_at", period.grain).alias("bucket")).agg(
-        F.coalesce(F.avg(_seconds("response_sent_at", "request_received_at")), F.lit(0.0)).alias("value")) \
-        .select(F.lit("avg_response_time").alias("metric"), "bucket", "value").orderBy("bucket")
+    return request_series(rm, period, endpoint, ["avg_response_time"]).orderBy("bucket")
 
 
 def avg_response_length(rm: DataFrame, period: Period, endpoint: str = "analyze") -> DataFrame:
     """Mean response length; an all-null bucket stays null."""
-    d = _in_period(rm, period, endpoint)
-    return d.groupBy(_bucket("request_received_at", period.grain).alias("bucket")).agg(
-        F.avg("response_length").alias("value")).select(
-        F.lit("avg_response_length").alias("metric"), "bucket", "value").orderBy("bucket")
+    return request_series(rm, period, endpoint, ["avg_response_length"]).orderBy("bucket")
 
 
 def reaction_series(reactions: DataFrame, comments: DataFrame, period: Period) -> DataFrame:
@@ -102,24 +111,29 @@ def all_metrics(rm: DataFrame, reactions: DataFrame, comments: DataFrame, period
                 endpoint: str = "analyze", kind: str = "all") -> DataFrame:
     """Union of the series selected by ``kind`` (all / requests / responses / emojis); reactions
     ignore the endpoint; missing values become 0."""
-    parts = []
-    if kind in ("all", "requests"):
-        parts.append(requests_per_bucket(rm, period, endpoint))
-    if kind in ("all", "responses"):
-        parts += [avg_response_time(rm, period, endpoint), avg_response_length(rm, period, endpoint)]
+    names = [n for n, of in (("requests", "requests"), ("avg_response_time", "responses"), ("avg_response_length", "responses"))
+             if kind in ("all", of)]
+    parts = [request_series(rm, period, endpoint, names)] if names else []
     if kind in ("all", "emojis"):
         parts.append(reaction_series(reactions, comments, period))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = functools.reduce(DataFrame.unionByName, parts)
     return out.withColumn("value", F.when(F.isnan("value") | F.col("value").isNull(), 0.0)
                           .otherwise(F.col("value"))).orderBy("metric", "bucket")
 
 
 def certainty(logprobs: DataFrame, key: str = "response_id") -> DataFrame:
-    """Median of ``exp(logprob) * 100`` per response (exact percentile)."""
+    """Median of ``exp(logprob) * 100`` per response (exact percentile).
+
+    A response with a NaN among its values has no certainty; ``certainty_rejects`` names it."""
     return logprobs.groupBy(key).agg(
-        F.percentile(F.exp("logprob") * 100, F.lit(0.5)).alias("certainty"))
+        F.percentile(F.when(~F.isnan("logprob"), F.exp("logprob") * 100), F.lit(0.5)).alias("certainty"),
+        F.coalesce(F.max(F.isnan("logprob")), F.lit(False)).alias("__bad")).filter("not __bad").drop("__bad")
+
+
+def certainty_rejects(logprobs: DataFrame, key: str = "response_id") -> DataFrame:
+    """Responses whose certainty cannot be computed: some log probability is NaN."""
+    return logprobs.filter(F.isnan("logprob")).select(key).distinct().withColumn(
+        "reason", F.lit("certainty is not a number"))
 
 
 def count_reactions(awards: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from logsift import constants as C
 from logsift.catalog import noise_sql, register, sql_str
 from logsift.functions.text import sanitize
 from logsift.operators.diagnostics import LOCATED_ERROR_RE, TOOL_ERROR_RE, compiler_errors
-from logsift.operators.extract import attach_analysis, extract_all, remaining_artifacts
+from logsift.operators.extract import attach_analysis, extract_fused, remaining_artifacts
 from logsift.operators.lines import assemble_messages, split_lines
 from logsift.operators.noise import drop_noise
 from logsift.operators.prompts import compression_ratio, format_snippets
@@ -232,7 +232,7 @@ EXTRACTORS = {"drain": drain_extractor, "csgrep": csgrep_extractor, "python_trac
 
 @register("extract_all_ll", _EXTRACT_ALL_SQL + "SELECT artifact_id, extractor, line_number, text FROM allsn")
 def q_extract_all(spark, sf):
-    return extract_all(log_lines(table(spark, sf, "events")), EXTRACTORS)
+    return extract_fused(ll_source(log_lines(table(spark, sf, "events"))), K, N, keep=("source_file",), source_file="source_file")
 
 
 @register("compression_ratio_ll", _EXTRACT_ALL_SQL + """,
@@ -243,7 +243,7 @@ SELECT lg.artifact_id, round(CAST(coalesce(sn.snippet_chars, 0) AS DOUBLE)
 FROM lg LEFT JOIN sn USING (artifact_id)""")
 def q_ratio(spark, sf):
     ll = log_lines(table(spark, sf, "events"))
-    snippets = extract_all(ll, EXTRACTORS)
+    snippets = extract_fused(ll_source(ll), K, N, keep=("source_file",), source_file="source_file")
     logs = ll.groupBy("artifact_id").agg(
         (F.sum(F.length("line")) + F.count(F.lit(1)) - 1).alias("log_chars"))
     return compression_ratio(snippets, logs).select("artifact_id", F.round("ratio", 6).alias("ratio"))

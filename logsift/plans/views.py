@@ -27,20 +27,19 @@ HOUR_US = 3_600_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-bound row work at least one task per core.
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for queries that spend all their time on regular expressions over whole texts.
 
-    A scan of few large row groups yields fewer splits than cores; then rows are spread
-    round-robin. On a cluster reading many files the scan already has more splits than cores
-    and this is a no-op (checking the split count plans the scan; it runs no job).
+    A small test file is one row group and hence one task, however small the split size; it is dealt out
+    to the cores. A table of several files or row groups is read as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    df = table(spark, sf_dir, "documents")
+    if len(df.inputFiles()) > 1:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def _k() -> Column:

@@ -17,7 +17,7 @@ from logsift.operators.noise import drop_noise
 from logsift.operators.prompts import compression_ratio, format_snippets
 from logsift.operators.templates import mine_templates, representative_snippets
 from logsift.operators.tracebacks import python_tracebacks
-from logsift.plans.views import LOG_LINES_SQL, log_lines, table, with_views
+from logsift.plans.views import LOG_LINES_SQL, log_lines, table, texts, with_views
 from logsift.queries.extraction import TRACEBACKS_SQL
 
 K = C.DEFAULT_MAX_CLUSTERS
@@ -161,7 +161,7 @@ SELECT doc_id AS artifact_id, CAST(line_no AS BIGINT) AS line_number,
        CASE WHEN length(line) > {N} THEN left(line, {N - len(C.TRUNCATED)}) || {sql_str(C.TRUNCATED)} ELSE line END AS text
 FROM l WHERE length(line) > 0""")
 def q_chunks_documents(spark, sf):
-    return assemble_messages(split_lines(table(spark, sf, "documents"), "doc_id", "text"), N)
+    return assemble_messages(split_lines(texts(spark, sf), "doc_id", "text"), N)
 
 
 @register("noise_filtered_ll", with_views(",\n" + CHUNKS_SQL.split("mined AS")[0].rstrip().rstrip(",") + """
@@ -186,7 +186,7 @@ def q_templates_ll(spark, sf):
 SELECT doc_id, {mask_sql('text')} AS masked FROM documents""")
 def q_mask_documents(spark, sf):
     from logsift.functions.text import mask_column
-    return mask_column(table(spark, sf, "documents").select("doc_id", "text"), "text", "masked").drop("text")
+    return mask_column(texts(spark, sf).select("doc_id", "text"), "text", "masked").drop("text")
 
 
 @register("representatives_ll", with_views(",\n" + CHUNKS_SQL + """

@@ -10,7 +10,7 @@ from logsift.functions import text as T
 from logsift.operators.lines import split_lines
 from logsift.operators.prompts import format_snippets, to_messages
 from logsift.sources.requests import admit_by_request_budget, validate_artifacts
-from logsift.plans.views import LOG_LINES_SQL, log_lines, table, with_views
+from logsift.plans.views import LOG_LINES_SQL, log_lines, table, texts, with_views
 
 _NL = "chr(10)"
 
@@ -29,7 +29,7 @@ for _p, _r in T.REDACTIONS:
 @register("sanitize_documents", f"""
 SELECT doc_id, {_SAN_SQL} AS redacted, ({_SAN_SQL}) <> text AS changed FROM documents""")
 def q_sanitize(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     red = T.sanitize("text")
     return d.select("doc_id", red.alias("redacted"), (red != F.col("text")).alias("changed"))
 
@@ -53,7 +53,7 @@ SELECT doc_id AS artifact_id, CAST(generate_subscripts(arr, 1) AS BIGINT) AS lin
 
 @register("split_lines_documents", _SPLIT_SQL)
 def q_split_lines(spark, sf):
-    return split_lines(table(spark, sf, "documents"), "doc_id", "text")
+    return split_lines(texts(spark, sf), "doc_id", "text")
 
 
 @register("starts_message_ll", with_views("""
@@ -74,7 +74,7 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
        CAST(max(length(line)) AS BIGINT) AS longest
 FROM l GROUP BY doc_id""")
 def q_line_stats(spark, sf):
-    ln = split_lines(table(spark, sf, "documents"), "doc_id", "text")
+    ln = split_lines(texts(spark, sf), "doc_id", "text")
     return ln.groupBy(F.col("artifact_id").alias("doc_id")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_lines"),
         F.count(F.when((F.length("line") > 0) & T.starts_message("line"), 1)).cast("bigint").alias("n_starts"),
@@ -95,7 +95,7 @@ SELECT doc_id,
        ELSE text END AS middle_cut
 FROM documents""")
 def q_truncate(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     head = F.when(F.length("text") > _N, T.truncate_head("text", _N)).otherwise(F.col("text"))
     return d.select("doc_id", head.alias("head_cut"), T.truncate_middle("text", _N).alias("middle_cut"))
 

@@ -31,10 +31,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    if master and master.startswith("local"):
-        # One machine: shuffle partitions are sized to the cores, and AQE must not merge the
-        # (small) shuffles of CPU-bound text stages back into one task. Clusters keep coalescing.
-        conf["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -47,15 +43,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The checkpoint folder in use: the one set on the context, else ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a scratch folder is created.
+    Only a local session without either gets a scratch folder; on a cluster the launcher has to name
+    a folder that all executors share.
     """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="logsift-ckpt-", dir=os.environ.get("LOGSIFT_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
 
 

@@ -7,6 +7,8 @@ a function of the message, an LRU of capacity k over clusters keeps exactly the
 whose *last* occurrence is latest, and emitting the first member of each survivor in line order
 is one aggregate plus a per-artifact top-k — no sequential scan.
 
+``cluster_templates`` (similarity mode) joins signatures that share enough tokens: messages that differ in a
+name, not only in digits or masks, become one template.
 """
 
 from __future__ import annotations
@@ -35,6 +37,49 @@ def mine_templates(chunks: DataFrame, keys: tuple[str, ...] = ("artifact_id",),
     return out.withColumn("template_id", F.xxhash64(*[F.col(k) for k in keys], F.col("template")))
 
 
+def cluster_templates(mined: DataFrame, threshold: float = C.TEMPLATE_SIM_TH,
+                      keys: tuple[str, ...] = ("artifact_id",)) -> DataFrame:
+    """Clusters of similar signatures: ``(*keys, template, line_number, text, last_seen, n)`` per cluster.
+
+    Signatures (one row each, however many messages have it) are compared only within a bucket of the
+    same artifact, token count and first token. In each round the earliest undecided signature of a
+    bucket leads; undecided ones that agree with it in at least ``threshold`` of their token positions
+    (wildcards never agree) join its cluster. Rounds go on until none is undecided. A round compares each row
+    with one leader, so no pairs are listed, and ends in a reliable checkpoint.
+    """
+    from logsift.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(mined.sparkSession)
+    sigs = mined.groupBy(*keys, "template").agg(
+        F.min_by(F.struct("line_number", "text"), F.col("line_number")).alias("first"),
+        F.max("line_number").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+    toks = F.split("template", " ")
+    sigs = sigs.select(*keys, F.size(toks).alias("__size"), toks[0].alias("__head"), "template", toks.alias("__toks"),
+                       "first", "last_seen", "n")
+    bucket = [*keys, "__size", "__head"]
+    left, done = sigs.checkpoint(), None
+    while True:
+        leaders = left.groupBy(*bucket).agg(F.min_by(F.struct("template", "__toks"), F.col("first.line_number")).alias("__lead"))
+        agree = F.size(F.filter(F.zip_with("__toks", "__lead.__toks", lambda a, b: (a == b) & (a != C.WILDCARD)), lambda x: x))
+        joins = (agree >= F.col("__size") * threshold) | (F.col("template") == F.col("__lead.template"))
+        told = left.join(leaders, bucket).withColumn("__joins", joins).checkpoint()
+        part = told.filter("__joins").select(*keys, F.col("__lead.template").alias("template"), "first", "last_seen", "n")
+        done = part if done is None else done.unionByName(part)
+        left = told.filter("not __joins").select(*sigs.columns)
+        if left.isEmpty():
+            break
+    out = done.groupBy(*keys, "template").agg(F.min_by("first", F.col("first.line_number")).alias("first"),
+                                              F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"))
+    return out.select(*keys, "template", F.col("first.line_number").alias("line_number"), F.col("first.text").alias("text"),
+                      "last_seen", "n")
+
+
+def latest_clusters(clusters: DataFrame, k: int = C.DEFAULT_MAX_CLUSTERS,
+                    keys: tuple[str, ...] = ("artifact_id",)) -> DataFrame:
+    """The first chunk of each of the ``k`` most recently seen clusters, per artifact."""
+    w = Window.partitionBy(*keys).orderBy(F.col("last_seen").desc())
+    return clusters.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select(*keys, "line_number", "text")
+
+
 def representative_snippets(mined: DataFrame, k: int = C.DEFAULT_MAX_CLUSTERS,
                             keys: tuple[str, ...] = ("artifact_id",)) -> DataFrame:
     """The first chunk of each of the ``k`` most recently seen templates, per artifact."""

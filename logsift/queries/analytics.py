@@ -635,3 +635,62 @@ def q_get_or_create_comments(spark, sf):
         "comment_id", F.concat(F.lit("c"), F.col("job_id").cast("string")))
     _, comments2 = FB.get_or_create_comments(c, j, inc)
     return ntz(comments2)
+
+
+# --- second outputs: rejects and violations ---------------------------------------------------------
+
+_CLASH_SQL = """
+clash AS (SELECT event_id + 7000000 AS id, ([{f0}, {f1}])[CAST(user_id % 2 AS INTEGER) + 1] AS forge,
+                 user_id + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS project_id, {k} AS mr_iid, event_id AS job_id
+          FROM events WHERE event_type = 'error' AND event_id % 2 = 0)""".format(
+    f0=sql_str(C.FORGES[0]), f1=sql_str(C.FORGES[1]), k="CAST(json_extract_string(props, '$.k') AS BIGINT)")
+
+
+def _clashing_jobs(spark, sf):
+    """Known jobs again, every third of them under another project."""
+    j, _, _ = _fb(spark, sf)
+    return j.filter(F.col("job_id") % 2 == 0).select(
+        (F.col("job_id") + 7_000_000).alias("id"), "forge",
+        (F.col("project_id") + F.when(F.col("job_id") % 3 == 0, 1).otherwise(0)).alias("project_id"), "mr_iid", "job_id")
+
+
+@register("rejected_jobs", FBV(",\n" + _CLASH_SQL + """
+SELECT id, 'job belongs to another merge request' AS reason FROM clash c
+WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.forge = c.forge AND j.project_id = c.project_id
+                  AND j.mr_iid = c.mr_iid AND j.job_id = c.job_id)"""))
+def q_rejected_jobs(spark, sf):
+    j, _, _ = _fb(spark, sf)
+    return FB.merge_jobs(j, _clashing_jobs(spark, sf))[1]
+
+
+@register("violated_job_keys", FBV(",\n" + _CLASH_SQL + """,
+u AS (SELECT forge, job_id FROM jobs UNION ALL SELECT forge, job_id FROM clash)
+SELECT forge, job_id, count(*) AS n FROM u GROUP BY 1, 2 HAVING count(*) > 1"""))
+def q_violated_job_keys(spark, sf):
+    j, _, _ = _fb(spark, sf)
+    return FB.assert_unique(j.select("forge", "job_id").union(_clashing_jobs(spark, sf).select("forge", "job_id")), ["forge", "job_id"])
+
+
+@register("sync_empty_snapshots", FBV("""
+SELECT comment_id, reaction_type, cnt FROM reactions WHERE comment_id % 5 <> 0
+UNION ALL
+SELECT comment_id, reaction_type, cnt + 1 FROM reactions WHERE comment_id % 10 = 5"""))
+def q_sync_empty_snapshots(spark, sf):
+    """Comments divisible by ten lost all reactions, other multiples of five gained one of each type;
+    an older snapshot of each is overruled."""
+    _, _, r = _fb(spark, sf)
+    mine = r.filter(F.col("comment_id") % 5 == 0)
+    now = mine.groupBy("comment_id").agg(F.collect_list(F.struct("reaction_type", (F.col("cnt") + 1).alias("cnt"))).alias("all")).select(
+        "comment_id", F.lit(2).alias("snapshot_time"), F.when(F.col("comment_id") % 10 == 0, F.filter("all", lambda x: F.lit(False)))
+        .otherwise(F.col("all")).alias("reactions"))
+    old = now.select("comment_id", F.lit(1).alias("snapshot_time"), F.array(F.struct(
+        F.lit("old").alias("reaction_type"), F.lit(9).cast("long").alias("cnt"))).alias("reactions"))
+    return FB.sync_reactions(r, *FB.latest_snapshots(now.unionByName(old)))
+
+
+@register("rejected_subtasks_total", None)
+def q_rejected_subtasks(spark, sf):
+    e = _ev(spark, sf)
+    req = e.select((F.col("user_id") + 1_000_000).alias("task_id")).distinct() \
+        .unionByName(e.filter(F.col("event_id") % 500 == 0).select((F.col("event_id") + 5_000_000).alias("task_id")))
+    return S.select_failed_subtask(_tasks_tree(spark, sf), req)[1]

@@ -15,7 +15,7 @@ from logsift.operators.extract import attach_analysis, extract_fused, remaining_
 from logsift.operators.lines import assemble_messages, split_lines
 from logsift.operators.noise import drop_noise
 from logsift.operators.prompts import compression_ratio, format_snippets
-from logsift.operators.templates import mine_templates, representative_snippets
+from logsift.operators.templates import cluster_templates, latest_clusters, mine_templates, representative_snippets
 from logsift.operators.tracebacks import python_tracebacks
 from logsift.plans.views import LOG_LINES_SQL, log_lines, table, texts, with_views
 from logsift.queries.extraction import TRACEBACKS_SQL
@@ -182,6 +182,46 @@ def q_templates_ll(spark, sf):
         F.max("line_number").alias("last_line"))
 
 
+SIMILAR_SQL = CHUNKS_SQL + f""",
+sig AS (SELECT *, string_split(template, ' ') AS toks, len(string_split(template, ' ')) AS size,
+               string_split(template, ' ')[1] AS head
+        FROM (SELECT artifact_id, template, min(line_number) AS line_number, arg_min(text, line_number) AS text,
+                     max(line_number) AS last_seen, count(*) AS n FROM mined GROUP BY 1, 2)),
+rounds AS (
+  SELECT *, CAST(NULL AS VARCHAR) AS lead FROM sig
+  UNION ALL
+  SELECT artifact_id, template, line_number, text, last_seen, n, toks, size, head,
+         CASE WHEN template = lt OR len(list_filter(range(1, size + 1), lambda i: toks[i] = ltoks[i] AND toks[i] <> {sql_str(C.WILDCARD)}))
+                   >= size * {C.TEMPLATE_SIM_TH} THEN lt END
+  FROM (SELECT *, first_value(template) OVER w AS lt, first_value(toks) OVER w AS ltoks FROM rounds WHERE lead IS NULL
+        WINDOW w AS (PARTITION BY artifact_id, size, head ORDER BY line_number))),
+clusters AS (SELECT artifact_id, lead AS template, min(line_number) AS line_number, arg_min(text, line_number) AS text,
+                    max(last_seen) AS last_seen, CAST(sum(n) AS BIGINT) AS n FROM rounds WHERE lead IS NOT NULL GROUP BY 1, 2)
+"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("templates_similarity_ll", _recursive(with_views(",\n" + SIMILAR_SQL + """
+SELECT artifact_id, template, n, line_number AS first_line, last_seen AS last_line FROM clusters""", LOG_LINES_SQL)))
+def q_templates_similarity(spark, sf):
+    chunks = ll_source(ll_chunks(spark, sf))
+    filtered = drop_noise(chunks, C.DEFAULT_NOISE_RULES, source_file="source_file").drop("source_file")
+    return cluster_templates(mine_templates(filtered)).select(
+        "artifact_id", "template", "n", F.col("line_number").alias("first_line"), F.col("last_seen").alias("last_line"))
+
+
+@register("representatives_similarity_ll", _recursive(with_views(",\n" + SIMILAR_SQL + f"""
+SELECT artifact_id, line_number, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY last_seen DESC) AS rk FROM clusters) WHERE rk <= {K}""", LOG_LINES_SQL)))
+def q_reps_similarity(spark, sf):
+    chunks = ll_source(ll_chunks(spark, sf))
+    filtered = drop_noise(chunks, C.DEFAULT_NOISE_RULES, source_file="source_file").drop("source_file")
+    return latest_clusters(cluster_templates(mine_templates(filtered)), K)
+
+
 @register("mask_documents", f"""
 SELECT doc_id, {mask_sql('text')} AS masked FROM documents""")
 def q_mask_documents(spark, sf):

@@ -76,3 +76,17 @@ def test_mask(spark):
     from logsift.functions.text import mask
     d = spark.createDataFrame([("ip 10.0.0.1 id 0x1F n=-42 a1 INFO: rest",)], "s string")
     assert d.select(mask("s")).first()[0] == "ip <:IP:> id <:HEX:> n=<:NUM:> a1 <:INFO:>"
+
+
+def test_similar_messages_are_one_cluster(spark):
+    from logsift.operators.templates import cluster_templates, latest_clusters
+    log = "\n".join(["KeyError: foo missing in config", "unrelated", "KeyError: bar missing in config", "KeyError: only",
+                     "KeyError: baz is nowhere at all", "KeyError: a b c d"])
+    mined = mine_templates(assemble_messages(lines_df(spark, log), 2000).drop("source_file"))
+    got = sorted((r["line_number"], r["n"], r["last_seen"]) for r in cluster_templates(mined).collect())
+    # Lines 1 and 3 agree in 4 of 5 tokens; lines 5 (6 tokens), 4 (2) and 6 (5 tokens, 1 agreeing) stand alone.
+    assert got == [(1, 2, 3), (2, 1, 2), (4, 1, 4), (5, 1, 5), (6, 1, 6)]
+    top = latest_clusters(cluster_templates(mined), 3).collect()
+    assert sorted(r["line_number"] for r in top) == [4, 5, 6]
+    strict = cluster_templates(mined, threshold=0.9)
+    assert strict.count() == 6

@@ -688,9 +688,41 @@ def q_sync_empty_snapshots(spark, sf):
     return FB.sync_reactions(r, *FB.latest_snapshots(now.unionByName(old)))
 
 
-@register("rejected_subtasks_total", None)
+@register("rejected_subtasks", "WITH " + _TREE_SQL + """
+SELECT task_id, CASE WHEN state IS NULL THEN 'task does not exist' WHEN state NOT IN ('FAILED', 'CANCELED') THEN 'primary task not failed'
+                     ELSE 'no failed subtask' END AS reason
+FROM req LEFT JOIN tasks t USING (task_id)
+WHERE state IS NULL OR state NOT IN ('FAILED', 'CANCELED')
+   OR (method NOT IN ('buildArch', 'buildSRPMFromSCM') AND NOT EXISTS (
+       SELECT 1 FROM tasks k WHERE k.parent_id = t.task_id AND k.method IN ('buildArch', 'buildSRPMFromSCM') AND k.state = 'FAILED'))""")
 def q_rejected_subtasks(spark, sf):
     e = _ev(spark, sf)
     req = e.select((F.col("user_id") + 1_000_000).alias("task_id")).distinct() \
+        .unionByName(e.filter(F.col("event_id") % 97 == 0).select(F.col("event_id").alias("task_id"))) \
         .unionByName(e.filter(F.col("event_id") % 500 == 0).select((F.col("event_id") + 5_000_000).alias("task_id")))
     return S.select_failed_subtask(_tasks_tree(spark, sf), req)[1]
+
+
+@register("jobs_without_failed_log", "WITH " + _LISTING_SQL + """,
+more AS (SELECT DISTINCT user_id + 1000000 AS job_id FROM events WHERE event_type = 'view')
+SELECT job_id, 'Could not detect failed architecture.' AS error FROM (SELECT job_id FROM l UNION SELECT job_id FROM more)
+WHERE job_id NOT IN (SELECT job_id FROM rk)""")
+def q_jobs_without_failed_log(spark, sf):
+    """The listings, and as many jobs again whose archives hold no log of a failed task."""
+    more = _ev(spark, sf).filter(F.col("event_type") == "view").select(
+        (F.col("user_id") + 1_000_000).alias("job_id"), F.col("event_id").alias("pos"),
+        F.lit("kojilogs/noarch-1/build.log").alias("path"), F.lit("fine").alias("content"))
+    listing = _listing(spark, sf).select("job_id", "pos", "path", "content")
+    return S.select_failed_log(listing.unionByName(more))[1]
+
+
+@register("requests_of_conversations", """
+SELECT conv_id AS request_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos,
+       role AS artifact_name, text AS content, CAST(NULL AS VARCHAR) AS url FROM conversations""")
+def q_requests_of_conversations(spark, sf):
+    """Each conversation as one request whose files are its turns, exploded again."""
+    from logsift.sources.requests import explode_requests
+    c = table(spark, sf, "conversations")
+    turn = F.struct("turn", F.col("role").alias("name"), F.col("text").alias("content"), F.lit(None).cast("string").alias("url"))
+    whole = c.groupBy(F.col("conv_id").alias("request_id")).agg(F.array_sort(F.collect_list(turn)).alias("files"))
+    return explode_requests(whole)

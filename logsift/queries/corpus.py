@@ -67,7 +67,7 @@ def _batch(spark, sf):
     d = table(spark, sf, "documents")
     path = F.concat(F.lit("results/results/"), F.col("source"), F.lit("/"), (F.col("doc_id") % 300).cast("string"),
                     F.lit(".json"))
-    snip = F.array(F.struct(F.lit("build.log").alias("log_name"), F.col("lang").alias("text"),
+    snip = F.array(F.struct(F.lit("build.log").alias("log_name"), F.col("text").alias("text"),
                             F.col("source").alias("user_comment")),
                    F.struct(F.lit("root.log").alias("log_name"), F.col("source").alias("text"),
                             F.col("lang").alias("user_comment")))
@@ -79,10 +79,10 @@ def _batch(spark, sf):
 
 _BATCH_SQL = """
 WITH bt AS (SELECT doc_id AS seq, 'results/results/' || source || '/' || CAST(doc_id % 300 AS VARCHAR) || '.json' AS source_path,
-                   CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS n_snippets FROM documents),
+                   CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS n_snippets, text, source, lang FROM documents),
 ex AS (SELECT source_path FROM bt WHERE seq % 11 = 0),
 first AS (SELECT source_path, min(seq) AS seq FROM bt GROUP BY 1),
-new AS (SELECT f.source_path, f.seq, b.n_snippets FROM first f JOIN bt b USING (seq)
+new AS (SELECT f.source_path, f.seq, b.n_snippets, b.text, b.source, b.lang FROM first f JOIN bt b USING (seq)
         WHERE f.source_path NOT IN (SELECT source_path FROM ex))
 """
 
@@ -95,6 +95,16 @@ def q_insert_new(spark, sf):
     return builds.select("source_path", "seq")
 
 
+@register("insert_new_snippets_documents", _BATCH_SQL + """
+SELECT source_path, 0 AS pos, 'build.log' AS source_artifact_name, text, source AS annotation FROM new
+UNION ALL
+SELECT source_path, 1, 'root.log', source, lang FROM new WHERE n_snippets = 2""")
+def q_insert_new_snippets(spark, sf):
+    b = _batch(spark, sf)
+    existing = b.filter(F.col("seq") % 11 == 0).select("source_path")
+    return K.insert_new_builds(existing, b)[1]
+
+
 @register("run_report_documents", _BATCH_SQL + """
 SELECT CAST((SELECT count(*) FROM bt) AS BIGINT) AS processed, CAST(count(*) AS BIGINT) AS added,
        CAST(coalesce(sum(n_snippets), 0) AS BIGINT) AS snippets,

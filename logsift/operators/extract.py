@@ -84,14 +84,14 @@ def extract_fused(lines: DataFrame, max_clusters: int = 8, max_snippet_len: int
     from logsift.operators.noise import drop_noise
     from logsift.operators.templates import mine_templates, representative_snippets
     from logsift.operators.tracebacks import traceback_class, traceback_unlinked_flag, tracebacks_from_islands
-    from logsift.plans.scan import blocked_cumsum, dense_prev, line_block
+    from logsift.plans.scan import blocked_cumsum, dense_prev
 
     rules = tuple(C.DEFAULT_NOISE_RULES) if rules is None else rules
     keys = ["artifact_id", *keep]
     d = lines.withColumn("cls", traceback_class()).withColumn("is_cont", continuation_flag()) \
         .withColumn("msg_start", message_start_flag())
-    d = dense_prev(d, keys, "line_no", ["cls"]).withColumn("tb_unlinked", traceback_unlinked_flag())
-    d = blocked_cumsum(d, keys, ["line_no"], line_block("line_no"), {
+    d = dense_prev(d, keys, "line_no", ["cls"], keep_block=True).withColumn("tb_unlinked", traceback_unlinked_flag())
+    d = blocked_cumsum(d, keys, ["line_no"], None, {
         "msg_island": F.col("msg_start"), "tb_island": F.col("tb_unlinked"),
         "diag_island": F.when(F.col("is_cont"), 0).otherwise(1)})
     d = d.select(*keys, "line_no", "line", "cls", "is_cont", "msg_island", "tb_island", "diag_island")

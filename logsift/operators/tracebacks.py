@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logsift import constants as C
 from logsift.functions.text import is_blank, noise_predicate, truncate_middle
-from logsift.plans.scan import blocked_cumsum, dense_prev, line_block
+from logsift.plans.scan import blocked_cumsum, dense_prev
 
 RTRIM_RE = "(?U)[\\s\\x1C-\\x1F]+$"
 
@@ -31,9 +31,9 @@ def python_tracebacks(lines: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
                       keep: tuple[str, ...] = (), source_file: str | None = None) -> DataFrame:
     """``lines(artifact_id, line_no, line)`` -> ``(artifact_id, *keep, line_number, text)``."""
     keys = ["artifact_id", *keep]
-    d = dense_prev(lines.withColumn("cls", traceback_class()), keys, "line_no", ["cls"])
+    d = dense_prev(lines.withColumn("cls", traceback_class()), keys, "line_no", ["cls"], keep_block=True)
     d = d.withColumn("tb_unlinked", traceback_unlinked_flag())
-    d = blocked_cumsum(d.filter(F.col("cls") != "B"), keys, ["line_no"], line_block("line_no"),
+    d = blocked_cumsum(d.filter(F.col("cls") != "B"), keys, ["line_no"], None,
                        {"tb_island": F.col("tb_unlinked")})
     return tracebacks_from_islands(d, max_len, rules, keep, source_file)
 

@@ -28,16 +28,17 @@ def line_block(pos: str | Column, size: int | None = None) -> Column:
     return F.floor(c / F.lit(size)).cast("bigint")
 
 
-def blocked_cumsum(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], block: Column,
+def blocked_cumsum(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], block: Column | None,
                    values: dict[str, Column], inclusive: bool = True) -> DataFrame:
     """Add running sums ``{out: value}`` per ``key`` in ``order``.
 
     ``block`` must be non-decreasing along ``order`` inside a key. ``inclusive=False`` gives the
-    sum over strictly earlier rows.
+    sum over strictly earlier rows. ``block=None``: the rows come from ``dense_prev(keep_block=True)``,
+    already dealt out and sorted by key and block, so the running sums need no further exchange or sort.
     """
     key = list(key)
     tmp = {out: f"__v_{out}" for out in values}
-    d = df.withColumn(_BLK, block)
+    d = df if block is None else df.withColumn(_BLK, block)
     for out, expr in values.items():
         d = d.withColumn(tmp[out], expr)
     # Per-block totals come from the rows before the window: a partial aggregate (map-side
@@ -81,12 +82,14 @@ def blocked_prev(df: DataFrame, key: Sequence[str], order: Sequence[str], block:
 
 
 def dense_prev(df: DataFrame, key: Sequence[str], pos: str, cols: Sequence[str],
-               size: int | None = None, prefix: str = "prev_") -> DataFrame:
+               size: int | None = None, prefix: str = "prev_", keep_block: bool = False) -> DataFrame:
     """``prefix+c`` = value of ``c`` at position ``pos - 1`` of the same key (null at the first).
 
     For dense positions (every line of a log, numbered 1..n). One window pass, no join: the
     last row of each block is also sent to the next block as a halo row, so the first row of a
-    block sees its predecessor; halo rows are dropped after the window.
+    block sees its predecessor; halo rows are dropped after the window. ``keep_block`` leaves the
+    block column in place for a following ``blocked_cumsum(block=None)``, which then needs neither
+    another exchange nor another sort.
     """
     key, cols = list(key), list(cols)
     size = size or LINE_BLOCK
@@ -97,4 +100,5 @@ def dense_prev(df: DataFrame, key: Sequence[str], pos: str, cols: Sequence[str],
     w = Window.partitionBy(*key, _BLK).orderBy(pos)
     for c in cols:
         d = d.withColumn(prefix + c, F.lag(c).over(w))
-    return d.filter(F.col(_BLK) == F.col("__own")).drop(_BLK, "__own")
+    d = d.filter(F.col(_BLK) == F.col("__own")).drop("__own")
+    return d if keep_block else d.drop(_BLK)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators.diagnostics import compiler_errors, read_diagnostic_reports, report_snippets
 
-from conftest import lines_df
+from helpers import lines_df
 
 CARET_LOG = "\n".join([
     "/src/lib/Handler.h:45:49: error: expected expression before token [-Wtemplate-body]",

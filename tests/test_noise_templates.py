@@ -7,7 +7,7 @@ from logsift.operators.lines import assemble_messages
 from logsift.operators.noise import drop_noise, load_patterns, validate_patterns
 from logsift.operators.templates import mine_templates, representative_snippets
 
-from conftest import lines_df
+from helpers import lines_df
 
 RULES = validate_patterns({
     "start": {"pattern": "^Start"},

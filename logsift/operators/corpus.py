@@ -279,12 +279,14 @@ def nearest_snippets(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_D
 
 def nearest_snippets_approx(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_DEFAULT_K,
                             qid: str = "query_id", cid: str = "id", vec_col: str = "text_embedding",
-                            centres: int | None = None, probes: int = 8, sample: int = 20_000, seed: int = 7) -> DataFrame:
+                            centres: int | None = None, probes: int | None = None, recall: float = 0.95, sample: int = 20_000,
+                            seed: int = 7) -> DataFrame:
     """Approximate top-k over an inverted file of centroids (stands in for an HNSW index).
 
     Centroids (by default the square root of the number of rows) are fitted on a bounded sample;
     every row is listed under its nearest centroid and every query looks into the ``probes`` nearest
-    lists, ranked exactly. A query whose lists hold fewer than k rows is answered by the exact lookup, so
+    lists, ranked exactly. By default as many lists are probed as reach the ``recall`` within the sample:
+    few where the vectors form clusters, many where they are spread evenly. A query whose lists hold fewer than k rows is answered by the exact lookup, so
     each gets k rows where there are as many. ``probe_quality`` measures recall and candidate share.
     """
     c = corpus.select(F.col(cid).alias("cid"), F.col(vec_col).alias("cv")).filter("cv is not null")
@@ -292,8 +294,8 @@ def nearest_snippets_approx(queries: DataFrame, corpus: DataFrame, k: int = C.NE
     n = c.count()
     if not n:
         return queries.sparkSession.createDataFrame([], f"{qid} bigint, {cid} bigint, distance double, rank int")
-    fitted = _centroids(c, centres or max(1, min(4096, int(n ** 0.5))), min(sample, n), n, seed)
-    pairs = _probed(q, c, fitted, probes).withColumn("distance", l2(F.col("cv"), F.col("qv")))
+    fitted, rows = _centroids(c, centres or max(1, min(4096, int(n ** 0.5))), min(sample, n), n, seed)
+    pairs = _probed(q, c, fitted, probes or _probes_for(recall, k, fitted, rows)).withColumn("distance", l2(F.col("cv"), F.col("qv")))
     w = Window.partitionBy("qid").orderBy("distance", "cid")
     top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     top = top.select(F.col("qid").alias(qid), F.col("cid").alias(cid), "distance", "rank")
@@ -303,7 +305,7 @@ def nearest_snippets_approx(queries: DataFrame, corpus: DataFrame, k: int = C.NE
     return top.join(enough, qid, "left_semi").unionByName(exact)
 
 
-def _centroids(c: DataFrame, number: int, sample: int, n: int, seed: int) -> np.ndarray:
+def _centroids(c: DataFrame, number: int, sample: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """k-means over a bounded sample (chosen by a hash of the id); the sample alone reaches the driver."""
     part = c.filter(F.pmod(F.xxhash64(F.lit(seed), "cid"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n)))
     rows = np.array([r["cv"] for r in part.orderBy("cid").select("cv").collect()] or [c.first()["cv"]], dtype=np.float64)
@@ -314,7 +316,20 @@ def _centroids(c: DataFrame, number: int, sample: int, n: int, seed: int) -> np.
         total = np.zeros_like(centre)
         np.add.at(total, own, rows)
         centre = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centre)
-    return centre
+    return centre, rows
+
+
+def _probes_for(recall: float, k: int, centre: np.ndarray, rows: np.ndarray, asked: int = 500) -> int:
+    """Lists to probe so that this share of the k nearest sample rows of sample queries lies in them."""
+    own = ((centre * centre).sum(1)[None, :] - 2.0 * rows @ centre.T).argmin(axis=1)
+    deep = []
+    for x in rows[:: max(1, len(rows) // asked)]:
+        near = np.argsort(((rows - x) ** 2).sum(axis=1), kind="stable")[1:k + 1]
+        place = np.empty(len(centre), np.int64)
+        place[np.argsort(((centre - x) ** 2).sum(axis=1), kind="stable")] = np.arange(len(centre))
+        deep.append(place[own[near]])
+    deep = np.sort(np.concatenate(deep)) if deep else np.zeros(1, np.int64)
+    return int(deep[min(len(deep) - 1, int(np.ceil(recall * len(deep))) - 1)]) + 1 if len(deep) else 1
 
 
 def _probed(q: DataFrame, c: DataFrame, centre: np.ndarray, probes: int) -> DataFrame:
@@ -331,8 +346,21 @@ def _probed(q: DataFrame, c: DataFrame, centre: np.ndarray, probes: int) -> Data
     return asked.join(rows, "list")
 
 
-def probe_quality(approx: DataFrame, exact: DataFrame, qid: str = "query_id", cid: str = "id") -> DataFrame:
-    """One row: recall of the approximate result against the exact one."""
+def probe_quality(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_DEFAULT_K, qid: str = "query_id", cid: str = "id",
+                  vec_col: str = "text_embedding", centres: int | None = None, probes: int | None = None, recall: float = 0.95,
+                  sample: int = 20_000, seed: int = 7) -> DataFrame:
+    """One row ``(wanted, found, recall, candidate_share)`` of the approximate lookup with these settings.
+
+    recall: share of the exact result that it finds; candidate_share: pairs it ranks, of all pairs."""
+    exact = nearest_snippets(queries, corpus, k, qid, cid, vec_col, max_k=None)
+    approx = nearest_snippets_approx(queries, corpus, k, qid, cid, vec_col, centres, probes, recall, sample, seed)
+    c = corpus.select(F.col(cid).alias("cid"), F.col(vec_col).alias("cv")).filter("cv is not null")
+    q = queries.select(F.col(qid).alias("qid"), F.col(vec_col).alias("qv")).filter("qv is not null")
+    n, asked = c.count(), q.count()
+    share = 0.0
+    if n:
+        fitted, rows = _centroids(c, centres or max(1, min(4096, int(n ** 0.5))), min(sample, n), n, seed)
+        share = _probed(q, c, fitted, probes or _probes_for(recall, k, fitted, rows)).count() / max(1, n * asked)
     hit = exact.join(approx.select(qid, cid, F.lit(1).alias("hit")), [qid, cid], "left")
     return hit.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"),
-                   (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+                   (F.count("hit") / F.count(F.lit(1))).alias("recall"), F.lit(share).alias("candidate_share"))

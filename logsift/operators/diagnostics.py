@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from logsift import constants as C
 from logsift.functions.text import is_blank, noise_predicate
-from logsift.plans.scan import blocked_cumsum, line_block
+from logsift.plans.scan import block_window, blocked_cumsum, with_block
 
 # FIXED VALUES — diagnostic line shapes
 LOCATED_ERROR_RE = (r"^([^:\s][^:]*):(\d+):(?:(\d+):)?\s+(?:fatal\s+)?error:\s+(.*?)"
@@ -46,8 +46,9 @@ def compiler_errors(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``lines(artifact_id, line_no, line)`` -> ``(artifact_id, *keep, file_name, src_line,
     line_number, text)``, one row per distinct defect (first occurrence)."""
     keys = ["artifact_id", *keep]
-    d = lines.withColumn("is_cont", continuation_flag())
-    d = blocked_cumsum(d, keys, ["line_no"], line_block("line_no"),
+    d = with_block(lines.withColumn("is_cont", continuation_flag()))
+    d = d.withColumn("diag_open", diagnostic_open_flag(keys))
+    d = blocked_cumsum(d, keys, ["line_no"], None,
                        {"diag_island": F.when(F.col("is_cont"), 0).otherwise(1)})
     return diagnostics_from_islands(d, keep)
 
@@ -57,13 +58,25 @@ def continuation_flag():
     return F.col("line").rlike("^[ \t]") & ~is_blank("line")
 
 
+def is_error_head():
+    return F.col("line").rlike(LOCATED_ERROR_RE) | F.col("line").rlike(TOOL_ERROR_RE)
+
+
+def diagnostic_open_flag(keys: Sequence[str]):
+    """Whether the line's island may be headed by an error line, judged within its block: the last line
+    that is no continuation is an error line, or lies in an earlier block. Needs ``is_cont`` and the block
+    column."""
+    last = F.last(F.when(~F.col("is_cont"), is_error_head()), ignorenulls=True).over(block_window(keys))
+    return F.coalesce(last, F.lit(True))
+
+
 def diagnostics_from_islands(d: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One defect per ``diag_island`` headed by an error line; identical defects once."""
     keys = ["artifact_id", *keep]
     loc = F.col("line").rlike(LOCATED_ERROR_RE)
     tool = F.col("line").rlike(TOOL_ERROR_RE)
-    d = d.withColumn("kind", F.when(loc, F.lit(1)).when(tool, F.lit(2)))
-    # Only error heads and indented lines can be part of a defect.
+    # Only error heads and the indented lines below them can be part of a defect.
+    d = d.filter("diag_open").withColumn("kind", F.when(loc, F.lit(1)).when(tool, F.lit(2)))
     d = d.filter(F.col("kind").isNotNull() | F.col("is_cont"))
     head = F.when(F.col("kind") == 1, F.struct(
         F.regexp_extract("line", LOCATED_ERROR_RE, 1).alias("file_name"),

@@ -79,11 +79,12 @@ def extract_fused(lines: DataFrame, max_clusters: int = 8, max_snippet_len: int
     Same output as ``extract_all`` with the three extractors.
     """
     from logsift import constants as C
-    from logsift.operators.diagnostics import continuation_flag, diagnostics_from_islands
+    from logsift.operators.diagnostics import continuation_flag, diagnostic_open_flag, diagnostics_from_islands
     from logsift.operators.lines import message_start_flag, messages_from_islands
     from logsift.operators.noise import drop_noise
     from logsift.operators.templates import mine_templates, representative_snippets
-    from logsift.operators.tracebacks import traceback_class, traceback_unlinked_flag, tracebacks_from_islands
+    from logsift.operators.tracebacks import (traceback_class, traceback_open_flag, traceback_unlinked_flag,
+                                               tracebacks_from_islands)
     from logsift.plans.scan import blocked_cumsum, dense_prev
 
     rules = tuple(C.DEFAULT_NOISE_RULES) if rules is None else rules
@@ -91,10 +92,11 @@ def extract_fused(lines: DataFrame, max_clusters: int = 8, max_snippet_len: int
     d = lines.withColumn("cls", traceback_class()).withColumn("is_cont", continuation_flag()) \
         .withColumn("msg_start", message_start_flag())
     d = dense_prev(d, keys, "line_no", ["cls"], keep_block=True).withColumn("tb_unlinked", traceback_unlinked_flag())
+    d = d.withColumn("tb_open", traceback_open_flag(keys)).withColumn("diag_open", diagnostic_open_flag(keys))
     d = blocked_cumsum(d, keys, ["line_no"], None, {
         "msg_island": F.col("msg_start"), "tb_island": F.col("tb_unlinked"),
         "diag_island": F.when(F.col("is_cont"), 0).otherwise(1)})
-    d = d.select(*keys, "line_no", "line", "cls", "is_cont", "msg_island", "tb_island", "diag_island")
+    d = d.select(*keys, "line_no", "line", "cls", "is_cont", "tb_open", "diag_open", "msg_island", "tb_island", "diag_island")
     if materialize:
         d = materialize_table(d)
     src = source_file

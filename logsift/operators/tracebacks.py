@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logsift import constants as C
 from logsift.functions.text import is_blank, noise_predicate, truncate_middle
-from logsift.plans.scan import blocked_cumsum, dense_prev
+from logsift.plans.scan import block_window, blocked_cumsum, dense_prev
 
 RTRIM_RE = "(?U)[\\s\\x1C-\\x1F]+$"
 
@@ -33,7 +33,8 @@ def python_tracebacks(lines: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
     keys = ["artifact_id", *keep]
     d = dense_prev(lines.withColumn("cls", traceback_class()), keys, "line_no", ["cls"], keep_block=True)
     d = d.withColumn("tb_unlinked", traceback_unlinked_flag())
-    d = blocked_cumsum(d.filter(F.col("cls") != "B"), keys, ["line_no"], None,
+    d = d.filter(F.col("cls") != "B").withColumn("tb_open", traceback_open_flag(keys))
+    d = blocked_cumsum(d, keys, ["line_no"], None,
                        {"tb_island": F.col("tb_unlinked")})
     return tracebacks_from_islands(d, max_len, rules, keep, source_file)
 
@@ -56,12 +57,22 @@ def traceback_unlinked_flag():
     return F.when(F.col("cls") == "B", 0).when(linked, 0).otherwise(1)
 
 
+def traceback_open_flag(keys: Sequence[str]):
+    """Whether a header may have been seen in the line's island so far, judged within its block: the last
+    header is not above the island's first line, or the island began in an earlier block. Lines without
+    it are in no snippet and need not be grouped. Needs ``tb_unlinked`` and the block column."""
+    w = block_window(keys)
+    start = F.max(F.when(F.col("tb_unlinked") == 1, F.col("line_no"))).over(w)
+    header = F.max(F.when(F.col("line") == C.TB_HEADER, F.col("line_no"))).over(w)
+    return start.isNull() | F.coalesce(header >= start, F.lit(False))
+
+
 def tracebacks_from_islands(d: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
                             rules: Sequence = tuple(C.DEFAULT_NOISE_RULES), keep: tuple[str, ...] = (),
                             source_file: str | None = None) -> DataFrame:
     """One snippet per ``tb_island`` holding an exact header: from the header to the island end."""
     keys = ["artifact_id", *keep]
-    nb = d.filter(F.col("cls") != "B").withColumn("rt", F.regexp_replace("line", RTRIM_RE, ""))
+    nb = d.filter((F.col("cls") != "B") & F.col("tb_open")).withColumn("rt", F.regexp_replace("line", RTRIM_RE, ""))
     exact = F.col("line") == C.TB_HEADER
     grp = nb.groupBy(*keys, "tb_island").agg(
         F.min(F.when(exact, F.col("line_no"))).alias("line_number"),

@@ -28,6 +28,16 @@ def line_block(pos: str | Column, size: int | None = None) -> Column:
     return F.floor(c / F.lit(size)).cast("bigint")
 
 
+def with_block(df: DataFrame, pos: str = "line_no", size: int | None = None) -> DataFrame:
+    """Adds the block column that ``block_window`` and ``blocked_cumsum(block=None)`` work on."""
+    return df.withColumn(_BLK, line_block(pos, size))
+
+
+def block_window(key: Sequence[str], pos: str = "line_no"):
+    """Rows of a key and block up to the current one, by position."""
+    return Window.partitionBy(*key, _BLK).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def blocked_cumsum(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], block: Column | None,
                    values: dict[str, Column], inclusive: bool = True) -> DataFrame:
     """Add running sums ``{out: value}`` per ``key`` in ``order``.

@@ -56,6 +56,14 @@ def q_nearest_approx(spark, sf):
     return K.nearest_snippets_approx(q, c, TOPK, qid="query_id", cid="id", vec_col="embedding")
 
 
+@register("nearest_embeddings_approx_quality")
+def q_nearest_approx_quality(spark, sf):
+    e = _emb(spark, sf)
+    q = e.filter(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    c = e.filter(F.col("vec_id") % 5 != 0).select(F.col("vec_id").alias("id"), "embedding")
+    return K.probe_quality(q, c, TOPK, vec_col="embedding")
+
+
 @register("embed_documents")
 def q_embed(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")

@@ -35,8 +35,9 @@ from logsift.llm.common import bounded_batches, checkpoint, text_or_empty
 #: Expected rows of the training samples, number of hash cells and of selected features.
 MOST_POSITIVE, MOST_UNLABELLED, CELLS, MOST_FEATURES = 8_000, 24_000, 1 << 20, 2_048
 #: A feature is selected when its share among positives exceeds that among unlabelled texts by this many
-#: errors, and is at least this share: words that only a few positives hold tell subjects, not toxicity.
-LEAST_Z, LEAST_SHARE = 4.0, 0.02
+#: errors, and that many distinct positives hold it. The count does not grow with the number of positives,
+#: so the words of a language or subject with few of them are learned, too.
+LEAST_Z, LEAST_TEXTS = 4.0, 4
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -47,7 +48,6 @@ SEEN = 100_000
 
 def _cells(word: str) -> tuple[int, ...]:
     """Hash cells of a word: itself and its first four and five letters."""
-    word = word[:64]
     forms = {"w" + word} | {f"{n}" + word[:n] for n in (4, 5) if len(word) >= n}
     return tuple(sorted(zlib.crc32(f.encode("utf-8", "surrogatepass")) % CELLS for f in forms))
 
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return Model(np.empty(0, np.int64), np.empty(0), math.log(prior / (1 - prior)), prior)
     a, b = F.col("p") / np_, F.col("u") / nu
     z = (a - b) / F.sqrt(((F.col("p") + F.col("u") + 1) / (np_ + nu)) * (1.0 / np_ + 1.0 / nu))
-    picked = counts.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("p") >= max(2, LEAST_SHARE * np_))).orderBy(F.desc("z"), "cell").limit(MOST_FEATURES)
+    picked = counts.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("p") >= LEAST_TEXTS)).orderBy(F.desc("z"), "cell").limit(MOST_FEATURES)
     cells = np.sort(np.array([r.cell for r in picked.select("cell").collect()], np.int64))
     keep = F.array_intersect("cells", F.array(*[F.lit(int(c)) for c in cells])) if len(cells) else F.array().cast("array<int>")
     rows = seen.select("positive", F.array_sort(keep).alias("cells")).toArrow()  # bounded: samples times selected features

@@ -73,6 +73,27 @@ def test_held_out_labels_are_never_read(spark):
     assert np.array_equal(a.cells, b.cells) and np.allclose(a.weights, b.weights) and a.prior == b.prior
 
 
+def test_words_of_a_small_share_of_the_positives_are_learned(spark):
+    rnd = random.Random(8)
+    words = [a + b for a in ("ber", "tion", "lor", "em") for b in ("a", "o", "ix", "um", "est")]
+    out = [i for i in range(6600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    learned = [i for i in range(6600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    # 400 learned positives, of which 7 (under 2 %) hold the word of a rare language.
+    word = {i: "scoundrel" for i in learned[:393]} | {i: "malhechor" for i in learned[393:400] + out[:5]}
+    rows = [(i, " ".join([rnd.choice(words) for _ in range(20)] + [word.get(i, "")])) for i in range(6600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in word)) for i in range(6600) if i in word or i % 2], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert set(toxicity._cells("malhechor")) <= set(model.cells.tolist())
+    score = model.scorer()
+    assert min(score(dict(rows)[i]) for i in out[:5]) >= toxicity.THRESHOLD
+    assert max(score(t) for i, t in rows if i not in word) < toxicity.THRESHOLD
+
+
+def test_long_words_are_whole_features():
+    assert not np.array_equal(toxicity.features("x" * 64 + "a"), toxicity.features("x" * 64 + "b"))
+
+
 def test_without_positives_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")

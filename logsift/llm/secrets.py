@@ -38,13 +38,16 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run of 32 or more is what remain
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
-# Credential contexts of the method, wider than the base pattern: a cue, a joint, a value.
+# Credential contexts of the method, wider than the base pattern: a cue, a joint, a value (in quotes: up to the
+# closing quote of the line).
 CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"login", b"bearer", b"basic",
                  b"auth", b"pin")
 CONTEXT = re.compile(
     r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|client)[ _-]?key|credentials?"""
     r"""|login|auth(?:orization)?|pin)\b["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+(?:is|was)\x20+)(?:(?:bearer|basic)\x20+)?"""
-    r"""["'`]?([^\s"'`<>,;]+)|\b(?:bearer|basic)\x20+([^\s"'`<>,;]+)""", re.IGNORECASE | re.ASCII)
+    r"""(?:"((?:[^"\\\r\n]|\\.)++)"|'((?:[^'\\\r\n]|\\.)++)'|`([^`\r\n]++)`|["'`]?([^\s"'`<>,;]+))"""
+    r"""|\b(?:bearer|basic)\x20+([^\s"'`<>,;]+)""", re.IGNORECASE | re.ASCII)
+OPEN = 4  # from this group on, the value has no closing quote and may end in punctuation of its sentence
 GUESS_LEAST = 8
 #: Values from this cost on (log10 of guesses) are secrets: out of reach of 10 billion guesses.
 COST = 10.0
@@ -178,16 +181,16 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[str, int, int]
 
 def guess_spans(text: str, base: list[tuple[str, int, int]], words: dict[str, int], least_cost: float = COST,
                 low: bytes | None = None) -> list[tuple[str, int, int, float]]:
-    """(guess, start, end, cost) of costly values in credential contexts that no base span touches."""
+    """(guess, start, end, cost) of costly values in credential contexts that no base span holds whole."""
     low = text.encode("utf-8", "surrogatepass").lower() if low is None else low
     if not any(w in low for w in CONTEXT_WORDS):
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1) if m.group(1) is not None else m.span(2)
-        while b > a and text[b - 1] in ".:!?)]}":
+        a, b = m.span(m.lastindex)
+        while m.lastindex >= OPEN and b > a and text[b - 1] in ".:!?)]}":
             b -= 1
-        if b - a < GUESS_LEAST or any(a < e and s < b for _, s, e in base):
+        if b - a < GUESS_LEAST or any(s <= a and b <= e for _, s, e in base):
             continue
         cost = guess_cost(text[a:b], words)
         if cost >= least_cost and any(c.isdigit() or not c.isalnum() for c in text[a:b]):

@@ -89,6 +89,18 @@ def test_contexts(words):
     assert secrets.redact(both, secrets.scan(both, words)) == '[assign]"'
 
 
+def test_whole_values_beside_base_spans_and_in_quotes(words):
+    for text, clean in [("password: xK9vQ2pLz#8!mW7 end", "[assign] end"),
+                        ('token = "xK9vQ2pLz;8,mW7 e" end', '[assign]" end'),
+                        ('pwd: "xK9,vQ2;pLz8 mW7" end', 'pwd: "[guess]" end'),
+                        ("pwd => 'x,9;vQ2\\'pLz8mW7!' end", "pwd => '[guess]' end"),
+                        ('pwd: "xK9vQ2pLz8mW7', 'pwd: "[guess]'),
+                        ('password: abcdefgh99 end', "[assign] end")]:
+        assert secrets.redact(text, secrets.scan(text, words)) == clean
+    spans = secrets.scan("password: xK9vQ2pLz#8!mW7", words)
+    assert spans == [("assign", 0, 19), ("guess", 10, 25)]
+
+
 def test_frames(spark, words):
     long = "word " * 60_000 + "token=ABCDEFGH99"
     rows = [(1, "token: abcd1234efgh", "a"), (1, "token: abcd1234efgh", "a"), (2, None, "b"), (3, "", None),

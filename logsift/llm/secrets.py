@@ -44,13 +44,15 @@ CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"
                  b"auth", b"pin")
 CONTEXT = re.compile(
     r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|client)[ _-]?key|credentials?"""
-    r"""|login|auth(?:orization)?|pin)\b["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+(?:is|was)\x20+)(?:(?:bearer|basic)\x20+)?"""
+    r"""|login|auth(?:orization)?|pin)\b["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+(is|was)\x20+)(?:(?:bearer|basic)\x20+)?"""
     r"""(?:"((?:[^"\\\r\n]|\\.)++)"|'((?:[^'\\\r\n]|\\.)++)'|`([^`\r\n]++)`|["'`]?([^\s"'`<>,;]+))"""
     r"""|\b(?:bearer|basic)\x20+([^\s"'`<>,;]+)""", re.IGNORECASE | re.ASCII)
-OPEN = 4  # from this group on, the value has no closing quote and may end in punctuation of its sentence
+OPEN = 5  # from this group on, the value has no closing quote and may end in punctuation of its sentence
 GUESS_LEAST = 8
 #: Values from this cost on (log10 of guesses) are secrets: out of reach of 10 billion guesses.
 COST = 10.0
+#: Letters only after ``is`` or ``was`` are mostly prose and must cost this much more.
+PROSE_COST = 2.0
 
 # Keyboard rows (each row lies half a key to the right of the one above), look-alikes.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -193,7 +195,7 @@ def guess_spans(text: str, base: list[tuple[str, int, int]], words: dict[str, in
         if b - a < GUESS_LEAST or any(s <= a and b <= e for _, s, e in base):
             continue
         cost = guess_cost(text[a:b], words)
-        if cost >= least_cost and any(c.isdigit() or not c.isalnum() for c in text[a:b]):
+        if cost >= least_cost + (PROSE_COST if m.group(1) and text[a:b].isalpha() else 0.0):
             out.append(("guess", a, b, cost))
     return out
 

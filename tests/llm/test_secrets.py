@@ -101,6 +101,16 @@ def test_whole_values_beside_base_spans_and_in_quotes(words):
     assert spans == [("assign", 0, 19), ("guess", 10, 25)]
 
 
+def test_costly_values_of_letters_only(words):
+    for text in ("pwd: kXqWzRtPvBnMgHjL", "login: qzxvkjwpqhgtbnmd", "Bearer kXqWzRtPvBnMgHjLkdQw",
+                 "The pwd is kXqWzRtPvBnMgHjL"):
+        spans = secrets.scan(text, words)
+        assert [text[a:b] for _, a, b in spans] == [text.split()[-1]]
+    for text in ("The login is unfortunately closed", "basic understanding", "pin: immediately", "auth was successful",
+                 "The secret was lexicographically"):
+        assert secrets.scan(text, words) == []
+
+
 def test_frames(spark, words):
     long = "word " * 60_000 + "token=ABCDEFGH99"
     rows = [(1, "token: abcd1234efgh", "a"), (1, "token: abcd1234efgh", "a"), (2, None, "b"), (3, "", None),

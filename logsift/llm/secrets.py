@@ -39,12 +39,15 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
 # Credential contexts of the method, wider than the base pattern: a cue, a joint, a value (in quotes: up to the
-# closing quote of the line).
+# closing quote of the line). The cue may stand inside an identifier, between ``_``, ``-`` or camel-case parts; the
+# parts after it are bounded so that a line of cues is not read again from each of them.
 CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"login", b"bearer", b"basic",
                  b"auth", b"pin")
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|client)[ _-]?key|credentials?"""
-    r"""|login|auth(?:orization)?|pin)\b["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+(is|was)\x20+)(?:(?:bearer|basic)\x20+)?"""
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"""
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret[ _-]?access[ _-]?key|secret|token|(?:api|access|private|secret|client)[ _-]?key"""
+    r"""|credential|login|auth(?:orization)?|pin)s?(?:[_-][A-Za-z0-9]++|(?-i:[A-Z][a-z0-9]++)){0,16}+"""
+    r"""["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+(is|was)\x20+)(?:(?:bearer|basic)\x20+)?"""
     r"""(?:"((?:[^"\\\r\n]|\\.)++)"|'((?:[^'\\\r\n]|\\.)++)'|`([^`\r\n]++)`|["'`]?([^\s"'`<>,;]+))"""
     r"""|\b(?:bearer|basic)\x20+([^\s"'`<>,;]+)""", re.IGNORECASE | re.ASCII)
 OPEN = 5  # from this group on, the value has no closing quote and may end in punctuation of its sentence

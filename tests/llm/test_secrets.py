@@ -111,6 +111,18 @@ def test_costly_values_of_letters_only(words):
         assert secrets.scan(text, words) == []
 
 
+def test_cues_inside_identifiers(words):
+    value = "xK9vQ2pLz8mW7"
+    for cue in ("DB_PWD=", "MYSQL_PWD=", "DB_PASS=", "user_login=", "AWS_SECRET_ACCESS_KEY=", "aws_secret_access_key = ",
+                "secretAccessKey: ", "passwords: ", "db-pass: ", "dbPwd: ", "PASS_PROD=", "DB_PASS_1=", "api_keys = ", "secret-key: ",
+                "clientKeyId: ", '"user_pwd": "', "export PG_PASS_MAIN='", "--login-pin="):
+        text = f"a {cue}{value} b"
+        assert [text[x:y] for k, x, y in secrets.scan(text, words) if k == "guess"] == [value], text
+    for text in (f"passenger: {value}", f"spin: {value}", f"author: {value}", f"PASSENGER: {value}"):
+        assert secrets.scan(text, words) == []
+    assert secrets.scan("pass_" * 50_000, words) == []
+
+
 def test_frames(spark, words):
     long = "word " * 60_000 + "token=ABCDEFGH99"
     rows = [(1, "token: abcd1234efgh", "a"), (1, "token: abcd1234efgh", "a"), (2, None, "b"), (3, "", None),

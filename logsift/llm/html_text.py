@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,8 +26,15 @@ from logsift.llm.common import bounded_batches, text_or_empty
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style template noscript iframe object svg math audio video canvas datalist noframes "
-                  "noembed title area base basefont link meta param rp source track".split())
+NEVER = frozenset("head script style template noscript iframe object audio video canvas datalist noframes "
+                  "noembed title area base basefont link meta param rp source track annotation annotation-xml".split())
+#: SVG shows the text of its text elements and of foreign HTML, but not what stands in these.
+FOREIGN, SVG_SHOWN = frozenset(("svg", "math")), ("text", "foreignobject")
+SVG_NEVER = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
+#: HTML elements end SVG and MathML left open, unless they stand in one of the elements that hold HTML.
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+                         "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 RAW = frozenset("script style iframe noembed noframes noscript xmp".split())
 RAW_DECODED = frozenset(("title", "textarea"))
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure fieldset hr menu dir listing xmp".split())
@@ -49,8 +56,10 @@ _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']\S*))?""")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility|white-space)\s*:\s*([a-z-]+)", re.IGNORECASE)
 _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW | RAW_DECODED}
-#: Elements open at once; beyond, an element ends the innermost one instead of nesting (no text is lost).
-DEPTH = 512
+#: Open elements that are looked through one by one; beyond, the places kept by name tell the nearest.
+NEAR = 64
+#: Levels that indent a line; deeper ones keep their marks, or nested lists would take room by the square of their depth.
+LEVELS = 512
 #: Table columns are padded up to this many characters; longer cells stay whole, their column just ends later.
 PAD = 40
 
@@ -76,6 +85,7 @@ class Flow:
         self.part: list[str] = []
         self.gap = self.space = False
         self.indents: list[list[str | None]] = []
+        self.told = 0  # levels before this one have shown their marks
 
     def text(self, data: str) -> None:
         for_line = _SPACES.sub(" ", data)
@@ -107,10 +117,13 @@ class Flow:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        lead = ""
-        for level in self.indents:
-            lead += level[1] if level[1] is not None else level[0]
+        told = min(self.told, len(self.indents))
+        lead = "".join(level[0] for level in self.indents[:min(told, LEVELS)])
+        for k in range(told, len(self.indents)):
+            level = self.indents[k]
+            lead += level[1] if level[1] is not None else level[0] if k < LEVELS else ""
             level[1] = None
+        self.told = len(self.indents)
         self.lines.append((lead + line).rstrip(" "))
 
     def block(self, spaced: bool) -> None:
@@ -186,6 +199,7 @@ class Page:
         #: name, and whether its subtree is not displayed, its text invisible, its blanks kept, and list state
         self.open: list[list] = []
         self.depth_of: Counter[str] = Counter()
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.gone = 0
         self.unseen = False
         self.pre = 0
@@ -196,12 +210,16 @@ class Page:
     def has(self, names, walls=WALL) -> bool:
         if not any(self.depth_of[name] for name in names):
             return False
-        for e in reversed(self.open):
+        for e in self.open[:-NEAR - 1:-1]:
             if e[0] in names:
                 return True
             if e[0] in walls:
                 return False
-        return False
+        return self.last(names) >= max(0, self.last(walls))
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((self.places[name][-1] for name in names if self.depth_of[name]), default=-1)
 
     def close_to(self, names) -> None:
         """Close open elements up to and including the nearest of these names."""
@@ -210,6 +228,8 @@ class Page:
                 return
 
     def start(self, name: str, source: str) -> None:
+        if name in ENDS_FOREIGN and (self.depth_of["svg"] or self.depth_of["math"]) and self.last(FOREIGN) > self.last(HOLDS_HTML):
+            self.close_to(FOREIGN)
         if name in ("html", "body") and self.depth_of[name]:
             return
         if name == "body" or (name in BLOCK and name not in ("html", "head")):
@@ -228,10 +248,9 @@ class Page:
             if not self.has(("table",), ()):
                 return
             self.table_part(name)
-        if len(self.open) >= DEPTH:
-            self.leave_last()
         self.enter(name, attributes(source) if source.strip(" /\n\t\r\f") else {})
-        if name in VOID:
+        if name in VOID or (source.endswith("/") and (self.depth_of["svg"] or self.depth_of["math"])
+                            and self.last(FOREIGN) >= self.last(HOLDS_HTML - {name})):
             self.leave_last()
 
     def table_part(self, name: str) -> None:
@@ -283,12 +302,16 @@ class Page:
                     unseen = value in ("hidden", "collapse")
                 else:
                     pre = value.startswith("pre") and value != "pre-line"
+        if self.depth_of["svg"]:
+            gone = gone or name in SVG_NEVER or attrs.get("display") == "none"
+            unseen = unseen or attrs.get("visibility") in ("hidden", "collapse")
         if name == "dialog" and "open" not in attrs:
             gone = True
         if self.open and self.open[-1][0] == "details" and name != "summary" and not self.open[-1][4]:
             gone = True
         # name, gone, former unseen, pre, state
         element = [name, gone, self.unseen, pre, "open" in attrs if name == "details" else None]
+        self.places[name].append(len(self.open))
         self.open.append(element)
         self.depth_of[name] += 1
         self.gone += gone
@@ -298,6 +321,8 @@ class Page:
             return
         self.drop_newline = name in PRE
         flow = self.flow
+        if name == "text" and self.depth_of["svg"]:
+            flow.text(" ")
         if name == "br":
             flow.end_line(force=True)
         elif name == "hr":
@@ -325,19 +350,18 @@ class Page:
             flow.text(attrs.get("value", ""))
 
     def marker(self, attrs: dict[str, str]) -> list[str | None]:
-        for e in reversed(self.open[:-1]):
-            if e[0] in LISTS and e[4]:
-                if e[4][0]:
-                    e[4][1] = _number(attrs.get("value"), e[4][1], 10**9)
-                    mark = f"{e[4][1]}. "
-                    e[4][1] += e[4][2]
-                    return [" " * len(mark), mark]
-                break
+        e = self.open[at] if (at := self.last(LISTS)) >= 0 else [None] * 5
+        if e[4] and e[4][0]:
+            e[4][1] = _number(attrs.get("value"), e[4][1], 10**9)
+            mark = f"{e[4][1]}. "
+            e[4][1] += e[4][2]
+            return [" " * len(mark), mark]
         return ["  ", "- "]
 
     def leave_last(self) -> str:
         name, gone, unseen, pre, state = self.open.pop()
         self.depth_of[name] -= 1
+        self.places[name].pop()
         shown = not self.gone
         self.gone -= gone
         self.unseen = unseen
@@ -366,6 +390,7 @@ class Page:
             flow.block(name in SPACED and not (name in LISTS and any(self.depth_of[x] for x in LISTS)))
             if name in ("li", "dd", "blockquote") and flow.indents:
                 flow.indents.pop()
+                flow.told = min(flow.told, len(flow.indents))
         return name
 
     def data(self, text: str) -> None:
@@ -375,6 +400,8 @@ class Page:
             self.drop_newline = False
         if not text or self.gone or self.unseen:
             return
+        if self.depth_of["svg"] and self.last(SVG_SHOWN) < self.last(("svg",)):
+            return
         if self.open and self.open[-1][0] == "details" and not self.open[-1][4]:
             return
         if self.grids and self.open[-1][0] in ("table", "thead", "tbody", "tfoot", "tr", "colgroup"):

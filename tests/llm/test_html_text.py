@@ -80,3 +80,17 @@ def test_frames(spark):
     got = sorted((r.page_id or 0, len(r.text)) for r in with_visible_text(pages).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (2, 0), (3, 399_999)]
     assert with_visible_text(pages.limit(0)).count() == 0
+
+
+def test_formulas_and_drawings_show_their_text():
+    page = ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> b</p><svg><title>t</title><defs><text>d</text>"
+            "</defs>loose<path d='M0'/><text>one</text><text>two</text></svg><p>end")
+    assert render(page).split() == ["a", "x=2", "b", "one", "two", "end"]
+    assert render("<svg><text/><path>gone<p>seen") == "seen"
+
+
+def test_hidden_elements_and_lists_stay_whole_at_any_depth():
+    deep = "<b>" * 700
+    assert render(deep + "<div hidden><i>no</i>no</div><ol><li>one<li>two</ol>") == "1. one\n2. two"
+    assert render("<ul><li>x" * 2000).count("- x") == 2000
+    assert render("<b><div>" + "<span>" * 20_000 + "</b>" * 20_000 + "x") == "x"

@@ -2,8 +2,9 @@
 
 Base kinds are patterns (``assign``, ``access``, ``hex``). The method adds ``guess`` spans: values
 that stand in a credential context (``login: …``, ``pwd is …``, ``Authorization: Bearer …``) and
-whose guess cost is high. The cost of a value is the least, over all its segmentations, of the sum of
-the segments' costs (log10 of guesses):
+whose guess cost is high. The cost of a value is the least, over its segmentations, of the sum of the
+segments' costs (log10 of guesses). Repeats and walks are segments as the maximal runs found, dates by
+their longest match, words by up to 20 letters, so the cost may be above the least over all segmentations:
 
 * word: rank in a frequency-ranked dictionary, plus capital letters and look-alike digits
 * date: years, or day-month-year runs with or without separators

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, html_text, mixing, neighbours, quality, secrets, simhash, toxicity, urls
+from logsift.llm import bpe, chat, html_text, merkle, mixing, neighbours, quality, secrets, simhash, toxicity, urls
 from logsift.llm.common import table
 from logsift.llm.registry import register
 
@@ -232,3 +232,61 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = simhash.near_duplicates(docs, "doc_id", "text", shingle=4, threshold=4, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE table32 AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k:
+           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, lang, n_chars, doc_id::VARCHAR AS k,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+         || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+  FROM documents),
+c AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS tampered
+  FROM d, table32),
+l AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g,
+         sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(length((n_chars + CASE WHEN tampered THEN 1 ELSE 0 END)::VARCHAR) || ':'
+                                 || (n_chars + CASE WHEN tampered THEN 1 ELSE 0 END), '-') || tail) AS claimed
+  FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+up AS (
+  SELECT g, 0 AS lvl, i, n, leaf AS h FROM p
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY g, lvl, i // 2, n),
+sub AS (SELECT g, h, lvl AS deep, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, i, n, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+node AS (SELECT g, lvl, i, n, h FROM up WHERE n > 1
+         UNION ALL SELECT sub.g, deep + top.lvl, top.i, top.n, top.h FROM top, sub WHERE top.n > 1),
+walk AS (
+  SELECT p.g, p.i AS leaf_no, 0 AS lvl, CASE WHEN deep = 0 THEN sub.i ELSE p.i END AS slot, claimed AS h, ''::VARCHAR AS proof, deep, sub.i AS of
+  FROM p JOIN sub USING (g)
+  UNION ALL
+  SELECT w.g, leaf_no, w.lvl + 1, CASE WHEN w.lvl + 1 = deep THEN of ELSE slot // 2 END,
+         sha256(CASE WHEN o.h IS NULL THEN w.h WHEN slot % 2 = 1 THEN o.h || w.h ELSE w.h || o.h END), proof || coalesce(o.h, ''), deep, of
+  FROM walk AS w JOIN (SELECT DISTINCT g, lvl FROM node) AS m ON m.g = w.g AND m.lvl = w.lvl
+  LEFT JOIN node AS o ON o.g = w.g AND o.lvl = w.lvl AND o.i = xor(slot, 1)),
+done AS (SELECT *, max(lvl) OVER (PARTITION BY g) AS last FROM walk)
+SELECT p.doc_id, p.i AS leaf_no, leaf, sub.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, done.h AS folded_root, done.h = r.h AS verified
+FROM done JOIN p ON p.g = done.g AND p.i = leaf_no JOIN sub ON sub.g = p.g, (SELECT h FROM top WHERE n = 1) AS r
+WHERE done.lvl = last"""
+
+
+@register("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; where 7 divides the id's CRC-32, a row claims one character more than it has."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    forged = F.when(tampered, merkle.leaf([F.col(c) + 1 if c == "n_chars" else c for c in fields]))
+    rows = merkle.manifest(docs, fields, id_col="doc_id", group="lang", claimed=forged)
+    return rows.select(F.col("id").alias("doc_id"), "leaf_no", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"),
+                       F.col("folded").alias("folded_root"), "verified")

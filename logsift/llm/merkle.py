@@ -173,7 +173,7 @@ def _reduced(arrays: DataFrame) -> DataFrame:
 
 
 def _paths(arrays: DataFrame, above: DataFrame) -> DataFrame:
-    """``(g, b, path, subroot)`` of every node in these arrays; ``above`` has them for the arrays' own nodes."""
+    """``(g, b, path, subroot, root)`` of every node in these arrays; ``above`` has them for the arrays' own nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -182,8 +182,9 @@ def _paths(arrays: DataFrame, above: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "g": pa.array([r["g"]] * len(own), pa.string()), "b": pa.array([s["slot"] for s in spread], pa.int64()),
                     "path": pa.array([",".join(p for p in (o, r["path"]) if p) for o in own], pa.string()),
-                    "subroot": pa.array([r["subroot"]] * len(own), pa.binary())})
-    return arrays.join(above, ["g", "b"]).mapInArrow(run, "g string, b long, path string, subroot binary")
+                    "subroot": pa.array([r["subroot"]] * len(own), pa.binary()),
+                    "root": pa.array([r["root"]] * len(own), pa.binary())})
+    return arrays.join(above, ["g", "b"]).mapInArrow(run, "g string, b long, path string, subroot binary, root binary")
 
 
 def _climb(nodes: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
@@ -228,16 +229,15 @@ def manifest(docs: DataFrame, fields: Sequence[str | Column], id_col: str = "doc
         return _rows(leaves.withColumn("path", F.lit("")).withColumn("subroot", F.col("g").cast("binary"))
                      .withColumn("root", F.col("subroot")), with_path)
     above_steps, root = _climb(tops, groups)
-    down = root.select("g", F.lit(0).cast("long").alias("b"), F.lit("").alias("path"), F.col("leaf").alias("subroot"))
+    down = root.select("g", F.lit(0).cast("long").alias("b"), F.lit("").alias("path"), F.col("leaf").alias("subroot"),
+                       F.col("leaf").alias("root"))
     for arrays in reversed(above_steps):
         down = _paths(arrays, down)
-    down = tops.join(down.withColumnRenamed("b", "place").drop("g"), "place").select(
-        F.col("of").alias("g"), F.lit(0).cast("long").alias("b"), "path", F.col("leaf").alias("subroot"), F.col("subroot").alias("root"))
-    roots = checkpoint(down)
-    down = roots.select("g", "b", "path", "subroot")
+    down = tops.join(down.withColumnRenamed("b", "place").select("place", "path", "root"), "place").select(
+        F.col("of").alias("g"), F.lit(0).cast("long").alias("b"), "path", F.col("leaf").alias("subroot"), "root")
     for arrays in reversed(steps):
         down = _paths(arrays, down)
-    return _rows(leaves.join(down, ["g", "b"]).join(roots.select("g", "root"), "g"), with_path)
+    return _rows(leaves.join(down, ["g", "b"]), with_path)
 
 
 def _rows(arrays: DataFrame, with_path: bool) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, html_text, merkle, mixing, neighbours, quality, secrets, simhash, toxicity, urls
+from logsift.llm import bpe, chat, html_text, langid, merkle, mixing, neighbours, quality, secrets, simhash, toxicity, urls
 from logsift.llm.common import table
 from logsift.llm.registry import register
 
@@ -290,3 +290,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.manifest(docs, fields, id_col="doc_id", group="lang", claimed=forged)
     return rows.select(F.col("id").alias("doc_id"), "leaf_no", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"),
                        F.col("folded").alias("folded_root"), "verified")
+
+
+@register("op13_segmentation_langid")
+def op13_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages are learned from the rows that are not held out and told for all."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return langid.with_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")

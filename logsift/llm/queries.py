@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, html_text, langid, merkle, mixing, neighbours, quality, secrets, simhash, toxicity, urls
+from logsift.llm import bpe, chat, html_text, langid, merkle, mixing, negatives, neighbours, quality, secrets, simhash, toxicity, urls
 from logsift.llm.common import table
 from logsift.llm.registry import register
 
@@ -299,3 +299,30 @@ def op13_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs, langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
     return langid.with_language(docs.select("doc_id", "text"), model).select(
         "doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+OP12_SQL = r"""
+WITH r AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM r WHERE id % 100 = 0),
+s AS (
+  SELECT a.id AS anchor, a.label AS own, r.id, r.label, list_sum(list_transform(range(1, len(r.v) + 1), lambda i: a.v[i] * r.v[i]))::BIGINT AS score
+  FROM a JOIN r ON len(a.v) = len(r.v)),
+p AS (SELECT * FROM s WHERE label = own AND id <> anchor QUALIFY row_number() OVER (PARTITION BY anchor, own ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id,
+       (row_number() OVER (PARTITION BY p.anchor, p.own, p.id ORDER BY n.score DESC, n.id))::INTEGER AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s AS n ON n.anchor = p.anchor AND n.own = p.own AND n.label <> p.own AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10"""
+
+
+@register("op12_one_bit_negatives", OP12_SQL)
+def op12_one_bit_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; where 7 divides the id, the label is the next one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = negatives.mine(moved, F.col("vec_id") % 100 == 0)
+    return found.withColumn("rank", F.col("rank").cast("int"))

@@ -8,8 +8,9 @@ code) the Cauchy-Schwarz inequality for what lies off the code says
 
     cos a cos b - sin a sin b  <=  cosine of vector and query  <=  cos a cos b + sin a sin b,
 
-an interval that always holds. Vectors whose interval cannot meet what is asked for (the best so many, or
-scores in a window) are dropped; every other one is scored in integers, so results are exact.
+an interval that always holds. The vectors that look best by their estimates are scored first; those whose
+interval then cannot meet what is asked for (the best so many, scores in a window) are dropped, and
+every other one is scored in integers, so results are exact.
 
 An index row holds one block of vectors. The vectors move once, into their blocks; batches of queries are sent to
 every block, and only the best few rows per block and query come back.
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from logsift.llm.common import checkpoint, partitions_for
 
-#: Expected vectors of a block and queries of a batch, bit planes of a rounded query.
-VECTORS, QUERIES, PLANES = 4096, 256, 6
+#: Expected vectors of a block and queries of a batch, bit planes of a rounded query, vectors scored first per row asked for.
+VECTORS, QUERIES, PLANES, FIRST = 4096, 256, 6, 4
 #: Slack on every interval, relative to the product of lengths, for rounding in floating point.
 SLACK = 1e-9
 #: Scores are longs: squared lengths stay below this, so every inner product fits.
@@ -68,13 +69,13 @@ class Codes:
         return cls(np.packbits(bits, axis=1, bitorder="little").view("<u8"), length, np.arccos(np.clip(cos, -1, 1)))
 
 
-def score_bounds(codes: Codes, query: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interval that holds the inner product of every coded vector with the query."""
+def score_bounds(codes: Codes, query: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Estimate of the inner product of every coded vector with the query, and an interval that holds it."""
     dim = len(query)
     turned = query.astype(np.float64) @ rotation(dim, seed) if dim else np.zeros(0)
     norm = float(np.sqrt((turned * turned).sum()))
     if norm == 0:
-        return np.zeros(len(codes.length)), np.zeros(len(codes.length))
+        return (np.zeros(len(codes.length)),) * 3
     unit = turned / norm
     low, step = unit.min(), (unit.max() - unit.min()) / ((1 << PLANES) - 1) or 1.0
     steps = np.rint((unit - low) / step).astype(np.int64)
@@ -92,14 +93,14 @@ def score_bounds(codes: Codes, query: np.ndarray, seed: int) -> tuple[np.ndarray
     most = np.minimum(codes.angle + far, np.pi)
     size = codes.length * norm
     slack = SLACK * size + SLACK
-    return size * np.cos(most) - slack, size * np.cos(least) + slack
+    return size * cos / np.maximum(np.cos(codes.angle), 1e-9), size * np.cos(most) - slack, size * np.cos(least) + slack
 
 
 def integer_scores(vectors: np.ndarray, query: np.ndarray, size: float) -> np.ndarray:
     """Exact inner products; in doubles where ``size``, the product of lengths, proves every partial sum exact."""
     if size < float(1 << 52):
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    return (vectors.astype(np.int64) * query.astype(np.int64)).sum(axis=1)
+        return (vectors.astype(np.float64, copy=False) @ query.astype(np.float64)).astype(np.int64)
+    return (vectors.astype(np.int64, copy=False) * query.astype(np.int64)).sum(axis=1)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -110,15 +111,23 @@ def search(vectors: np.ndarray, codes: Codes, ids: np.ndarray, allowed: np.ndarr
            windows: Sequence[tuple[int, int]], seed: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
     """For every window (least and greatest score, inclusive) ids and scores of the k best allowed vectors,
     ties to smaller ids; and how many vectors were scored."""
-    low, high = score_bounds(codes, query, seed)
-    wanted, floors = np.zeros(len(ids), bool), []
+    guess, low, high = score_bounds(codes, query, seed)
+    norm = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
+
+    def exact(at: np.ndarray) -> np.ndarray:
+        return integer_scores(vectors[at], query, float(codes.length[at].max(initial=0)) * norm)
+
+    wanted = np.zeros(len(ids), bool)
     for a, b in windows:
-        inside = allowed & (low >= a) & (high <= b)  # these are in the window whatever their score
-        floor = max(float(a), float(np.partition(low[inside], -k)[-k])) if inside.sum() >= k else float(a)
-        wanted |= allowed & (high >= floor) & (low <= b)
+        able = np.flatnonzero(allowed & (high >= a) & (low <= b))
+        fit = able[guess[able] <= b]
+        first = fit[np.argpartition(-guess[fit], FIRST * k)[:FIRST * k]] if len(fit) > FIRST * k else fit
+        sure = exact(first)
+        sure = sure[(sure >= a) & (sure <= b)]
+        floor = np.partition(sure, -k)[-k] if len(sure) >= k else a  # so many are at least as good
+        wanted[able[high[able] >= floor]] = True
     at = np.flatnonzero(wanted)
-    size = float(codes.length[at].max(initial=0)) * float(np.sqrt((query.astype(np.float64) ** 2).sum()))
-    scores = integer_scores(vectors[at], query, size)
+    scores = exact(at)
     out = []
     for a, b in windows:
         fit = np.flatnonzero((scores >= a) & (scores <= b))
@@ -192,6 +201,7 @@ def _searched(pairs: DataFrame, k: int, seed: int, shares: tuple[int, int] | Non
             for row in batch.to_pylist():
                 ids, labels, vecs = _read(row)
                 codes = Codes(np.frombuffer(row["words"], "<u8").reshape(row["n"], -1), np.frombuffer(row["length"]), np.frombuffer(row["angle"]))
+                vecs = vecs.astype(np.float64 if codes.length.max() < 1 << 26 else np.int64)  # once for all queries
                 windows: dict[int, list[tuple[int, int, int]]] = {}
                 for x in row.get("q_windows", ()):
                     windows.setdefault(x["q"], []).append((x["w"], -(-shares[0] * x["score"] // 100), shares[1] * x["score"] // 100))

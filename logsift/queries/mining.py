@@ -195,8 +195,13 @@ rounds AS (
                    >= size * {C.TEMPLATE_SIM_TH} THEN lt END
   FROM (SELECT *, first_value(template) OVER w AS lt, first_value(toks) OVER w AS ltoks FROM rounds WHERE lead IS NULL
         WINDOW w AS (PARTITION BY artifact_id, size, head ORDER BY line_number))),
-clusters AS (SELECT artifact_id, lead AS template, min(line_number) AS line_number, arg_min(text, line_number) AS text,
-                    max(last_seen) AS last_seen, CAST(sum(n) AS BIGINT) AS n FROM rounds WHERE lead IS NOT NULL GROUP BY 1, 2)
+places AS (SELECT artifact_id, lead, i, min(toks[i]) AS low, max(toks[i]) AS high
+           FROM (SELECT artifact_id, lead, toks, unnest(range(1, size + 1)) AS i FROM rounds WHERE lead IS NOT NULL) GROUP BY 1, 2, 3),
+merged AS (SELECT artifact_id, lead, string_agg(CASE WHEN low = high THEN low ELSE {sql_str(C.WILDCARD)} END, ' ' ORDER BY i) AS template
+           FROM places GROUP BY 1, 2),
+clusters AS (SELECT artifact_id, any_value(merged.template) AS template, min(line_number) AS line_number, arg_min(text, line_number) AS text,
+                    max(last_seen) AS last_seen, CAST(sum(n) AS BIGINT) AS n
+             FROM rounds JOIN merged USING (artifact_id, lead) GROUP BY artifact_id, lead)
 """
 
 

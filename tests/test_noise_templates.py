@@ -90,3 +90,58 @@ def test_similar_messages_are_one_cluster(spark):
     assert sorted(r["line_number"] for r in top) == [4, 5, 6]
     strict = cluster_templates(mined, threshold=0.9)
     assert strict.count() == 6
+
+
+def clusters_of(spark, log, **kw):
+    from logsift.operators.templates import cluster_templates
+    mined = mine_templates(assemble_messages(lines_df(spark, log), 2000).drop("source_file"))
+    return sorted((r["line_number"], r["template"], r["n"]) for r in cluster_templates(mined, **kw).collect())
+
+
+def test_members_that_differ_at_two_places_merge(spark):
+    log = "\n".join(["Package: foo not available from repo alpha", "Package: bar not available from repo beta",
+                     "Package: foo not available from repo gamma", "Package: foo was never in any repo"])
+    assert clusters_of(spark, log) == [(1, "Package: <*> not available from repo <*>", 3), (4, "Package: foo was never in any repo", 1)]
+
+
+def leaders_by_hand(messages, threshold=0.4):
+    """One message after the other: the first leader it agrees with takes it."""
+    seen, leaders, members = set(), [], {}
+    for line, text in enumerate(messages, 1):
+        toks = text.split(" ")
+        if text in seen:
+            continue
+        seen.add(text)
+        home = next((i for i, other in leaders if len(other) == len(toks) and other[0] == toks[0]
+                     and sum(a == b for a, b in zip(other, toks)) >= threshold * len(toks)), None)
+        if home is None:
+            leaders.append((line, toks))
+            home = line
+        members.setdefault(home, []).append(toks)
+    return {i: " ".join(x[0] if len(set(x)) == 1 else "<*>" for x in zip(*m)) for i, m in members.items()}
+
+
+def test_clusters_of_random_messages(spark):
+    import random
+    rng = random.Random(8)
+    words = [f"w{c}" for c in "abcdefgh"]
+    log = [" ".join(["E:", *(rng.choice(words[:rng.choice((2, 8))]) for _ in range(rng.choice((1, 4, 6))))]) for _ in range(400)]
+    got = {line: t for line, t, _ in clusters_of(spark, "\n".join(log))}
+    assert got == leaders_by_hand(log)
+
+
+def test_many_unlike_signatures_take_few_rounds(spark, monkeypatch):
+    from logsift.operators import templates as T
+    letters = "abcdefghijklmnopqrst"
+
+    def word(i):
+        return letters[i // 400 % 20] + letters[i // 20 % 20] + letters[i % 20]
+    # All share the first token, half of them a second one; none agrees with another in three of six.
+    log = [" ".join(["ERROR", word(i) + "x", word(i) + "y", word(i) + "z", word(i) + "u", "late" if i % 2 else word(i)]) for i in range(2000)]
+    log.append("ERROR aaax aaay aaaz other words")
+    rounds = []
+    elect = T.elect_leaders
+    monkeypatch.setattr(T, "elect_leaders", lambda *a: (rounds.append(elect(*a)), rounds[-1])[1])
+    got = clusters_of(spark, "\n".join(log))
+    assert len(got) == 2000 and got[0] == (1, "ERROR aaax aaay aaaz <*> <*>", 2)
+    assert rounds[0][1] <= 11

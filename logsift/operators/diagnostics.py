@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from logsift import constants as C
 from logsift.functions.text import is_blank, noise_predicate
-from logsift.plans.scan import block_window, blocked_cumsum, with_block
+from logsift.plans.scan import block_window, island_key, local_islands, stitch, with_block
 
 # FIXED VALUES — diagnostic line shapes
 LOCATED_ERROR_RE = (r"^([^:\s][^:]*):(\d+):(?:(\d+):)?\s+(?:fatal\s+)?error:\s+(.*?)"
@@ -48,8 +48,7 @@ def compiler_errors(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     keys = ["artifact_id", *keep]
     d = with_block(lines.withColumn("is_cont", continuation_flag()))
     d = d.withColumn("diag_open", diagnostic_open_flag(keys))
-    d = blocked_cumsum(d, keys, ["line_no"], None,
-                       {"diag_island": F.when(F.col("is_cont"), 0).otherwise(1)})
+    d = local_islands(d, keys, {"diag_island": F.when(F.col("is_cont"), 0).otherwise(1)})
     return diagnostics_from_islands(d, keep)
 
 
@@ -71,13 +70,14 @@ def diagnostic_open_flag(keys: Sequence[str]):
 
 
 def diagnostics_from_islands(d: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One defect per ``diag_island`` headed by an error line; identical defects once."""
+    """One defect per island headed by an error line; identical defects once."""
     keys = ["artifact_id", *keep]
     loc = F.col("line").rlike(LOCATED_ERROR_RE)
     tool = F.col("line").rlike(TOOL_ERROR_RE)
-    # Only error heads and the indented lines below them can be part of a defect.
-    d = d.filter("diag_open").withColumn("kind", F.when(loc, F.lit(1)).when(tool, F.lit(2)))
-    d = d.filter(F.col("kind").isNotNull() | F.col("is_cont"))
+    # Only error heads and the indented lines below them can be part of a defect; a block's last island goes on
+    # even without a head, as a mark.
+    d = d.filter(F.col("diag_open") | F.col("diag_island_last")).withColumn("kind", F.when(loc, F.lit(1)).when(tool, F.lit(2)))
+    d = d.filter(F.col("kind").isNotNull() | F.col("is_cont") | F.col("diag_island_last"))
     head = F.when(F.col("kind") == 1, F.struct(
         F.regexp_extract("line", LOCATED_ERROR_RE, 1).alias("file_name"),
         F.regexp_extract("line", LOCATED_ERROR_RE, 2).cast("int").alias("src_line"),
@@ -87,9 +87,11 @@ def diagnostics_from_islands(d: DataFrame, keep: tuple[str, ...] = ()) -> DataFr
             F.lit(0).alias("src_line"),
             F.regexp_extract("line", TOOL_ERROR_RE, 2).alias("message"),
             F.col("line_no").alias("line_no")))
-    g = d.groupBy(*keys, "diag_island").agg(
+    pieces = d.groupBy(*island_key(keys, "diag_island")).agg(
         F.max(head).alias("head"),
-        F.collect_list(F.when(F.col("is_cont"), F.struct("line_no", "line"))).alias("conts"))
+        F.collect_list(F.when(F.col("is_cont") & F.col("diag_open"), F.struct("line_no", "line"))).alias("conts"))
+    chained, whole = stitch(pieces, keys, "diag_island")
+    g = chained.groupBy(*whole).agg(F.max("head").alias("head"), F.flatten(F.collect_list("conts")).alias("conts"))
     g = g.filter(F.col("head").isNotNull())
     conts = F.transform(F.array_sort("conts"), lambda x: x["line"])
     text = F.array_join(F.concat(F.array(F.col("head.message")), conts), "\n")

@@ -72,11 +72,11 @@ def extract_fused(lines: DataFrame, max_clusters: int = 8, max_snippet_len: int
                   materialize: bool = True) -> DataFrame:
     """The three built-in extractors (templates, compiler errors, tracebacks) from ONE pass.
 
-    One classification, one halo-lag window and one blocked scan give every line its message,
-    traceback and diagnostic island at once (a cumulative count over all lines where excluded
+    One classification and one halo-lag window give every line its message, traceback and
+    diagnostic island inside its block at once (a running count over all lines where excluded
     lines count 0 numbers the included lines exactly as the separate operators do). The
-    islanded lines are written once (``materialize``) and each builder groups its own subset.
-    Same output as ``extract_all`` with the three extractors.
+    islanded lines are written once (``materialize``); each builder groups its own subset and
+    stitches it at block boundaries. Same output as ``extract_all`` with the three extractors.
     """
     from logsift import constants as C
     from logsift.operators.diagnostics import continuation_flag, diagnostic_open_flag, diagnostics_from_islands
@@ -85,7 +85,7 @@ def extract_fused(lines: DataFrame, max_clusters: int = 8, max_snippet_len: int
     from logsift.operators.templates import mine_templates, representative_snippets
     from logsift.operators.tracebacks import (traceback_class, traceback_open_flag, traceback_unlinked_flag,
                                                tracebacks_from_islands)
-    from logsift.plans.scan import blocked_cumsum, dense_prev
+    from logsift.plans.scan import dense_prev, island_key, local_islands
 
     rules = tuple(C.DEFAULT_NOISE_RULES) if rules is None else rules
     keys = ["artifact_id", *keep]
@@ -93,10 +93,11 @@ def extract_fused(lines: DataFrame, max_clusters: int = 8, max_snippet_len: int
         .withColumn("msg_start", message_start_flag())
     d = dense_prev(d, keys, "line_no", ["cls"], keep_block=True).withColumn("tb_unlinked", traceback_unlinked_flag())
     d = d.withColumn("tb_open", traceback_open_flag(keys)).withColumn("diag_open", diagnostic_open_flag(keys))
-    d = blocked_cumsum(d, keys, ["line_no"], None, {
-        "msg_island": F.col("msg_start"), "tb_island": F.col("tb_unlinked"),
-        "diag_island": F.when(F.col("is_cont"), 0).otherwise(1)})
-    d = d.select(*keys, "line_no", "line", "cls", "is_cont", "tb_open", "diag_open", "msg_island", "tb_island", "diag_island")
+    islands = {"msg_island": F.col("msg_start"), "tb_island": F.col("tb_unlinked"),
+               "diag_island": F.when(F.col("is_cont"), 0).otherwise(1)}
+    d = local_islands(d, keys, islands)
+    d = d.select("line_no", "line", "cls", "is_cont", "tb_open", "diag_open",
+                 *dict.fromkeys(c for i in islands for c in island_key(keys, i)))
     if materialize:
         d = materialize_table(d)
     src = source_file

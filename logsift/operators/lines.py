@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logsift import constants as C
 from logsift.functions.text import split_lines_array, starts_message
-from logsift.plans.scan import blocked_cumsum, line_block
+from logsift.plans.scan import island_key, local_islands, stitch, with_block
 
 
 def split_lines(df: DataFrame, id_col: str = "artifact_id", text_col: str = "text",
@@ -27,15 +27,15 @@ def assemble_messages(lines: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
     exceeds ``max_len`` it is cut to ``max_len-11`` chars plus ``<truncated>`` and emitted at
     once; a following continuation line then starts a new chunk at its own line number.
 
-    Plan: islands are a blocked running count of message starts (bounded window groups);
-    each island is folded with ``aggregate`` over its ordered lines, which reproduces the
-    sequential cut exactly.
+    Plan: islands are numbered by a running count of message starts inside blocks, gathered where
+    their lines already are, and stitched at block boundaries; each island is folded with ``aggregate``
+    over its ordered lines, which reproduces the sequential cut exactly.
     """
     if max_len < C.MIN_SNIPPET_LEN:
         raise ValueError(f"Snippets must be at least {C.MIN_SNIPPET_LEN} chars long")
     keys = ["artifact_id", *keep]
     ne = lines.filter(F.length("line") > 0).withColumn("msg_start", message_start_flag())
-    ne = blocked_cumsum(ne, keys, ["line_no"], line_block("line_no"), {"msg_island": F.col("msg_start")})
+    ne = local_islands(with_block(ne), keys, {"msg_island": F.col("msg_start")})
     return messages_from_islands(ne, max_len, keep)
 
 
@@ -48,8 +48,10 @@ def messages_from_islands(d: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
                           keep: tuple[str, ...] = ()) -> DataFrame:
     """Fold the non-empty lines of each ``msg_island`` into chunks (cut at ``max_len``)."""
     keys = ["artifact_id", *keep]
-    grp = d.filter(F.length("line") > 0).groupBy(*keys, "msg_island").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    pieces = d.filter(F.length("line") > 0).groupBy(*island_key(keys, "msg_island")).agg(
+        F.collect_list(F.struct("line_no", "line")).alias("ls"))
+    chained, whole = stitch(pieces, keys, "msg_island")
+    grp = chained.groupBy(*whole).agg(F.array_sort(F.flatten(F.collect_list("ls"))).alias("ls"))
     keep_n = max(max_len - len(C.TRUNCATED), 0)
     init = F.struct(F.lit("").alias("acc"), F.lit(0).cast("bigint").alias("start"),
                     F.array().cast("array<struct<line_number:bigint,text:string>>").alias("out"))

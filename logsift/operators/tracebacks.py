@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logsift import constants as C
 from logsift.functions.text import is_blank, noise_predicate, truncate_middle
-from logsift.plans.scan import block_window, blocked_cumsum, dense_prev
+from logsift.plans.scan import block_window, dense_prev, island_key, local_islands, stitch
 
 RTRIM_RE = "(?U)[\\s\\x1C-\\x1F]+$"
 
@@ -32,10 +32,8 @@ def python_tracebacks(lines: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
     """``lines(artifact_id, line_no, line)`` -> ``(artifact_id, *keep, line_number, text)``."""
     keys = ["artifact_id", *keep]
     d = dense_prev(lines.withColumn("cls", traceback_class()), keys, "line_no", ["cls"], keep_block=True)
-    d = d.withColumn("tb_unlinked", traceback_unlinked_flag())
-    d = d.filter(F.col("cls") != "B").withColumn("tb_open", traceback_open_flag(keys))
-    d = blocked_cumsum(d, keys, ["line_no"], None,
-                       {"tb_island": F.col("tb_unlinked")})
+    d = d.withColumn("tb_unlinked", traceback_unlinked_flag()).withColumn("tb_open", traceback_open_flag(keys))
+    d = local_islands(d, keys, {"tb_island": F.col("tb_unlinked")})
     return tracebacks_from_islands(d, max_len, rules, keep, source_file)
 
 
@@ -70,13 +68,19 @@ def traceback_open_flag(keys: Sequence[str]):
 def tracebacks_from_islands(d: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
                             rules: Sequence = tuple(C.DEFAULT_NOISE_RULES), keep: tuple[str, ...] = (),
                             source_file: str | None = None) -> DataFrame:
-    """One snippet per ``tb_island`` holding an exact header: from the header to the island end."""
+    """One snippet per island holding an exact header: from the header to the island end.
+
+    Lines are gathered per block first (they are dealt out that way); of islands without a header only the
+    last of a block goes on, as a mark without lines."""
     keys = ["artifact_id", *keep]
-    nb = d.filter((F.col("cls") != "B") & F.col("tb_open")).withColumn("rt", F.regexp_replace("line", RTRIM_RE, ""))
-    exact = F.col("line") == C.TB_HEADER
-    grp = nb.groupBy(*keys, "tb_island").agg(
-        F.min(F.when(exact, F.col("line_no"))).alias("line_number"),
-        F.collect_list(F.struct("line_no", "rt")).alias("ls"))
+    nb = d.filter((F.col("cls") != "B") & (F.col("tb_open") | F.col("tb_island_last")))
+    line = F.struct("line_no", F.regexp_replace("line", RTRIM_RE, "").alias("rt"))
+    pieces = nb.groupBy(*island_key(keys, "tb_island")).agg(
+        F.min(F.when(F.col("line") == C.TB_HEADER, F.col("line_no"))).alias("line_number"),
+        F.collect_list(F.when(F.col("tb_open"), line)).alias("ls"))
+    chained, whole = stitch(pieces.filter(F.col("line_number").isNotNull() | (F.col("tb_island") == 0) | F.col("tb_island_last")),
+                            keys, "tb_island")
+    grp = chained.groupBy(*whole).agg(F.min("line_number").alias("line_number"), F.flatten(F.collect_list("ls")).alias("ls"))
     grp = grp.filter(F.col("line_number").isNotNull())
     body = F.transform(
         F.array_sort(F.filter("ls", lambda x: x["line_no"] >= F.col("line_number"))),

@@ -29,26 +29,59 @@ def line_block(pos: str | Column, size: int | None = None) -> Column:
 
 
 def with_block(df: DataFrame, pos: str = "line_no", size: int | None = None) -> DataFrame:
-    """Adds the block column that ``block_window`` and ``blocked_cumsum(block=None)`` work on."""
+    """Adds the block column that ``block_window`` and ``local_islands`` work on."""
     return df.withColumn(_BLK, line_block(pos, size))
 
 
+def local_islands(df: DataFrame, key: Sequence[str], starts: dict[str, Column], pos: str = "line_no") -> DataFrame:
+    """Numbers islands inside each block: per ``{out: flag}`` the running count of flagged rows in ``out``, and in
+    ``out_last`` whether the row lies in its block's last island. Rows come with a block column.
+
+    Island 0 holds the rows before the block's first start: it continues the island that was last before it.
+    Every block is summarised by its own rows alone, so nothing is added up over blocks; see ``stitch``.
+    """
+    whole = Window.partitionBy(*key, _BLK)
+    for out, flag in starts.items():
+        df = df.withColumn(out, F.sum(flag).over(block_window(key, pos)))
+        df = df.withColumn(f"{out}_last", F.col(out) == F.max(out).over(whole))
+    return df
+
+
+def island_key(key: Sequence[str], island: str) -> list[str]:
+    """Columns that tell the pieces of islands apart. Rows dealt out by key and block are dealt out by them, too."""
+    return [*key, _BLK, island, f"{island}_last"]
+
+
+def stitch(pieces: DataFrame, key: Sequence[str], island: str) -> tuple[DataFrame, list[str]]:
+    """Pieces (one row per ``island_key``) with columns that all pieces of one island share, and these columns.
+
+    Only a block's first and last piece can be part of an island that crosses a boundary: these, two per block,
+    are chained per key, each piece 0 to the one before it. Every other piece is an island by itself. A block's last
+    piece must not be missing; first pieces and whole blocks may be.
+    """
+    cut = (F.col(island) == 0) | F.col(f"{island}_last")
+    d = pieces.withColumn("__route", F.when(cut, -1).otherwise(F.col(_BLK))) \
+        .withColumn("__of", F.when(cut, 0).otherwise(F.col(island)))
+    along = Window.partitionBy(*key, "__route", "__of").orderBy(_BLK, island)
+    d = d.withColumn("__chain", F.sum(F.when(F.col(island) > 0, 1).otherwise(0)).over(along))
+    return d, [*key, "__route", "__of", "__chain"]
+
+
 def block_window(key: Sequence[str], pos: str = "line_no"):
     """Rows of a key and block up to the current one, by position."""
     return Window.partitionBy(*key, _BLK).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def blocked_cumsum(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], block: Column | None,
+def blocked_cumsum(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], block: Column,
                    values: dict[str, Column], inclusive: bool = True) -> DataFrame:
     """Add running sums ``{out: value}`` per ``key`` in ``order``.
 
     ``block`` must be non-decreasing along ``order`` inside a key. ``inclusive=False`` gives the
-    sum over strictly earlier rows. ``block=None``: the rows come from ``dense_prev(keep_block=True)``,
-    already dealt out and sorted by key and block, so the running sums need no further exchange or sort.
+    sum over strictly earlier rows.
     """
     key = list(key)
     tmp = {out: f"__v_{out}" for out in values}
-    d = df if block is None else df.withColumn(_BLK, block)
+    d = df.withColumn(_BLK, block)
     for out, expr in values.items():
         d = d.withColumn(tmp[out], expr)
     # Per-block totals come from the rows before the window: a partial aggregate (map-side
@@ -71,26 +104,6 @@ def blocked_cumsum(df: DataFrame, key: Sequence[str], order: Sequence[str | Colu
     return d.drop(*drops)
 
 
-def blocked_prev(df: DataFrame, key: Sequence[str], order: Sequence[str], block: Column,
-                 cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
-    """Add ``prefix+c`` = value of ``c`` on the previous row of the same key (null on the first)."""
-    key, order, cols = list(key), list(order), list(cols)
-    d = df.withColumn(_BLK, block)
-    w = Window.partitionBy(*key, _BLK).orderBy(*order)
-    d = d.withColumn("__rn", F.row_number().over(w))
-    for c in cols:
-        d = d.withColumn(prefix + c, F.lag(c).over(w))
-    last = d.groupBy(*key, _BLK).agg(
-        F.max_by(F.struct(*cols), F.struct(*order)).alias("__last"))
-    wb = Window.partitionBy(*key).orderBy(_BLK)
-    last = last.select(*key, _BLK, F.lag("__last").over(wb).alias("__plast"))
-    d = d.join(last, [*key, _BLK], "left")
-    for c in cols:
-        d = d.withColumn(prefix + c, F.when(F.col("__rn") == 1, F.col("__plast")[c])
-                         .otherwise(F.col(prefix + c)))
-    return d.drop(_BLK, "__rn", "__plast")
-
-
 def dense_prev(df: DataFrame, key: Sequence[str], pos: str, cols: Sequence[str],
                size: int | None = None, prefix: str = "prev_", keep_block: bool = False) -> DataFrame:
     """``prefix+c`` = value of ``c`` at position ``pos - 1`` of the same key (null at the first).
@@ -98,8 +111,8 @@ def dense_prev(df: DataFrame, key: Sequence[str], pos: str, cols: Sequence[str],
     For dense positions (every line of a log, numbered 1..n). One window pass, no join: the
     last row of each block is also sent to the next block as a halo row, so the first row of a
     block sees its predecessor; halo rows are dropped after the window. ``keep_block`` leaves the
-    block column in place for a following ``blocked_cumsum(block=None)``, which then needs neither
-    another exchange nor another sort.
+    block column in place for a following ``local_islands``, which then needs neither another exchange nor
+    another sort.
     """
     key, cols = list(key), list(cols)
     size = size or LINE_BLOCK

@@ -86,14 +86,13 @@ def _event_lines(k: Column, u: Column, etype: Column, eid: Column) -> Column:
 
 def log_lines(events: DataFrame) -> DataFrame:
     """``(artifact_id, line_no, line)`` from ``events``."""
-    ev = events.select(
-        F.col("user_id").alias("artifact_id"), "event_id", "ts",
-        _event_lines(_k(), F.col("user_id"), F.col("event_type"), F.col("event_id")).alias("lines"))
-    ev = ev.withColumn("n", F.size("lines").cast("bigint"))
+    shown = _event_lines(F.col("k"), F.col("artifact_id"), F.col("event_type"), F.col("event_id"))
+    ev = events.select(F.col("user_id").alias("artifact_id"), "event_id", "ts", "event_type", _k().alias("k"))
+    ev = ev.withColumn("n", F.size(shown).cast("bigint"))  # numbers are dealt out before any line is built
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(HOUR_US)).cast("bigint")
     ev = blocked_cumsum(ev, ["artifact_id"], ["ts", "event_id"], hour, {"before": F.col("n")},
                         inclusive=False)
-    return ev.select("artifact_id", F.posexplode("lines").alias("pos", "line"), "before") \
+    return ev.select("artifact_id", F.posexplode(shown).alias("pos", "line"), "before") \
         .select("artifact_id", (F.col("before") + F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 

@@ -46,14 +46,20 @@ def test_compiler_errors_across_blocks(spark, tiny_blocks):
     same_in_one_block(spark, logs, compiler_errors)
 
 
-def test_blocked_prev_sparse_positions(spark, tiny_blocks):
-    """Previous row of the same key when positions have gaps (whole blocks may be empty)."""
-    rnd = random.Random(21)
-    rows = [(k, p, f"v{k}-{p}") for k in range(5) for p in sorted(rnd.sample(range(1, 60), 12))]
-    d = spark.createDataFrame(rows, "k long, p long, v string")
-    got = {(r["k"], r["p"]): r["prev_v"] for r in
-           scan.blocked_prev(d, ["k"], ["p"], scan.line_block("p"), ["v"]).collect()}
-    for k in range(5):
-        ps = sorted(p for kk, p, _ in rows if kk == k)
-        for i, p in enumerate(ps):
-            assert got[(k, p)] == (None if i == 0 else f"v{k}-{ps[i - 1]}")
+def test_islands_across_empty_blocks(spark, tiny_blocks):
+    """A chain sentence and a continuation line go on above blocks of empty lines; a closed island does not."""
+    from logsift import constants as C
+    head = [C.TB_HEADER, "  frame", "Err: x"]
+    logs = ["\n".join([*head, *[""] * 20, C.TB_CHAIN[0], "", *head]), "\n".join(["msg", *[""] * 20, " cont", "other", *[""] * 9, "|x"]),
+            "\n".join([*head, *["plain"] * 20, "  f", *head])]
+    same_in_one_block(spark, logs, lambda lines: python_tracebacks(lines, rules=()))
+    scan.LINE_BLOCK = tiny_blocks
+    same_in_one_block(spark, logs, lambda lines: assemble_messages(lines, 100))
+
+
+def test_lines_are_dealt_out_once(spark):
+    """One exchange of lines, then one of the pieces that matter."""
+    lines = spark.createDataFrame([(1, 1, "x")], "artifact_id long, line_no long, line string")
+    for run in (python_tracebacks, lambda d: assemble_messages(d, 100)):
+        plan = run(lines)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2

@@ -170,7 +170,8 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
         *[F.col(c).alias(f"__m_{c}") for c in ("id", "source", "size")], *[F.col(c).alias(f"__{c}") for c in ("n_rows", "epochs", "extra")])
     cond = _same(F.col(id_col), F.col("__m_id")) & _same(F.col(source), F.col("__m_source")) & (F.col(size) == F.col("__m_size"))
     out = docs.join(m, cond)
-    copies = Window.partitionBy("__m_id", "__m_source", "__m_size").orderBy(F.lit(0))
+    # Equal in id, source and size, but perhaps not in text: ordered by all columns, so that reruns agree.
+    copies = Window.partitionBy("__m_id", "__m_source", "__m_size").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     whole = out.filter("__extra = 0 or __extra = __n_rows").withColumn(
         "__times", F.col("__epochs") + (F.col("__extra") > 0).cast("long"))
     # Some but not all of equal rows: at most one such class per source.

@@ -40,18 +40,20 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
 # Credential contexts of the method, wider than the base pattern: a cue, a joint, a value (in quotes: up to the
-# closing quote of the line). The cue may stand inside an identifier, between ``_``, ``-`` or camel-case parts; the
-# parts after it are bounded so that a line of cues is not read again from each of them.
+# closing quote of the line). The cue may stand inside an identifier, between any number of ``_``, ``-`` or
+# camel-case parts. Cue, parts and value are matched one after the other, see ``contexts``.
 CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"login", b"bearer", b"basic",
                  b"auth", b"pin")
-CONTEXT = re.compile(
+CUE = re.compile(
     r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"""
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret[ _-]?access[ _-]?key|secret|token|(?:api|access|private|secret|client)[ _-]?key"""
-    r"""|credential|login|auth(?:orization)?|pin)s?(?:[_-][A-Za-z0-9]++|(?-i:[A-Z][a-z0-9]++)){0,16}+"""
+    r"""|credential|login|auth(?:orization)?|pin)s?(?-i:(?![a-z0-9]))|\b(bearer|basic)\x20+(?=[^\s"'`<>,;])""", re.IGNORECASE | re.ASCII)
+PARTS = re.compile(r"(?:[_-][A-Za-z0-9]++|[A-Z][a-z0-9]++)*+")
+VALUE = re.compile(
     r"""["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+(is|was)\x20+)(?:(?:bearer|basic)\x20+)?"""
-    r"""(?:"((?:[^"\\\r\n]|\\.)++)"|'((?:[^'\\\r\n]|\\.)++)'|`([^`\r\n]++)`|["'`]?([^\s"'`<>,;]+))"""
-    r"""|\b(?:bearer|basic)\x20+([^\s"'`<>,;]+)""", re.IGNORECASE | re.ASCII)
-OPEN = 5  # from this group on, the value has no closing quote and may end in punctuation of its sentence
+    r"""(?:"((?:[^"\\\r\n]|\\.)++)"|'((?:[^'\\\r\n]|\\.)++)'|`([^`\r\n]++)`|["'`]?([^\s"'`<>,;]+))""", re.IGNORECASE | re.ASCII)
+BARE = re.compile(r"""[^\s"'`<>,;]+""")
+OPEN = 5  # in this group, the value has no closing quote and may end in punctuation of its sentence
 GUESS_LEAST = 8
 #: Values from this cost on (log10 of guesses) are secrets: out of reach of 10 billion guesses.
 COST = 10.0
@@ -185,6 +187,24 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[str, int, int]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def contexts(text: str) -> Iterator[tuple[int, int, bool, bool]]:
+    """(start, end, without closing quote, after ``is`` or ``was``) of every value after a credential cue.
+
+    The parts of an identifier are read once: cues inside parts that led to no value lead to none either."""
+    at = read = 0
+    while m := CUE.search(text, at):
+        at = m.end()
+        if m.group(1):
+            value = BARE.match(text, at)
+            yield *value.span(), True, False
+            at = value.end()
+        elif m.start() >= read:
+            read = PARTS.match(text, at).end()
+            if value := VALUE.match(text, read):
+                yield *value.span(value.lastindex), value.lastindex == OPEN, bool(value.group(1))
+                at = value.end()
+
+
 def guess_spans(text: str, base: list[tuple[str, int, int]], words: dict[str, int], least_cost: float = COST,
                 low: bytes | None = None) -> list[tuple[str, int, int, float]]:
     """(guess, start, end, cost) of costly values in credential contexts that no base span holds whole."""
@@ -192,14 +212,13 @@ def guess_spans(text: str, base: list[tuple[str, int, int]], words: dict[str, in
     if not any(w in low for w in CONTEXT_WORDS):
         return []
     out = []
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(m.lastindex)
-        while m.lastindex >= OPEN and b > a and text[b - 1] in ".:!?)]}":
+    for a, b, is_open, is_prose in contexts(text):
+        while is_open and b > a and text[b - 1] in ".:!?)]}":
             b -= 1
         if b - a < GUESS_LEAST or any(s <= a and b <= e for _, s, e in base):
             continue
         cost = guess_cost(text[a:b], words)
-        if cost >= least_cost + (PROSE_COST if m.group(1) and text[a:b].isalpha() else 0.0):
+        if cost >= least_cost + (PROSE_COST if is_prose and text[a:b].isalpha() else 0.0):
             out.append(("guess", a, b, cost))
     return out
 

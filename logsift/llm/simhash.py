@@ -265,7 +265,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     if vague.isEmpty():
         return kept
     odd = docs.join(vague.select(F.col("id").alias("__id")), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    odd = with_fingerprint(odd, text, "__fp", shingle, seed).dropDuplicates([id_col, "__fp"])
+    # Of rows with one id and fingerprint the one with the smallest hash, so that reruns agree.
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    odd = with_fingerprint(odd, text, "__fp", shingle, seed).groupBy(F.col(id_col).alias("__own"), "__fp").agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row")).select("__row.*", "__fp")
     odd = odd.join(stay.select(F.col("id").alias("__id"), F.col("fp").alias("__f")),
                    F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")), "left_semi")
     return kept.unionByName(odd.drop("__fp"))

@@ -87,6 +87,29 @@ def test_encode(spark, docs):
     assert got == {r.doc_id: oracle.encode_ordinary(r.text) for r in docs.collect()}
 
 
+INTERNAL = ("row", "score", "size", "quality", "spans", "clean", "times", "__found", "__size", "__q", "__id", "__clean", "__copy", "__score",
+            "__fp", "__f", "__times", "__extra", "__epochs", "__n_rows", "__m_id", "__bpe", "__own", "__row", "fp", "id", "a b")
+
+
+def test_input_columns_of_any_name_pass_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    clashing = docs.withColumns({c: F.concat(F.lit(c + ":"), F.col("doc_id").cast("string")) for c in INTERNAL})
+    for name, stage in cp.STAGES[:-1]:
+        out, plain = stage(spark, clashing, SF), stage(spark, docs, SF)
+        assert out.columns == clashing.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in INTERNAL), name
+        assert sorted(tuple(r) for r in out.select(*docs.columns).collect()) == sorted(tuple(r) for r in plain.collect()), name
+
+
+def test_choices_do_not_depend_on_how_rows_are_dealt(spark):
+    rows = [(7 if i % 3 else None, "the same words in every one of these rows", "en", f"s{i % 2}", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES[:-1]:
+        got = [sorted(str(tuple(r)) for r in stage(spark, d, SF).collect()) for d in (docs, docs.repartition(7, "n_chars").orderBy(F.desc("n_chars")))]
+        assert got[0] == got[1], name
+
+
 def test_odd_rows_in_every_stage(spark):
     rows = [(1, "plain words in a row for a test", "en", "a", 31), (1, "plain words in a row for a test", "en", "a", 31),
             (2, None, None, None, None), (None, "", "en", "a", 0), (3, "word " * 60_000, "en", "b", 300_000),

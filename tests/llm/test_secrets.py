@@ -147,3 +147,21 @@ def test_query(spark, sf_mid, words):
         assert g.base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
         assert g.spans == secrets.joined(secrets.scan(r.text, words))
     assert not got and seen
+
+
+def test_identifiers_of_any_number_of_parts():
+    words = {}
+    for parts in (1, 16, 17, 400):
+        for cue in ("pwd", "token", "secret_access_keyring"):
+            text = cue + "_a" * parts + ": Zx81kQpw93LmQQ"
+            assert [s for s in secrets.scan(text, words) if s[0] == "guess" and text[s[1]:s[2]] == "Zx81kQpw93LmQQ"], (cue, parts)
+
+
+def test_a_line_of_cues_is_read_once():
+    import time
+    text = "token_" * 40_000 + "x. nothing here"
+    began = time.perf_counter()
+    assert secrets.scan(text, {}) == []
+    assert time.perf_counter() - began < 5
+    text = "pass_tokenKey: Zx81kQpw93LmQQ and secretKey=kd83Jx.qQ71z"
+    assert len([s for s in secrets.scan(text, {}) if s[0] == "guess"]) == 2

@@ -9,7 +9,7 @@ batches, NumPy); a final per-query top-k merges at most ``partitions * k`` candi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -107,7 +107,7 @@ def with_embeddings(annotations: DataFrame, model=None) -> DataFrame:
     """Annotations whose nested snippets carry the embedding of their text."""
     flat = annotations.select("source_path", F.posexplode("snippets").alias("pos", "s")).select(
         "source_path", "pos", "s", F.coalesce("s.text", F.lit("")).alias("text"))
-    told = embed(flat, "text", model=model).select("source_path", F.struct("pos", F.struct(
+    told = embed(flat, "text", model=model, whole=("source_path",)).select("source_path", F.struct("pos", F.struct(
         F.col("s.log_name").alias("log_name"), F.col("s.text").alias("text"), F.col("s.user_comment").alias("user_comment"),
         F.col("text_embedding")).alias("s")).alias("p"))
     nested = told.groupBy("source_path").agg(F.array_sort(F.collect_list("p")).alias("ps")).select(
@@ -171,12 +171,17 @@ def sync_annotations(spark: SparkSession, root: str, full: DataFrame | None, del
 # --- O71 embeddings --------------------------------------------------------------------------------------
 
 def embed(df: DataFrame, text_col: str = "text", dim: int = C.EMBEDDING_DIM,
-          model: Callable[[list[str]], np.ndarray] | None = None, out_col: str = "text_embedding") -> DataFrame:
+          model: Callable[[list[str]], np.ndarray] | None = None, out_col: str = "text_embedding",
+          whole: Sequence[str] = (), most: int = 64) -> DataFrame:
     """Add ``array<float>`` embeddings.
 
     Default (no model): JVM-side hashing of word tokens into ``dim`` buckets, L2-normalised
     (``HashingTF`` + ``Normalizer``). A ``model`` is a picklable callable ``list[str] -> ndarray``
     applied to Arrow batches (``mapInPandas``), e.g. a sentence-embedding model loaded per task.
+
+    ``whole`` names columns (those of a build) whose rows go to the model in one call: a call takes whole builds
+    of together at most ``most`` texts, a build with more texts is a call by itself. Rows are then dealt out
+    and sorted by these columns; a task holds one call and one build at a time.
     """
     if model is None:
         from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
@@ -188,13 +193,38 @@ def embed(df: DataFrame, text_col: str = "text", dim: int = C.EMBEDDING_DIM,
         return out.withColumn(out_col, vector_to_array("__vec", "float32")).drop("__tok", "__tf", "__vec")
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
-    def run(batches):
-        for pdf in batches:
-            vecs = model(pdf[text_col].fillna("").tolist())
-            pdf[out_col] = [np.asarray(v, dtype=np.float32) for v in vecs]
-            yield pdf
+    def told(pdf):
+        vecs = model(pdf[text_col].fillna("").tolist())
+        return pdf.assign(**{out_col: [np.asarray(v, dtype=np.float32) for v in vecs]})
 
-    return df.mapInPandas(run, schema)
+    def builds(batches):
+        """Rows of one build each, wherever Arrow batches begin and end."""
+        held, key = [], None
+        for pdf in batches:
+            for values, part in pdf.groupby(list(whole), sort=False, dropna=False):
+                values = tuple(None if pd.isna(v) else v for v in values)
+                if held and values != key:
+                    yield pd.concat(held)
+                    held = []
+                held.append(part)
+                key = values
+        if held:
+            yield pd.concat(held)
+
+    def packed(batches):
+        call, n = [], 0
+        for build in builds(batches):
+            if call and n + len(build) > most:
+                yield told(pd.concat(call))
+                call, n = [], 0
+            call.append(build)
+            n += len(build)
+        if call:
+            yield told(pd.concat(call))
+
+    if whole:
+        return df.repartition(*whole).sortWithinPartitions(*whole).mapInPandas(packed, schema)
+    return df.mapInPandas(lambda batches: map(told, batches), schema)
 
 
 # --- O68 / O74 exact nearest neighbours ----------------------------------------------------------------------

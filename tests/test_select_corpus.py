@@ -225,3 +225,29 @@ def test_nearest(spark):
     assert [r["id"] for r in K.nearest_snippets(one, copies, 3).orderBy("rank").collect()] == [0, 1, 2]
     with pytest.raises(ValueError):
         K.nearest_snippets(q, c, 4)
+
+
+def test_model_calls_take_whole_builds(spark):
+    """No call gets over ``most`` texts unless one build has more, and no build is split over calls."""
+    sizes = [3, 7, 1, 70, 2, 30, 31, 64, 5, 1, 1]
+    rows = [(None if b == 4 else f"build{b}", f"{b}:{i}") for i in range(70) for b, n in enumerate(sizes) if i < n]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        def model(texts):  # tells the size of its call, and the call by its least text
+            return [[float(len(texts)), float(sum(map(hash_of, texts)))] for _ in texts]
+
+        def hash_of(text):
+            return sum(ord(c) * 31 ** (i % 5) for i, c in enumerate(text)) % 10_007
+        df = spark.createDataFrame(rows, "source_path string, text string").repartition(5, "text")
+        got = K.embed(df, "text", model=model, whole=("source_path",)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert sorted((r.source_path or "", r.text) for r in got) == sorted((s or "", t) for s, t in rows)
+    calls = {}
+    for r in got:
+        calls.setdefault(tuple(r.text_embedding), []).append(r.source_path)
+    for (n, _), paths in calls.items():
+        assert len(paths) % n == 0
+        assert n <= 64 or len(set(paths)) == 1
+    for path in {r.source_path for r in got}:
+        assert len({tuple(r.text_embedding) for r in got if r.source_path == path}) == 1

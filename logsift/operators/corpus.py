@@ -2,9 +2,9 @@
 similarity lookup (O68, O69, O74).
 
 Exact k-nearest-neighbour search computes every query/corpus distance (that is what exact
-means without an index) but never materialises the pairs: queries are broadcast — their size is
-checked against a bound — and each corpus partition keeps only its k best per query (Arrow
-batches, NumPy); a final per-query top-k merges at most ``partitions * k`` candidates.
+means without an index) but never materialises the pairs: blocks of queries and blocks of corpus rows
+are dealt to tasks of bounded size, each of which keeps only its k best per query (NumPy); a
+final per-query top-k merges them.
 """
 
 from __future__ import annotations

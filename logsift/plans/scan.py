@@ -2,11 +2,13 @@
 
 A plain ``Window.partitionBy(key).orderBy(pos)`` sends every row of a key to one task. Here
 each key is cut into blocks (a column that is monotone in the order, e.g. ``line_no div B``
-or an hour of event time). Windows run per ``(key, block)`` — groups of bounded size — and
-the state that crosses a block boundary (running totals, the last row) is computed on a
-small per-block table: one row per ``(key, block)``, partially aggregated before its shuffle.
-The per-block table is joined back on ``(key, block)``; the big side is already partitioned on
-exactly those columns by the window, so only the small side moves.
+or an hour of event time). Windows run per ``(key, block)`` — groups of bounded size.
+
+Islands need no totals: they are numbered inside their block, and only a block's first and last
+piece are stitched to those of other blocks (``local_islands``, ``stitch``). Running sums
+(``blocked_cumsum``) take the totals of earlier blocks from a small per-block table, one row per
+``(key, block)``, partially aggregated before its shuffle and joined back on ``(key, block)``; the big
+side is already partitioned on exactly those columns by the window, so only the small side moves.
 """
 
 from __future__ import annotations

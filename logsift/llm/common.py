@@ -24,9 +24,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; only where the setting is absent
-    (local tests) a scratch folder is made, once for the session."""
+    (local tests, one machine) a scratch folder is made, once for the session."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="llm-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d

@@ -27,8 +27,6 @@ from logsift.llm.common import checkpoint
 
 #: Levels that one slot array holds, and bits of the directory's fan-out.
 DEPTH, FAN = 10, 10
-#: Bytes of slot arrays that a task turns into rows at once.
-OUT_BYTES = 8 << 20
 
 
 def field(col: str | Column) -> Column:

@@ -11,7 +11,7 @@ import datetime as dt
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift import constants as C
@@ -30,12 +30,12 @@ def period_bounds(weeks: int | None = None, days: int | None = None, hours: int
     Hours use hourly buckets; days and weeks use daily buckets."""
     given = [v for v in (weeks, days, hours) if v is not None]
     if len(given) > 1:
-        raise ValueError("Only one of weeks, days, or hours can be set")
+        raise ValueError("give at most one of weeks, days and hours")
     if not given:
         days = 2
     for v in (weeks, days, hours):
         if v is not None and v <= 0:
-            raise ValueError("Time period must be positive")
+            raise ValueError("a period needs a length above zero")
     end = end or dt.datetime.now(dt.timezone.utc)
     if end.tzinfo is None:
         end = end.replace(tzinfo=dt.timezone.utc)
@@ -121,19 +121,83 @@ def all_metrics(rm: DataFrame, reactions: DataFrame, comments: DataFrame, period
                           .otherwise(F.col("value"))).orderBy("metric", "bucket")
 
 
-def certainty(logprobs: DataFrame, key: str = "response_id") -> DataFrame:
-    """Median of ``exp(logprob) * 100`` per response (exact percentile).
-
-    A response with a NaN among its values has no certainty; ``certainty_rejects`` names it."""
-    return logprobs.groupBy(key).agg(
-        F.percentile(F.when(~F.isnan("logprob"), F.exp("logprob") * 100), F.lit(0.5)).alias("certainty"),
-        F.coalesce(F.max(F.isnan("logprob")), F.lit(False)).alias("__bad")).filter("not __bad").drop("__bad")
+#: Values of one key that are selected at once; more are narrowed down first.
+SELECT_AT_ONCE = 4096
+#: Intervals that one round tells apart.
+INTERVALS = 1024
+
+
+def _written(df: DataFrame) -> DataFrame:
+    from logsift.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def kth_smallest(values: DataFrame, wanted: DataFrame, key: str, value: str, at_once: int = SELECT_AT_ONCE,
+                 intervals: int = INTERVALS) -> tuple[DataFrame, int]:
+    """``(key, rank, value)`` for ``wanted(key, rank, n, lo, hi)``, and the number of rounds: the value at each rank
+    (from 0) of a key's ``n`` finite values between ``lo`` and ``hi``.
+
+    A round counts the values of the interval in question in ``intervals`` equal parts (combined before the shuffle:
+    at most that many rows per key, rank and task) and goes on with the part that holds the rank, as wide as the values
+    in it reach. Least and greatest value are never in one part, so every round leaves fewer distinct values. An
+    interval of one distinct value is the answer; one with few values is listed and sorted.
+    """
+    at = [key, "rank"]
+    todo = wanted.select(key, "rank", F.col("rank").alias("left"), "n", "lo", "hi")
+    within = F.col(value).between(F.col("lo"), F.col("hi"))
+    told, rounds = [], 0
+    while True:
+        todo = _written(todo)
+        told.append(todo.filter("lo = hi").select(*at, F.col("lo").alias(value)))
+        few = values.join(todo.filter((F.col("lo") < F.col("hi")) & (F.col("n") <= at_once)), key).filter(within)
+        told.append(few.groupBy(*at, "left").agg(F.array_sort(F.collect_list(value)).alias("vs")).select(
+            *at, F.element_at("vs", F.col("left").cast("int") + 1).alias(value)))
+        todo = todo.filter((F.col("lo") < F.col("hi")) & (F.col("n") > at_once))
+        if todo.isEmpty():
+            return functools.reduce(DataFrame.unionByName, told), rounds
+        rounds += 1
+        share = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        part = F.when(F.col(value) >= F.col("hi"), intervals - 1).otherwise(F.floor(share * (intervals - 1)))
+        parts = values.join(todo, key).filter(within).groupBy(*at, "left", part.alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        below = F.sum("n").over(Window.partitionBy(*at).orderBy("part")) - F.col("n")
+        todo = parts.withColumn("below", below).filter(F.col("left").between(F.col("below"), F.col("below") + F.col("n") - 1)) \
+            .select(*at, (F.col("left") - F.col("below")).alias("left"), "n", "lo", "hi")
+
+
+def certainty(logprobs: DataFrame, key: str = "response_id", at_once: int = SELECT_AT_ONCE) -> DataFrame:
+    """Median of ``exp(logprob) * 100`` per response, exact.
+
+    Responses of up to ``at_once`` values are one aggregate; of the others the middle values are selected by
+    ``kth_smallest``, so no task holds all values of a response. Null values do not count; a response with a NaN, or without any
+    value, has no certainty (``certainty_rejects``)."""
+    # exp is 0 and infinite beyond these bounds, so infinite log probabilities keep their certainty.
+    bounded = F.when(F.col("logprob").isNotNull(), F.greatest(F.least(F.col("logprob"), F.lit(800.0)), F.lit(-800.0)))
+    # Rows are joined by key, a null one, too: fields of structs compare as groups do.
+    v = logprobs.select(F.struct(key).alias("of"), bounded.alias("v"), F.coalesce(F.isnan("logprob"), F.lit(False)).alias("bad"))
+    per = v.groupBy("of").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("bad").alias("bad"))
+    long = _written(per.filter(F.col("n") > at_once))
+    percent = F.exp("v") * 100
+    if not long.isEmpty():
+        rest = v.join(long.select("of"), "of", "left_anti")
+        middle = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)))
+        wanted = long.filter("not bad").withColumn("rank", F.explode(middle))
+        found, _ = kth_smallest(v.filter("v is not null").select("of", "v"), wanted, "of", "v", at_once)
+        # One or two middle values; their halves are added as the aggregate does it.
+        selected = found.groupBy("of").agg(F.when(F.count(F.lit(1)) == 1, F.max(percent)).otherwise(F.sum(percent * 0.5)).alias("certainty"))
+    else:
+        rest, selected = v, None
+    out = rest.groupBy("of").agg(F.percentile(percent, F.lit(0.5)).alias("certainty"), F.max("bad").alias("bad")) \
+        .filter("certainty is not null and not bad").drop("bad")
+    return (out if selected is None else out.unionByName(selected)).select("of.*", "certainty")
 
 
 def certainty_rejects(logprobs: DataFrame, key: str = "response_id") -> DataFrame:
-    """Responses whose certainty cannot be computed: some log probability is NaN."""
-    return logprobs.filter(F.isnan("logprob")).select(key).distinct().withColumn(
-        "reason", F.lit("certainty is not a number"))
+    """Responses whose certainty cannot be computed: some log probability is NaN, or there is none."""
+    per = logprobs.groupBy(key).agg(F.coalesce(F.max(F.isnan("logprob")), F.lit(False)).alias("bad"), F.count("logprob").alias("n"))
+    return per.filter("bad or n = 0").select(key, F.when(F.col("bad"), "certainty is not a number")
+                                             .otherwise("no log probability").alias("reason"))
 
 
 def count_reactions(awards: DataFrame) -> DataFrame:

@@ -27,6 +27,35 @@ def extract_all(lines: DataFrame, extractors: dict[str, Callable[[DataFrame], Da
     return out
 
 
+def python_extractor(start: Callable[[], object]) -> Callable[[DataFrame], DataFrame]:
+    """An extractor written in Python, fed line by line: ``lines -> (artifact_id, line_number, text)``.
+
+    ``start()`` makes the state of one log: ``feed(line_no, line)`` gives the snippets ``(line number, text)`` that are
+    complete with this line, ``close()`` those that are open at the end. It is a table function over lines partitioned
+    by log and ordered by number, so Spark sorts (and spills) the lines and a task holds one log's state, never a
+    whole log. Lines come in order; a null line comes as None. One log is one task's work: order is all that such a
+    function may rely on, and use the DataFrame extractors where logs are huge. Logs without lines are not started.
+    """
+    class Feed:
+        def __init__(self):
+            self.log = None
+
+        def eval(self, row):
+            if self.log is None:
+                self.artifact_id, self.log = row["artifact_id"], start()
+            for number, text in self.log.feed(row["line_no"], row["line"]):
+                yield self.artifact_id, number, text
+
+        def terminate(self):
+            if self.log is not None:
+                for number, text in self.log.close():
+                    yield self.artifact_id, number, text
+
+    table = F.udtf(Feed, returnType="artifact_id bigint, line_number bigint, text string")
+    return lambda lines: table(lines.select("artifact_id", "line_no", "line").asTable()
+                               .partitionBy("artifact_id").orderBy("line_no"))
+
+
 def materialize_table(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder: written once, read by all that follows, and
     removed with the last reference (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""

@@ -3,13 +3,12 @@
 Base kinds are patterns (``assign``, ``access``, ``hex``). The method adds ``guess`` spans: values
 that stand in a credential context (``login: …``, ``pwd is …``, ``Authorization: Bearer …``) and
 whose guess cost is high. The cost of a value is the least, over its segmentations, of the sum of the
-segments' costs (log10 of guesses). Repeats and walks are segments as the maximal runs found, dates by
-their longest match, words by up to 20 letters, so the cost may be above the least over all segmentations:
+segments' costs (log10 of guesses). Segments are any part of the value that is:
 
 * word: rank in a frequency-ranked dictionary, plus capital letters and look-alike digits
 * date: years, or day-month-year runs with or without separators
 * repeat: a unit's own cost plus the number of times it stands there
-* keyboard walk: start keys, length and turns along neighbouring keys
+* keyboard walk: start keys, length and turns along neighbouring keys; or a sequence of the alphabet
 * brute force: a fixed cost per character, by its class
 
 found by dynamic programming over the positions of the value. Values that are cheap to guess
@@ -23,7 +22,6 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +76,17 @@ def _neighbours() -> dict[str, frozenset[str]]:
             for c, (r, x) in place.items()}
 
 
-def dictionary(tokens: dict[bytes, int], least: int = 3) -> dict[str, int]:
+class Words(dict):
+    """Ranks by word, with the length of the longest one."""
+
+    @functools.cached_property
+    def longest(self) -> int:
+        return max(map(len, self), default=0)
+
+
+def dictionary(tokens: dict[bytes, int], least: int = 3) -> Words:
     """Ranked words out of a byte-pair rank file: letters-only tokens in rank order, lower case."""
-    words: dict[str, int] = {}
+    words = Words()
     for token, _ in sorted(tokens.items(), key=lambda x: x[1]):
         w = token.decode("ascii", "ignore").strip().lower()
         if len(w) >= least and w.isalpha() and len(w) >= len(token) - 1:
@@ -96,29 +102,122 @@ def _char_cost(c: str) -> float:
     return math.log10(33) if c.isascii() else 2.0
 
 
-def guess_cost(value: str, words: dict[str, int], longest: int = 20) -> float:
+class _Open:
+    """Segments of one kind that start at different places and are still open; a segment costs the logarithm of
+    its length above what its start costs.
+
+    The logarithm grows ever more slowly, so a start that is no cheaper than an earlier one now never will be: it
+    is dropped, and few stay open however long a run is. A start is added once the run that holds it can no longer
+    leave out an earlier one alone, so all starts from ``floor`` on stay valid or end together."""
+
+    __slots__ = ("starts", "least", "scale")
+
+    def __init__(self, least: int, scale: float):
+        self.starts: list[tuple[int, float]] = []
+        self.least, self.scale = least, scale
+
+    def add(self, at: int, cost: float) -> None:
+        self.starts.append((at, cost))
+
+    def end(self, at: int, floor: int) -> float:
+        """Least cost of a segment from ``floor`` on that ends here."""
+        found = cheapest = math.inf
+        kept = []
+        for a, cost in self.starts:
+            if a < floor:
+                continue
+            now = cost + math.log10(self.scale * (at - a))
+            if now < cheapest:
+                kept.append((a, cost))
+                cheapest = now
+                if at - a >= self.least:
+                    found = now
+        self.starts = kept
+        return found
+
+
+def _least_times(unit: int) -> int:
+    return 3 if unit < 3 else 2
+
+
+def _repeat_units(low: str, most: int) -> list[int]:
+    """Units of up to ``most`` characters that are repeated often enough somewhere."""
+    found = []
+    for unit in range(1, min(most, len(low) // 2) + 1):
+        same, need = 0, unit * (_least_times(unit) - 1)
+        for x, y in zip(low, low[unit:]):
+            same = same + 1 if x == y else 0
+            if same == need:
+                found.append(unit)
+                break
+    return found
+
+
+def _dates(value: str, at: int) -> Iterator[tuple[int, float]]:
+    """End and cost of every date or year that starts here."""
+    for end in range(at + 4, min(at + 10, len(value)) + 1):
+        if m := _DATE.fullmatch(value, at, end):
+            yield end, _YEAR_COST if m.group(1) is None and m.group(2) is None else _DATE_COST
+
+
+def guess_cost(value: str, words: dict[str, int], exact_to: float = COST + PROSE_COST) -> float:
     """log10 of the guesses that the cheapest segmentation needs; the empty value costs nothing.
 
-    Time grows linearly with the length of the value (segments other than runs are short; a run,
-    a walk or a repeat is closed where it ends or starts, not at each inner position).
+    The minimum over all segmentations into words, dates and years, repeats of a unit, walks over neighbouring keys
+    and alphabet sequences (of 3 characters and more, any part of a longer one as well) and brute force. A cost above
+    ``exact_to`` may be too high, but the minimum is above it, too: units of repeats are no longer than that, as
+    every character of a unit costs at least 1. Time grows with the length of the value times that of the longest word.
     """
     n = len(value)
+    words = words if isinstance(words, Words) else Words(words)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(LOOK_ALIKE)
-    best = np.full(n + 1, np.inf)
-    best[0] = -_SEGMENT
-    loose = [math.inf] * (n + 1)  # cheapest so far with a brute-force segment open at this position
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for a, b, cost in _runs(low):
-        ends[a].append((b, cost))
-    near = best.tolist()
-    for i in range(n):
-        c = _char_cost(value[i])
+    letters = [0] * (n + 1)  # letters in a row from here on: no word is longer
+    for i in range(n - 1, -1, -1):
+        letters[i] = letters[i + 1] + 1 if plain[i].isalpha() else 0
+    beside, flat = _neighbours(), [SHIFTED.get(c, c) for c in low]
+    upper = [c in ROWS[0] or c in ROWS[1] for c in flat]
+    turns = [0] * (n + 1)  # changes between the two upper and the two lower rows up to a character
+    for i in range(1, n):
+        turns[i] = turns[i - 1] + (upper[i] != upper[i - 1])
+    turns[n] = turns[n - 1] if n else 0
+    walk, walk_from = _Open(3, 47), 0
+    steps, steps_from, step = _Open(3, 26), 0, 0
+    repeats = {}  # by unit, one for each rest of the start
+    for unit in _repeat_units(low, int(min(exact_to, n))):
+        repeats[unit] = [_Open(unit * _least_times(unit), 1 / unit) for _ in range(unit)]
+    repeat_from = dict.fromkeys(repeats, 0)
+    near = [math.inf] * (n + 1)
+    near[0], loose = -_SEGMENT, math.inf  # loose: cheapest with a brute-force segment open here
+    for i in range(n + 1):
+        if i:
+            last = _char_cost(value[i - 1])
+            loose = min(loose, near[i - 1] + _SEGMENT) + last
+            before = low[i - 2] if i > 1 else ""
+            if i > 1 and flat[i - 1] not in beside.get(flat[i - 2], ()):
+                walk_from = i - 1
+            now = ord(low[i - 1]) - ord(before) if before else 0
+            if now not in (1, -1):
+                steps_from = i - 1
+            elif now != step:
+                steps_from = i - 2
+            step = now
+            walk.add(i - 1, near[i - 1] + _SEGMENT - 0.7 * turns[i])
+            if i > 1:
+                steps.add(i - 2, near[i - 2] + _SEGMENT)
+            near[i] = min(near[i], loose, walk.end(i, walk_from) + 0.7 * turns[i - 1], steps.end(i, steps_from))
+            for unit, by_rest in repeats.items():
+                if i >= unit:
+                    if i > unit and low[i - 1] != low[i - 1 - unit]:
+                        repeat_from[unit] = i - unit
+                    known = by_rest[i % unit]
+                    known.add(i - unit, near[i - unit] + _SEGMENT + sum(map(_char_cost, low[i - unit:i])))
+                    near[i] = min(near[i], known.end(i, repeat_from[unit]))
+        if i == n:
+            break
         here = near[i] + _SEGMENT
-        loose[i + 1] = min(here, loose[i]) + c
-        for size in range(3, min(longest, n - i) + 1):
-            rank = words.get(low[i:i + size])
-            extra = 0.0
+        for size in range(3, min(words.longest, letters[i]) + 1):
+            rank, extra = words.get(low[i:i + size]), 0.0
             if rank is None:
                 rank, extra = words.get(plain[i:i + size]), 0.5
             if rank is not None:
@@ -126,54 +225,12 @@ def guess_cost(value: str, words: dict[str, int], longest: int = 20) -> float:
                 if not part.islower() and any(x.isupper() for x in part):
                     extra += 0.3 if part[1:].islower() or part.isupper() else 1.0
                 near[i + size] = min(near[i + size], here + math.log10(rank + 1) + extra)
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            cost = _YEAR_COST if m.end() - i == 4 and m.group(1) is None else _DATE_COST
-            near[m.end()] = min(near[m.end()], here + cost)
-        for b, cost in ends[i]:
-            near[b] = min(near[b], here + cost)
-        near[i + 1] = min(near[i + 1], loose[i + 1])
+        if value[i].isdigit():
+            for end, cost in _dates(value, i):
+                near[end] = min(near[end], here + cost)
     return max(0.0, near[n])
 
 
-def _runs(low: str) -> list[tuple[int, int, float]]:
-    """(start, end, cost) of repeats of a unit of up to 8 characters and of keyboard or alphabet walks."""
-    out, n = [], len(low)
-    for unit in range(1, 9):
-        i = 0
-        while i + 2 * unit <= n:
-            j = i + unit
-            while j < n and low[j] == low[j - unit]:
-                j += 1
-            times = (j - i) // unit
-            if times >= (3 if unit < 3 else 2):
-                cost = sum(map(_char_cost, low[i:i + unit]))
-                out.append((i, i + times * unit, cost + math.log10(times)))
-                i = max(i + 1, j - unit + 1)
-            else:
-                i += 1
-    beside = _neighbours()
-    flat = [SHIFTED.get(c, c) for c in low]
-    i = 0
-    while i + 3 <= n:
-        j, turns = i + 1, 0
-        while j < n and flat[j] in beside.get(flat[j - 1], ()):
-            turns += j >= i + 2 and (flat[j] in ROWS[0] + ROWS[1]) != (flat[j - 1] in ROWS[0] + ROWS[1])
-            j += 1
-        if j - i >= 3:
-            out.append((i, j, math.log10(47 * (j - i)) + 0.7 * turns))
-        i = max(i + 1, j - 1) if j - i >= 3 else i + 1
-    i = 0
-    while i + 3 <= n:
-        step = ord(low[i + 1]) - ord(low[i])
-        j = i + 1
-        while j < n and step in (1, -1) and ord(low[j]) - ord(low[j - 1]) == step:
-            j += 1
-        if j - i >= 3:
-            out.append((i, j, math.log10(26 * (j - i))))
-        i = max(i + 1, j - 1) if j - i >= 3 else i + 1
-    return out
-
-
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base kinds, in code points, by start and then kind order."""
     raw = text.encode("utf-8", "surrogatepass") if raw is None else raw

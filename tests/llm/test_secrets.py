@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 import public_tokenizers
 import pytest
@@ -32,39 +33,78 @@ def test_base_spans_equal_patterns():
         assert secrets.base_spans(text) == brute_base(text), text
 
 
+KEYS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+SHIFT = dict(zip('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./"))
+DATES = [re.compile(p) for p in (r"(19|20)\d\d([-/. ]?)(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])",
+                                 r"(0?[1-9]|[12]\d|3[01])([-/. ]?)(0?[1-9]|1[0-2])\2((19|20)\d\d|\d\d)")]
+
+
+def place(c):
+    for row, keys in enumerate(KEYS):
+        if SHIFT.get(c, c) in keys:
+            return row, keys.index(SHIFT.get(c, c)) + (0, 1, 1.25, 1.75)[row]
+
+
+def beside(c, d):
+    p, q = place(c), place(d)
+    return p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
+
+
+def segment_cost(part, words):
+    """Cost of a text as one segment, by the definition of each kind."""
+    from math import log10
+    brute = lambda t: sum(1 if c.isdigit() else log10(26) if c in string.ascii_letters else log10(33) if c < "\x80" else 2 for c in t)
+    low, n = part.lower(), len(part)
+    costs = [brute(part)]
+    for form, extra in ((low, 0), ("".join(dict(zip("@431!0$57", "aaeiiosst")).get(c, c) for c in low), 0.5)):
+        if form in words and (not extra or form != low):
+            upper = [c.isupper() for c in part]
+            case = 0 if not any(upper) else 0.3 if part[1:].islower() or part.isupper() else 1
+            costs.append(log10(words[form] + 1) + extra + case)
+    if re.fullmatch(r"(19|20)\d\d", part):
+        costs.append(log10(120))
+    if any(p.fullmatch(part) for p in DATES):
+        costs.append(log10(365 * 120))
+    if n >= 3 and all(beside(c, d) for c, d in zip(low, low[1:])):
+        turns = sum((place(c)[0] < 2) != (place(d)[0] < 2) for c, d in zip(low[1:], low[2:]))
+        costs.append(log10(47 * n) + 0.7 * turns)
+    if n >= 3 and len({ord(d) - ord(c) for c, d in zip(low, low[1:])}) == 1 and abs(ord(low[1]) - ord(low[0])) == 1:
+        costs.append(log10(26 * n))
+    for unit in range(1, n // 2 + 1):
+        if n % unit == 0 and n // unit >= (3 if unit < 3 else 2) and low == low[:unit] * (n // unit):
+            costs.append(brute(low[:unit]) + log10(n // unit))
+    return min(costs)
+
+
 def brute_cost(value, words):
     """Least cost by trying every segment between every two positions."""
-    n, S = len(value), secrets._SEGMENT
-    low = value.lower()
-    plain = low.translate(secrets.LOOK_ALIKE)
-    runs = secrets._runs(low)
-    best = [0.0 - S] + [float("inf")] * n
-    for b in range(1, n + 1):
-        for a in range(b):
-            costs = [sum(map(secrets._char_cost, value[a:b]))]
-            if 3 <= b - a <= 20:
-                for form, extra in ((low, 0.0), (plain, 0.5)):
-                    rank = words.get(form[a:b])
-                    if rank is not None:
-                        part = value[a:b]
-                        if any(c.isupper() for c in part):
-                            extra += 0.3 if part[1:].islower() or part.isupper() else 1.0
-                        costs.append(secrets.math.log10(rank + 1) + extra)
-                        break
-            m = secrets._DATE.match(value, a)
-            if m and m.end() == b:
-                costs.append(secrets._YEAR_COST if b - a == 4 and m.group(1) is None else secrets._DATE_COST)
-            costs += [c for x, y, c in runs if (x, y) == (a, b)]
-            best[b] = min(best[b], best[a] + S + min(costs))
-    return max(0.0, best[n])
+    best = [-0.3] + [float("inf")] * len(value)
+    for b in range(1, len(value) + 1):
+        best[b] = min(best[a] + 0.3 + segment_cost(value[a:b], words) for a in range(b))
+    return max(0.0, best[-1])
 
 
 def test_cost_is_the_minimum(words):
     rnd = random.Random(7)
-    bits = ["pass", "word", "monkey", "1999", "2012-05-17", "aaaa", "abab", "qwerty", "asdf", "x9", "#", "K", "é", "7"]
-    for _ in range(250):
-        v = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 5)))
-        assert abs(secrets.guess_cost(v, words) - brute_cost(v, words)) < 1e-9, v
+    bits = ["pass", "word", "monkey", "1999", "2012-05-17", "1.2.99", "aaaa", "abab", "qwerty", "asdf", "x9", "#", "K", "é", "7", "house",
+            "responsibilities", "P@ss", "fgh", "cba", "9876", "!q", "Zt7Qw93Lm5", "Zt7Qw93Lm5", "19", "12"]
+    values = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 6))) for _ in range(400)]
+    values += ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 24)))
+               for letters in ("qwe", "aab", "12", "asqw1!", "abcba", "0129-", "dersw") for _ in range(60)]
+    for v in values:
+        want = brute_cost(v, words)
+        assert abs(secrets.guess_cost(v, words, 1_000) - want) < 1e-9, v
+        cost = secrets.guess_cost(v, words)
+        assert abs(cost - want) < 1e-9 or min(cost, want) > secrets.COST + secrets.PROSE_COST, v
+
+
+def test_parts_of_runs_are_segments(words):
+    """Walks, sequences and repeats need not be taken as long as they go."""
+    for value in ("qwertyhouse", "abcdefrog", "19991231house", "aaaaapple"):
+        assert secrets.guess_cost(value, words) == pytest.approx(brute_cost(value, words))
+    assert secrets.guess_cost("qwertyhouse", words) < secrets.guess_cost("qwertyh", words) + 3 * 1.415
+    long = max(words, key=len)
+    assert secrets.guess_cost(long, words) < 5 and len(long) > 16
 
 
 def test_cheap_and_costly_values(words):

@@ -91,3 +91,32 @@ def tracebacks_from_islands(d: DataFrame, max_len: int = C.DEFAULT_SNIPPET_LEN,
         snip = snip.filter(~noise_predicate("text", rules, src))
     return snip.select(*keys, F.col("line_number").cast("bigint").alias("line_number"),
                        truncate_middle("text", max_len).alias("text"))
+
+
+class TracebackFeed:
+    """The same rule for one log, line by line (see ``extract.python_extractor``): holds the open block from its first
+    exact header on. Snippets come whole, before noise rules and cutting."""
+
+    def __init__(self):
+        self.above, self.at, self.body = "", None, []
+
+    def _end(self) -> list[tuple[int, str]]:
+        done = [] if self.at is None else [(self.at, "\n".join(self.body))]
+        self.at, self.body = None, []
+        return done
+
+    def feed(self, number: int, line: str | None) -> list[tuple[int, str]]:
+        text, done = (line or "").rstrip(), []
+        kind = ("blank" if not text else "frame" if line[0] in " \t"
+                else "mark" if text in (C.TB_HEADER, *C.TB_CHAIN) else "other")
+        if kind not in ("blank", "mark") and self.above not in ("mark", "frame"):
+            done = self._end()
+        self.above = kind
+        if self.at is None and line == C.TB_HEADER:
+            self.at = number
+        if self.at is not None and text:
+            self.body.append(text)
+        return done
+
+    def close(self) -> list[tuple[int, str]]:
+        return self._end()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-
 from logsift import constants as C
 from logsift.catalog import noise_sql, register, sql_str
-from logsift.operators.tracebacks import python_tracebacks
+from logsift.functions.text import noise_predicate, truncate_middle
+from logsift.operators.extract import python_extractor
+from logsift.operators.tracebacks import TracebackFeed, python_tracebacks
 from logsift.plans.views import LOG_LINES_SQL, log_lines, table, with_views
 
 _HDR = sql_str(C.TB_HEADER)
@@ -45,3 +46,11 @@ FROM s WHERE NOT {noise_sql('text', C.DEFAULT_NOISE_RULES)}
 @register("tracebacks", TRACEBACKS_SQL)
 def q_tracebacks(spark, sf):
     return python_tracebacks(log_lines(table(spark, sf, "events")))
+
+
+@register("tracebacks_by_line", TRACEBACKS_SQL)
+def q_tracebacks_by_line(spark, sf):
+    """The extractor as Python fed line by line; noise rules and cutting stay expressions."""
+    found = python_extractor(TracebackFeed)(log_lines(table(spark, sf, "events")))
+    return found.filter(~noise_predicate("text", C.DEFAULT_NOISE_RULES)).select(
+        "artifact_id", "line_number", truncate_middle("text", C.DEFAULT_SNIPPET_LEN).alias("text"))

@@ -9,40 +9,12 @@ from logsift import constants as C
 from logsift.operators.extract import extract_all, python_extractor
 from logsift.operators.lines import assemble_messages, split_lines
 from logsift.operators.templates import mine_templates, representative_snippets
-from logsift.operators.tracebacks import python_tracebacks
+from logsift.operators.tracebacks import TracebackFeed, python_tracebacks
 from logsift.plans.views import log_lines
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test module
 
 
-class Tracebacks:
-    """The batch rule as a state machine; holds one block from its header on."""
-
-    def __init__(self):
-        self.above, self.at, self.body = "", None, []
-
-    def _end(self):
-        done = [(self.at, "\n".join(self.body))] if self.at else []
-        self.at, self.body = None, []
-        return done
-
-    def feed(self, number, line):
-        text = line.rstrip()
-        kind = "blank" if not text else "frame" if line[0] in " \t" else "mark" if text in (C.TB_HEADER, *C.TB_CHAIN) else "other"
-        above, self.above = self.above, kind
-        if kind == "blank":
-            return
-        if kind != "mark" and above not in ("mark", "frame"):
-            yield from self._end()
-        if self.at is None and line == C.TB_HEADER:
-            self.at = number
-        if self.at is not None:
-            self.body.append(text)
-
-    def close(self):
-        return self._end()
-
-
 class Count:
     """Gives the number of lines, and fails where lines do not come one after the other."""
 
@@ -65,7 +37,7 @@ def rows(df):
 def test_line_by_line_equals_dataframe_form(spark):
     lines = log_lines(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     want = rows(python_tracebacks(lines, 1_000_000, rules=()))
-    assert rows(python_extractor(Tracebacks)(lines)) == want and len(want) > 20
+    assert rows(python_extractor(TracebackFeed)(lines)) == want and len(want) > 20
 
 
 def test_lines_come_in_order_and_logs_apart(spark):
@@ -79,6 +51,6 @@ def test_lines_come_in_order_and_logs_apart(spark):
 def test_beside_the_built_in_extractors(spark):
     lines = split_lines(spark.createDataFrame([(1, "make\n  x\nlink"), (2, C.TB_HEADER + "\n  f\nE: 1")], "artifact_id long, text string"))
     drain = lambda d: representative_snippets(mine_templates(assemble_messages(d, 100)))
-    got = extract_all(lines, {"drain": drain, "own": python_extractor(Tracebacks)})
+    got = extract_all(lines, {"drain": drain, "own": python_extractor(TracebackFeed)})
     assert [tuple(r) for r in got.filter("extractor = 'own'").collect()] == [(2, "own", 1, C.TB_HEADER + "\n  f\nE: 1")]
     assert got.filter("extractor = 'drain'").count() == 4

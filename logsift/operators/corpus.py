@@ -1,10 +1,5 @@
-"""Annotated-snippet corpus: ingest and merge (O59a, O59b, O61, O67, O71, O72) and
-similarity lookup (O68, O69, O74).
-
-Exact k-nearest-neighbour search computes every query/corpus distance (that is what exact
-means without an index) but never materialises the pairs: blocks of queries and blocks of corpus rows
-are dealt to tasks of bounded size, each of which keeps only its k best per query (NumPy); a
-final per-query top-k merges them.
+"""Annotated-snippet corpus: ingest and merge (O59a, O59b, O61, O67, O71, O72). The lookups of the nearest
+snippets (O68, O69, O74) lie in ``operators.nearest`` and can be imported from here, too.
 """
 
 from __future__ import annotations
@@ -18,13 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsift import constants as C
+from logsift.operators.nearest import (  # noqa: F401
+    build_index, index_quality, l2, nearest_one, nearest_snippets, nearest_snippets_approx, pivot_share, probe_quality,
+    search_index)
 from logsift.sources.batches import publish, read_batches, remove
 from logsift.sources.contributions import parse_contributions
 
-# Corpus rows and queries of one comparison task (bounds its memory), and distances held at once.
-CORPUS_BLOCK, QUERY_BLOCK, PAIRS_AT_ONCE = 16_384, 4_096, 1 << 22
-
-
 # --- O59a / O59b counts ------------------------------------------------------------------------------
 
 def table_count(df: DataFrame, name: str) -> DataFrame:
@@ -225,172 +219,3 @@ def embed(df: DataFrame, text_col: str = "text", dim: int = C.EMBEDDING_DIM,
     if whole:
         return df.repartition(*whole).sortWithinPartitions(*whole).mapInPandas(packed, schema)
     return df.mapInPandas(lambda batches: map(told, batches), schema)
-
-
-# --- O68 / O74 exact nearest neighbours ----------------------------------------------------------------------
-
-def l2(a, b):
-    """Column expression: Euclidean distance of two equal-length float arrays."""
-    sq = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"),
-                     lambda acc, v: acc + v)
-    return F.sqrt(sq)
-
-
-def _check_k(k: int, max_k: int | None) -> None:
-    """``1 <= k <= max_k`` (the configured number of annotations a lookup may return)."""
-    if k < 1 or (max_k is not None and k > max_k):
-        raise ValueError(f"k must be between 1 and {max_k}")
-
-
-def nearest_one(query_vec: list[float], corpus: DataFrame, k: int = C.NEAREST_DEFAULT_K,
-                id_col: str = "id", vec_col: str = "text_embedding", max_k: int | None = C.NEAREST_MAX_K) -> DataFrame:
-    """Single query: L2 ascending, id as tie-breaker (TakeOrderedAndProject)."""
-    _check_k(k, max_k)
-    q = F.array(*[F.lit(float(x)) for x in query_vec])
-    return corpus.withColumn("distance", l2(F.col(vec_col), q)).orderBy("distance", id_col).limit(k)
-
-
-def nearest_snippets(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_DEFAULT_K,
-                     qid: str = "query_id", cid: str = "id", vec_col: str = "text_embedding",
-                     qvec_col: str | None = None, text_col: str | None = None,
-                     max_k: int | None = C.NEAREST_MAX_K) -> DataFrame:
-    """Exact top-k corpus rows per query: ``(query_id, id, distance, rank)``.
-
-    Queries with a blank ``text_col`` give no rows; null vectors take no part, and vectors meet those
-    of their own dimension. Blocks of queries meet blocks of corpus rows in tasks of bounded size, and
-    each task keeps every row within rounding of its k-th distance; the ranking of these few rows is by
-    distances in the JVM, ties by id. No side passes through the driver.
-    """
-    _check_k(k, max_k)
-    q = queries.filter(F.trim(F.col(text_col)) != "") if text_col else queries
-    q = q.select(F.col(qid).alias("qid"), F.col(qvec_col or vec_col).alias("v")).filter("v is not null")
-    c = corpus.select(F.col(cid).alias("cid"), F.col(vec_col).alias("v")).filter("v is not null")
-    nq, nc = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // CORPUS_BLOCK))
-    spread_q = q.select(F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("a"),
-                        F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("b"), F.size("v").alias("dim"),
-                        F.lit(True).alias("query"), F.col("qid").cast("bigint").alias("id"), "v")
-    spread_c = c.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"),
-                        F.pmod(F.xxhash64("cid"), F.lit(nc)).cast("int").alias("b"), F.size("v").alias("dim"),
-                        F.lit(False).alias("query"), F.col("cid").cast("bigint").alias("id"), "v")
-
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked, rows = pdf[pdf["query"]], pdf[~pdf["query"]]
-        out = []
-        if len(asked) and len(rows):
-            cm = np.stack(rows["v"].to_numpy()).astype(np.float64)
-            cids = rows["id"].to_numpy(np.int64)
-            same = np.unique(cm, axis=0, return_inverse=True)[1].reshape(-1)
-            size = (cm * cm).sum(axis=1)
-            ids = asked["id"].to_numpy(np.int64)
-            step, kth = max(1, PAIRS_AT_ONCE // len(cm)), min(k, len(cm)) - 1
-            for at in range(0, len(ids), step):
-                qm = np.stack(asked["v"].iloc[at:at + step].to_numpy()).astype(np.float64)
-                own = (qm * qm).sum(axis=1)
-                d2 = own[:, None] + size[None, :] - 2.0 * qm @ cm.T
-                # Rounding of these sums stays far below 1e-11 of the squared lengths: all that may be among
-                # the k nearest is kept.
-                reach = np.partition(d2, kth, axis=1)[:, kth] + 1e-11 * (own + size.max())
-                i, j = np.nonzero(d2 <= reach[:, None])
-                # Equal vectors tie exactly, so of each only the k smallest ids can be ranked.
-                order = np.lexsort((cids[j], same[j], i))
-                i, j = i[order], j[order]
-                group = i.astype(np.int64) * len(cm) + same[j]
-                near = np.arange(len(i)) - np.searchsorted(group, group) < k
-                out.append(pd.DataFrame({"qid": ids[at:at + step][i[near]], "cid": cids[j[near]]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": np.empty(0, np.int64), "cid": np.empty(0, np.int64)})
-
-    found = spread_q.union(spread_c).groupBy("a", "b", "dim").applyInPandas(top, "qid bigint, cid bigint")
-    cand = found.join(c.withColumnRenamed("v", "cv"), "cid").join(q.withColumnRenamed("v", "qv"), "qid") \
-        .withColumn("distance", l2(F.col("cv"), F.col("qv")))
-    w = Window.partitionBy("qid").orderBy("distance", "cid")
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("qid").alias(qid), F.col("cid").alias(cid), "distance", "rank")
-
-
-def nearest_snippets_approx(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_DEFAULT_K,
-                            qid: str = "query_id", cid: str = "id", vec_col: str = "text_embedding",
-                            centres: int | None = None, probes: int | None = None, recall: float = 0.95, sample: int = 20_000,
-                            seed: int = 7) -> DataFrame:
-    """Approximate top-k over an inverted file of centroids (stands in for an HNSW index).
-
-    Centroids (by default the square root of the number of rows) are fitted on a bounded sample;
-    every row is listed under its nearest centroid and every query looks into the ``probes`` nearest
-    lists, ranked exactly. By default as many lists are probed as reach the ``recall`` within the sample:
-    few where the vectors form clusters, many where they are spread evenly. A query whose lists hold fewer than k rows is answered by the exact lookup, so
-    each gets k rows where there are as many. ``probe_quality`` measures recall and candidate share.
-    """
-    c = corpus.select(F.col(cid).alias("cid"), F.col(vec_col).alias("cv")).filter("cv is not null")
-    q = queries.select(F.col(qid).alias("qid"), F.col(vec_col).alias("qv")).filter("qv is not null")
-    n = c.count()
-    if not n:
-        return queries.sparkSession.createDataFrame([], f"{qid} bigint, {cid} bigint, distance double, rank int")
-    fitted, rows = _centroids(c, centres or max(1, min(4096, int(n ** 0.5))), min(sample, n), n, seed)
-    pairs = _probed(q, c, fitted, probes or _probes_for(recall, k, fitted, rows)).withColumn("distance", l2(F.col("cv"), F.col("qv")))
-    w = Window.partitionBy("qid").orderBy("distance", "cid")
-    top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    top = top.select(F.col("qid").alias(qid), F.col("cid").alias(cid), "distance", "rank")
-    enough = top.groupBy(qid).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, n)).select(qid)
-    few = queries.join(enough, qid, "left_anti")
-    exact = nearest_snippets(few, corpus, k, qid, cid, vec_col, max_k=None)
-    return top.join(enough, qid, "left_semi").unionByName(exact)
-
-
-def _centroids(c: DataFrame, number: int, sample: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """k-means over a bounded sample (chosen by a hash of the id); the sample alone reaches the driver."""
-    part = c.filter(F.pmod(F.xxhash64(F.lit(seed), "cid"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n)))
-    rows = np.array([r["cv"] for r in part.orderBy("cid").select("cv").collect()] or [c.first()["cv"]], dtype=np.float64)
-    centre = rows[np.random.default_rng(seed).permutation(len(rows))[:number]]
-    for _ in range(8):
-        own = ((centre * centre).sum(1)[None, :] - 2.0 * rows @ centre.T).argmin(axis=1)
-        count = np.bincount(own, minlength=len(centre))
-        total = np.zeros_like(centre)
-        np.add.at(total, own, rows)
-        centre = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centre)
-    return centre, rows
-
-
-def _probes_for(recall: float, k: int, centre: np.ndarray, rows: np.ndarray, asked: int = 500) -> int:
-    """Lists to probe so that this share of the k nearest sample rows of sample queries lies in them."""
-    own = ((centre * centre).sum(1)[None, :] - 2.0 * rows @ centre.T).argmin(axis=1)
-    deep = []
-    for x in rows[:: max(1, len(rows) // asked)]:
-        near = np.argsort(((rows - x) ** 2).sum(axis=1), kind="stable")[1:k + 1]
-        place = np.empty(len(centre), np.int64)
-        place[np.argsort(((centre - x) ** 2).sum(axis=1), kind="stable")] = np.arange(len(centre))
-        deep.append(place[own[near]])
-    deep = np.sort(np.concatenate(deep)) if deep else np.zeros(1, np.int64)
-    return int(deep[min(len(deep) - 1, int(np.ceil(recall * len(deep))) - 1)]) + 1 if len(deep) else 1
-
-
-def _probed(q: DataFrame, c: DataFrame, centre: np.ndarray, probes: int) -> DataFrame:
-    """Pairs ``(qid, qv, cid, cv)`` of queries with the rows in their nearest lists."""
-    @F.pandas_udf("array<int>")
-    def lists(v: pd.Series, m: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(np.float64)
-        take = min(int(m.iloc[0]), len(centre))
-        d = (centre * centre).sum(1)[None, :] - 2.0 * x @ centre.T
-        return pd.Series(list(np.argpartition(d, take - 1, axis=1)[:, :take].astype(np.int32)))
-
-    rows = c.withColumn("list", lists("cv", F.lit(1))[0])
-    asked = q.withColumn("list", F.explode(lists("qv", F.lit(probes))))
-    return asked.join(rows, "list")
-
-
-def probe_quality(queries: DataFrame, corpus: DataFrame, k: int = C.NEAREST_DEFAULT_K, qid: str = "query_id", cid: str = "id",
-                  vec_col: str = "text_embedding", centres: int | None = None, probes: int | None = None, recall: float = 0.95,
-                  sample: int = 20_000, seed: int = 7) -> DataFrame:
-    """One row ``(wanted, found, recall, candidate_share)`` of the approximate lookup with these settings.
-
-    recall: share of the exact result that it finds; candidate_share: pairs it ranks, of all pairs."""
-    exact = nearest_snippets(queries, corpus, k, qid, cid, vec_col, max_k=None)
-    approx = nearest_snippets_approx(queries, corpus, k, qid, cid, vec_col, centres, probes, recall, sample, seed)
-    c = corpus.select(F.col(cid).alias("cid"), F.col(vec_col).alias("cv")).filter("cv is not null")
-    q = queries.select(F.col(qid).alias("qid"), F.col(vec_col).alias("qv")).filter("qv is not null")
-    n, asked = c.count(), q.count()
-    share = 0.0
-    if n:
-        fitted, rows = _centroids(c, centres or max(1, min(4096, int(n ** 0.5))), min(sample, n), n, seed)
-        share = _probed(q, c, fitted, probes or _probes_for(recall, k, fitted, rows)).count() / max(1, n * asked)
-    hit = exact.join(approx.select(qid, cid, F.lit(1).alias("hit")), [qid, cid], "left")
-    return hit.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"),
-                   (F.count("hit") / F.count(F.lit(1))).alias("recall"), F.lit(share).alias("candidate_share"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logsift import constants as C
-from logsift.catalog import noise_sql, register
+from logsift.catalog import ORACLE, noise_sql, register
 from logsift.operators import corpus as K
 from logsift.operators.diagnostics import compiler_errors, read_diagnostic_reports, report_snippets
 from logsift.plans.views import LOG_LINES_SQL, log_lines, table, with_views
@@ -48,6 +48,16 @@ def q_nearest_one(spark, sf):
     return out.select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
+@register("nearest_embeddings_pivots", ORACLE["nearest_embeddings"])
+def q_nearest_pivots(spark, sf):
+    """The exact lookup with 16 pivots: rows lie in cells that queries meet or skip."""
+    e = _emb(spark, sf)
+    q = e.filter(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    c = e.filter(F.col("vec_id") % 5 != 0).select(F.col("vec_id").alias("id"), "embedding")
+    out = K.nearest_snippets(q, c, TOPK, qid="query_id", cid="id", vec_col="embedding", pivots=16)
+    return out.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
 @register("nearest_embeddings_approx")
 def q_nearest_approx(spark, sf):
     e = _emb(spark, sf)

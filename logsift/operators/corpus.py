@@ -16,7 +16,7 @@ from logsift import constants as C
 from logsift.operators.nearest import (  # noqa: F401
     build_index, index_quality, l2, nearest_one, nearest_snippets, nearest_snippets_approx, pivot_share, probe_quality,
     search_index)
-from logsift.sources.batches import publish, read_batches, remove
+from logsift.sources.batches import compact, publish, read_batches, remove
 from logsift.sources.contributions import parse_contributions
 
 # --- O59a / O59b counts ------------------------------------------------------------------------------
@@ -159,6 +159,8 @@ def sync_annotations(spark: SparkSession, root: str, full: DataFrame | None, del
     if processed:
         record = spark.createDataFrame([(number, int(processed), archive_date)], UPDATES)
         publish(record, f"{root}/annotation_updates", number)
+    compact(spark, f"{root}/annotations", ANNOTATIONS, before=number)
+    compact(spark, f"{root}/annotation_updates", UPDATES, before=number)
     return report
 
 

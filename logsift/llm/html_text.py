@@ -14,7 +14,9 @@ by memory alone, and time grows in proportion to the page.
 from __future__ import annotations
 
 import html
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -60,8 +62,10 @@ _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW
 NEAR = 64
 #: Levels that indent a line; deeper ones keep their marks, or nested lists would take room by the square of their depth.
 LEVELS = 512
-#: Table columns are padded up to this many characters; longer cells stay whole, their column just ends later.
-PAD = 40
+#: Inputs whose value is not shown as text.
+NO_VALUE = frozenset("checkbox color file hidden image password radio range".split())
+#: Blanks that align a table, at most so many times its text and cells.
+MOST_BLANKS = 32
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -132,63 +136,145 @@ class Flow:
 
 
 class Grid:
-    """Rows and cells of one table, laid out when it ends."""
+    """Rows and cells of one table, laid out when it ends.
+
+    Cells that reach down hold intervals of columns, so a cell costs the same however many columns it spans; placing
+    it passes the held intervals between its neighbour and its place.
+    """
 
     def __init__(self):
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.down: dict[int, int] = {}
+        #: columns held from above: start, end and the last row held, disjoint and ascending
+        self.spans: list[tuple[int, int, int]] = []
+        self.held: list[tuple[int, int, int]] = []
         self.caption: list[str] = []
 
     def row(self) -> None:
-        self.down = {c: n - 1 for c, n in self.down.items() if n > 1}
         self.rows.append([])
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
         if not self.rows:
             self.row()
-        row = self.rows[-1]
+        row, now = self.rows[-1], len(self.rows)
         at = row[-1][0] + row[-1][1] if row else 0
-        while self.down.get(at, 0):
-            at += 1
+        k = bisect_right(self.spans, (at, math.inf, 0))
+        if k and self.spans[k - 1][1] > at:
+            k -= 1
+        while k < len(self.spans) and self.spans[k][0] <= at:
+            if self.spans[k][2] < now:
+                del self.spans[k]  # its rows are over
+            else:
+                at = max(at, self.spans[k][1])
+                k += 1
         row.append((at, across, lines))
         if down > 1:
-            # The row itself counts: row() takes one off for each following row.
-            self.held = getattr(self, "held", [])
-            self.held.extend((c, down) for c in range(at, at + across))
+            self.held.append((at, at + across, now + down - 1))
 
     def end_row(self) -> None:
-        for c, n in getattr(self, "held", []):
-            self.down[c] = max(self.down.get(c, 0), n)
+        for span in self.held:
+            self.hold(*span)
         self.held = []
 
-    def lines(self) -> list[str]:
-        width: dict[int, int] = {}
+    def hold(self, start: int, end: int, until: int) -> None:
+        """Holds columns; where others hold them already, the longer one counts."""
+        k = bisect_left(self.spans, (start,))
+        if k and self.spans[k - 1][1] > start:
+            k -= 1
+        first, at, parts = k, start, []
+        while k < len(self.spans) and self.spans[k][0] < end:
+            a, b, other = self.spans[k]
+            k += 1
+            if a < start:
+                parts.append((a, start, other))
+            if at < a:
+                parts.append((at, a, until))
+            at = min(b, end)
+            parts.append((max(a, start), at, max(other, until)))
+            if b > end:
+                parts.append((end, b, other))
+        if at < end:
+            parts.append((at, end, until))
+        self.spans[first:k] = parts
+
+    def starts(self, limit: int) -> dict[int, int]:
+        """Where the cells of a column begin, if no column is made wider than ``limit`` by a cell."""
+        columns = sorted({at + across - 1 for row in self.rows for at, across, _ in row})
+        place = {c: i for i, c in enumerate(columns)}
+        slot = [0] * len(columns)  # widths with the two blanks behind them
         for row in self.rows:
             for at, across, lines in row:
                 if across == 1:
-                    width[at] = max(width.get(at, 0), min(PAD, max(map(len, lines), default=0)))
+                    slot[place[at]] = max(slot[place[at]], needed(lines, limit))
+        sums = PrefixSums(slot)
         for row in self.rows:  # spanning cells widen their last column
             for at, across, lines in row:
                 if across > 1:
-                    room = sum(width.get(c, 0) for c in range(at, at + across - 1)) + 2 * (across - 1)
-                    need = min(PAD * across, max(map(len, lines), default=0)) - room
-                    width[at + across - 1] = max(width.get(at + across - 1, 0), need)
-        start, edge = {}, 0
-        for c in range(max(width, default=-1) + 1):
-            start[c] = edge
-            edge += (width[c] + 2) if width.get(c) else 0
+                    last = place[at + across - 1]
+                    need = needed(lines, limit * across) - (sums.before(last) - sums.before(bisect_left(columns, at)))
+                    if need > slot[last]:
+                        sums.add(last, need - slot[last])
+                        slot[last] = need
+        return {at: sums.before(bisect_left(columns, at)) for row in self.rows for at, _, _ in row}
+
+    def aligned(self) -> dict[int, int]:
+        """Starts by the widest cells. Where that would write more than ``MOST_BLANKS`` times as many blanks as the table has
+        text and cells, columns count as half as wide, and so on: the output stays in proportion to the page."""
+        room = 4096 + MOST_BLANKS * sum(1 + sum(map(len, lines)) for row in self.rows for _, _, lines in row)
+        limit = max((len(line) for row in self.rows for _, _, lines in row for line in lines), default=0)
+        while True:
+            start = self.starts(limit)
+            blanks = 0
+            for row in self.rows:
+                done = 0  # lines of the row whose last cell is known
+                for at, _, lines in reversed(row):
+                    blanks += start[at] * max(0, len(lines) - done)
+                    done = max(done, len(lines))
+            if blanks <= room or not limit:
+                return start
+            limit //= 2
+
+    def lines(self) -> list[str]:
+        start = self.aligned()
         out = list(self.caption)
         for row in self.rows:
-            for k in range(max((len(lines) for _, _, lines in row), default=0)):
-                line = ""
-                for at, _, lines in row:
-                    if k < len(lines) and lines[k]:
-                        gap = start.get(at, edge) - len(line)
-                        line += " " * (gap if gap > 0 or not line else 2) + lines[k]
-                out.append(line)
+            told = [""] * max((len(lines) for _, _, lines in row), default=0)
+            for at, _, lines in row:
+                for k, text in enumerate(lines):
+                    if text:
+                        gap = start[at] - len(told[k])
+                        told[k] += " " * (gap if gap > 0 or not told[k] else 2) + text
+            out.extend(told)
         return out
 
 
+def needed(lines: list[str], limit: int) -> int:
+    width = min(limit, max(map(len, lines), default=0))
+    return width + 2 if width else 0
+
+
+class PrefixSums:
+    """Sums of the first values of a list whose values change (a binary indexed tree)."""
+
+    def __init__(self, values: list[int]):
+        self.tree = [0, *values]
+        for i in range(1, len(self.tree)):
+            if (up := i + (i & -i)) < len(self.tree):
+                self.tree[up] += self.tree[i]
+
+    def add(self, at: int, more: int) -> None:
+        at += 1
+        while at < len(self.tree):
+            self.tree[at] += more
+            at += at & -at
+
+    def before(self, n: int) -> int:
+        total = 0
+        while n:
+            total += self.tree[n]
+            n -= n & -n
+        return total
+
+
 class Page:
     """Tree builder and renderer of one page."""
 
@@ -346,7 +432,7 @@ class Page:
                 flow.indents.append(self.marker(attrs))
             elif name in ("dd", "blockquote"):
                 flow.indents.append(["  ", None])
-        elif name == "input" and attrs.get("type", "").lower() in ("submit", "button", "reset") and not self.unseen:
+        elif name == "input" and attrs.get("type", "").lower() not in NO_VALUE and not self.unseen:
             flow.text(attrs.get("value", ""))
 
     def marker(self, attrs: dict[str, str]) -> list[str | None]:

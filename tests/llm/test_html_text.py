@@ -1,10 +1,11 @@
 import html
+import random
 import re
 import time
 
 import pytest
 
-from logsift.llm.html_text import render, with_visible_text
+from logsift.llm.html_text import Grid, render, with_visible_text
 
 CASES = [
     ("", ""),
@@ -94,3 +95,71 @@ def test_hidden_elements_and_lists_stay_whole_at_any_depth():
     assert render(deep + "<div hidden><i>no</i>no</div><ol><li>one<li>two</ol>") == "1. one\n2. two"
     assert render("<ul><li>x" * 2000).count("- x") == 2000
     assert render("<b><div>" + "<span>" * 20_000 + "</b>" * 20_000 + "x") == "x"
+
+
+def laid_out(table):
+    """Cell places by the plain rule: each cell takes the next column that no cell from above or before holds."""
+    held, out = set(), []
+    for r, row in enumerate(table):
+        at, cells = 0, []
+        for text, across, down in row:
+            while (r, at) in held:
+                at += 1
+            cells.append((at, across, text))
+            held |= {(r + i, c) for i in range(1, down) for c in range(at, at + across)}
+            at += across
+        out.append(cells)
+    return out
+
+
+def test_cells_stand_in_their_columns():
+    """Random tables with spans both ways, against the plain rule: equal columns start at equal places, and later
+    columns never before earlier ones end."""
+    rnd = random.Random(8)
+    for _ in range(300):
+        table = [[("w" * rnd.randint(1, 90), rnd.choice((1, 1, 1, 2, 5)), rnd.choice((1, 1, 2, 4))) for _ in range(rnd.randint(0, 6))]
+                 for _ in range(rnd.randint(1, 7))]
+        grid = Grid()
+        for row in table:
+            grid.row()
+            for text, across, down in row:
+                grid.cell([text], across, down)
+            grid.end_row()
+        want = laid_out(table)
+        assert [[(at, across, lines[0]) for at, across, lines in row] for row in grid.rows] == want
+        start = grid.aligned()
+        lines = iter(grid.lines())
+        for row in want:
+            if not row:
+                continue
+            line = next(lines)
+            assert line.split() == [text for _, _, text in row]
+            reach = 0
+            for at, _, text in row:
+                assert start[at] >= reach and line[start[at]:].startswith(text)
+                reach = start[at] + len(text) + 2
+
+
+def test_wide_columns_are_aligned():
+    text = render("<table><tr><td>" + "x" * 300 + "<td>b<td>c<tr><td>1<td>2<td>3</table>")
+    first, second = text.split("\n")
+    assert second.index("2") == first.index("b") == 302 and second.index("3") == first.index("c")
+
+
+def test_spans_cost_in_proportion():
+    """100 KB of wide and deep spans, of deep ones that end in different rows, and output that alignment must not blow up."""
+    for cell in ("<tr><td colspan=1000 rowspan=60000>x", "<td rowspan=9999>x", "<tr><td colspan=999>x<td rowspan=7>y"):
+        began = time.perf_counter()
+        assert "x" in render("<table>" + cell * (100_000 // len(cell)) + "</table>")
+        assert time.perf_counter() - began < 2
+    deep = "".join(f"<td rowspan={9000 - i}>" for i in range(2_000)) + "<tr><td>z" * 6_000
+    began = time.perf_counter()
+    text = render("<table><tr>" + deep + "</table>")
+    assert text.count("z") == 6_000 and time.perf_counter() - began < 6
+    wide = "<table><tr><td>" + "x" * 50_000 + "<td>y" + "<tr><td>1<td>2" * 5_000 + "</table>"
+    assert len(render(wide)) < 50 * len(wide)
+
+
+def test_values_of_inputs_are_shown():
+    assert render("<input value=seen> <input type=text value=too><input type=password value=no><input type=hidden value=no>"
+                  "<input type=checkbox value=no>") == "seen too"

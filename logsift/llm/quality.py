@@ -132,6 +132,12 @@ def passes(policy: Policy, failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
+def only_rule(policy: Policy, failed: str = "failed") -> Column:
+    """The rule of the policy that a document fails alone, so that it would pass without it; null for all others."""
+    bits = F.col(failed).bitwiseAND(F.lit(policy.mask).cast("long"))
+    return F.coalesce(*[F.when(bits == 1 << r.bit, F.lit(r.name)) for r in RULES if r.name in policy.rules])
+
+
 def ablation(kept_ledger: DataFrame, policy: Policy, failed: str = "failed") -> DataFrame:
     """One row per rule of the policy: documents it fails, fails alone, and that pass without it.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import bpe, chat, html_text, langid, merkle, mixing, negatives, neighbours, quality, secrets, simhash, toxicity, urls
-from logsift.llm.common import table
+from logsift.llm.common import checkpoint, table
 from logsift.llm.registry import register
 
 
@@ -163,17 +163,25 @@ f AS (
           + (CASE WHEN longest_word > 1000 THEN 128 ELSE 0 END) AS bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed,
-       bits = 0 AS kept, bits::BIGINT AS failed
-FROM f"""
+       bits = 0 AS kept, bits::BIGINT AS failed, only_rule,
+       CASE WHEN only_rule IS NOT NULL THEN count(*) OVER (PARTITION BY bits) END AS n_failed_alone,
+       CASE WHEN only_rule IS NOT NULL THEN count(*) OVER (PARTITION BY bits) + count(*) FILTER (bits = 0) OVER () END AS n_kept_without
+FROM (SELECT *, CASE bits WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_word_windows' WHEN 4 THEN 'symbols'
+        WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'capitals' WHEN 32 THEN 'marks' WHEN 64 THEN 'word_length'
+        WHEN 128 THEN 'endless_word' END AS only_rule FROM f)"""
 
 
 @register("op6_quality_ledger", OP6_SQL)
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return marked.select(
+    """The ledger is written once (numbers only); verdicts and ablations of policy ``v2`` are read from it. A document
+    that fails one rule alone names it, with the documents that fail it alone and that are kept without it."""
+    policy = quality.POLICIES["v2"]
+    marked = checkpoint(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    ablated = quality.ablation(marked, policy).select(F.col("rule").alias("only_rule"), "n_failed_alone", "n_kept_without")
+    return marked.withColumn("only_rule", quality.only_rule(policy)).join(F.broadcast(ablated), "only_rule", "left").select(
         "doc_id", *[f"measures.{m}" for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         (~quality.passes(quality.POLICIES["base"])).alias("base_failed"),
-        quality.passes(quality.POLICIES["v2"]).alias("kept"), "failed")
+        quality.passes(policy).alias("kept"), "failed", "only_rule", "n_failed_alone", "n_kept_without")
 
 
 OP7_SQL = r"""

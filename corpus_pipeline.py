@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents without words are never taken more often than their source's whole epochs."""
     sized = mixing.sized(_beside(docs), "text", "size")
     mixed = mixing.mix(mixing.quality_weights(sized.drop("row", "text"), table(spark, sf_dir, "labels")))
-    return mixing.repeat_documents(sized, mixed).select("row.*")
+    return mixing.repeat_documents(sized.drop("text"), mixed).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ so pairs are never materialised. The ranking of these few is by distances in the
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,8 +19,10 @@ from pyspark.sql import types as T
 
 from logsift import constants as C
 
-# Corpus rows and queries of one comparison task (bounds its memory), and distances held at once.
-CORPUS_BLOCK, QUERY_BLOCK, PAIRS_AT_ONCE = 16_384, 4_096, 1 << 22
+# Corpus rows and queries of one comparison (bounds its memory), and numbers of an array held at once.
+CORPUS_BLOCK, QUERY_BLOCK, PAIRS_AT_ONCE = 16_384, 4_096, 1 << 20
+# Pairs of one task, each query counted as meeting so many rows more, and tasks of a lookup.
+TASK_PAIRS, QUERY_COST, MOST_TASKS = 1 << 24, 4_096, 16_384
 # Pivots of a dimension; dimensions beyond the commonest so many are compared without pivots.
 MOST_PIVOTS, PIVOT_DIMENSIONS = 64, 16
 # Lists of an index, values of all their centres together, and code words of a piece.
@@ -64,21 +67,33 @@ def _sizes(asked: DataFrame, rows: DataFrame, cell: list[str]) -> DataFrame:
 
 def _meet(asked: DataFrame, rows: DataFrame, cell: list[str], sizes: DataFrame, kernel, schema: str) -> DataFrame:
     """``kernel(key, queries, rows)`` over the cells; a cell with many queries (``qid``) or rows (``cid``) is dealt to
-    several tasks by hashes of their ids. Cells without a query are not shuffled."""
-    parts = F.broadcast(sizes.select(*cell, F.ceil(F.col("nq") / QUERY_BLOCK).alias("na"),
-                                     F.ceil(F.col("nr") / CORPUS_BLOCK).alias("nb")))
+    several groups by hashes of their ids. Cells without a query are not shuffled. The number of tasks follows the
+    pairs, at most one a group: their input is small beside their work and results."""
+    sizes = sizes.select(*cell, "nq", "nr")
+    known = sizes.collect()  # one row a cell
+    groups = sum(-(-r["nq"] // QUERY_BLOCK) * -(-r["nr"] // CORPUS_BLOCK) for r in known)
+    pairs = sum(r["nq"] * (r["nr"] + QUERY_COST) for r in known)
+    tasks = max(1, min(MOST_TASKS, groups, -(-pairs // TASK_PAIRS)))
+    parts = F.broadcast(asked.sparkSession.createDataFrame(known, sizes.schema).select(
+        *cell, F.ceil(F.col("nq") / QUERY_BLOCK).alias("na"), F.ceil(F.col("nr") / CORPUS_BLOCK).alias("nb")))
     a = asked.join(parts, cell).withColumn("a", F.pmod(F.xxhash64("qid"), F.col("na"))).withColumn(
         "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).drop("na", "nb")
     b = rows.join(parts, cell).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb"))).withColumn(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1))).drop("na", "nb")
     key = [*cell, "a", "b"]
-    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(kernel, schema)
+    return a.repartition(tasks, *key).groupBy(*key).cogroup(b.repartition(tasks, *key).groupBy(*key)).applyInPandas(kernel, schema)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Runs of rows whose arrays of ``width`` numbers a row stay within ``PAIRS_AT_ONCE`` numbers."""
+    step = max(1, PAIRS_AT_ONCE // max(1, width))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
 def _near(ids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray, k: int,
           limit: np.ndarray | None = None) -> pd.DataFrame:
     """``(qid, cid, kth)``: rows of a block that may be among the k nearest of a query (and not beyond its squared
@@ -86,23 +101,23 @@ def _near(ids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray, k:
     out = []
     same = np.unique(cm, axis=0, return_inverse=True)[1].reshape(-1)
     size = (cm * cm).sum(axis=1)
-    step, kth = max(1, PAIRS_AT_ONCE // len(cm)), min(k, len(cm)) - 1
-    for at in range(0, len(ids), step):
-        part = qm[at:at + step]
+    kth = min(k, len(cm)) - 1
+    for at in _slices(len(ids), len(cm)):
+        part = qm[at]
         own = (part * part).sum(axis=1)
         d2 = own[:, None] + size[None, :] - 2.0 * part @ cm.T
         # Rounding of these sums stays far below 1e-11 of the squared lengths: all that may be among
         # the k nearest is kept.
         slack = 1e-11 * (own + size.max())
         reach = np.partition(d2, kth, axis=1)[:, kth] + slack
-        most = reach if limit is None else np.minimum(reach, limit[at:at + step] + slack)
+        most = reach if limit is None else np.minimum(reach, limit[at] + slack)
         i, j = np.nonzero(d2 <= most[:, None])
         # Equal vectors tie exactly, so of each only the k smallest ids can be ranked.
         order = np.lexsort((cids[j], same[j], i))
         i, j = i[order], j[order]
         group = i.astype(np.int64) * len(cm) + same[j]
         near = np.arange(len(i)) - np.searchsorted(group, group) < k
-        out.append(pd.DataFrame({"qid": ids[at:at + step][i[near]], "cid": cids[j[near]],
+        out.append(pd.DataFrame({"qid": ids[at][i[near]], "cid": cids[j[near]],
                                  "kth": (reach + slack)[i[near]] if kth == k - 1 else np.inf}))
     return pd.concat(out) if out else _nothing()
 
@@ -231,30 +246,40 @@ def _pivoted(q: DataFrame, c: DataFrame, k: int, number: int, seed: int = 7) ->
                 for dim, part in pdf.groupby("dim", sort=False):
                     names, span = table.get(dim, (np.zeros(1, np.int64), np.array([[[0.0, np.inf]]])))
                     d = far(part["v"], dim)
-                    own = names[d[:, names].argmin(axis=1)]
                     if first:
-                        yield part.assign(cell=own.astype(np.int32), limit=np.inf)
-                        continue
-                    # A row of the cell is at least this far by its distance to each pivot.
-                    least = np.maximum(span[None, :, :, 0] - d[:, None, :], d[:, None, :] - span[None, :, :, 1]).max(axis=2)
-                    reach = np.sqrt(np.maximum(part["limit"].to_numpy(np.float64), 0.0))
-                    i, j = np.nonzero((least * (1 - 1e-9) - 1e-9 * d.max(initial=0.0) <= reach[:, None]) & (names[None, :] != own[:, None]))
-                    yield part.iloc[i].assign(cell=names[j].astype(np.int32))
+                        yield part.assign(cells=list(names[d[:, names].argmin(axis=1)][:, None].astype(np.int32)))
+                    else:
+                        yield part.assign(cells=_others(d, names, span, part["limit"].to_numpy(np.float64)))
         return run
 
-    asked_schema = "qid bigint, v array<double>, dim int, limit double, cell int"
+    # A query is one row with its cells; the JVM copies its vector to each of them.
+    asked_schema = "qid bigint, v array<double>, dim int, limit double, cells array<int>"
     plain = q.select("qid", F.col("v").cast("array<double>").alias("v"), "dim", F.lit(float("inf")).alias("limit"))
-    own = plain.mapInPandas(asks(True), asked_schema)
+    each = ["qid", "v", "dim", "limit", F.explode("cells").alias("cell")]
+    own = plain.mapInPandas(asks(True), asked_schema).select(*each)
     sizes = _sizes(own, cells, ["dim", "cell"])
     near = _meet(own, cells, ["dim", "cell"], sizes, _near_kernel(k), NEAR).checkpoint()
     reach = near.groupBy("qid").agg(F.min("kth").alias("limit"))
     others = plain.drop("limit").join(reach, "qid", "left").select(
-        "qid", "v", "dim", F.coalesce("limit", F.lit(float("inf"))).alias("limit")).mapInPandas(asks(False), asked_schema).checkpoint()
+        "qid", "v", "dim", F.coalesce("limit", F.lit(float("inf"))).alias("limit")).mapInPandas(asks(False), asked_schema).checkpoint().select(*each)
     more = _sizes(others, cells, ["dim", "cell"])
     found = near.union(_meet(others, cells, ["dim", "cell"], more, _near_kernel(k), NEAR)).select("qid", "cid")
     return found, sizes.union(more)
 
 
+def _others(d: np.ndarray, names: np.ndarray, span: np.ndarray, limit: np.ndarray) -> list[np.ndarray]:
+    """Per query the cells, its own left out, that may hold a row within its squared limit."""
+    out, reach, slack = [], np.sqrt(np.maximum(limit, 0.0)), 1e-9 * d.max(initial=0.0)
+    for at in _slices(len(d), span.shape[0] * span.shape[1]):
+        part = d[at]
+        own = names[part[:, names].argmin(axis=1)]
+        # A row of the cell is at least this far by its distance to each pivot.
+        least = np.maximum(span[None, :, :, 0] - part[:, None, :], part[:, None, :] - span[None, :, :, 1]).max(axis=2)
+        met = (least * (1 - 1e-9) - slack <= reach[at][:, None]) & (names[None, :] != own[:, None])
+        out += [names[m].astype(np.int32) for m in met]
+    return out
+
+
 def _pivots(c: DataFrame, number: int, seed: int) -> dict[int, np.ndarray]:
     """For the commonest dimensions ``number`` rows each, chosen by a hash of the id."""
     dims = [r["dim"] for r in c.filter("dim > 0").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(PIVOT_DIMENSIONS).collect()]

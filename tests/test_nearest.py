@@ -1,6 +1,7 @@
 """Exact lookup with pivots and the stored index, against NumPy."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -111,3 +112,24 @@ def test_index_of_few_rows(spark, tmp_path):
         assert answers(N.search_index(q, root, 3)) == ({1: list(range(n))} if n else {})
     with pytest.raises(ValueError):
         N.build_index(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], VECTORS), str(tmp_path / "mixed"))
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_memory_of_a_block_and_of_bounds():
+    """Distances of a full block, and bounds of a batch of queries to 64 cells by 64 pivots, are made piece by piece."""
+    rnd = np.random.default_rng(2)
+    q, c = rnd.normal(size=(1024, 64)), rnd.normal(size=(N.CORPUS_BLOCK, 64))
+    assert peak_mb(lambda: N._near(np.arange(len(q)), q, np.arange(len(c)), c, 3)) < 100
+    d, lo = rnd.random((3000, 64)) + 1, rnd.random((64, 64))
+    span, names, limit, got = np.stack([lo, lo + 0.1], axis=2), np.arange(64), rnd.random(3000), []
+    assert peak_mb(lambda: got.extend(N._others(d, names, span, limit))) < 60
+    least = np.maximum(lo[None] - d[:100, None], d[:100, None] - lo[None] - 0.1).max(axis=2)
+    want = [[j for j in np.flatnonzero(least[i] <= np.sqrt(limit[i]) + 1e-8) if j != d[i].argmin()] for i in range(100)]
+    assert [list(x) for x in got[:100]] == want

@@ -300,6 +300,24 @@ def _squares(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return (centre * centre).sum(axis=1)[None, :] - 2.0 * rows @ centre.T
 
 
+def _closest(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row."""
+    return np.concatenate([_squares(rows[at], centre).argmin(axis=1) for at in _slices(len(rows), len(centre))])
+
+
+def _code_words(rows: np.ndarray, seed: int) -> np.ndarray:
+    """At most 256 code words of the rows, by k-means."""
+    rows = np.unique(rows, axis=0)
+    word = rows[np.random.default_rng(seed).permutation(len(rows))[:CODE_WORDS]]
+    for _ in range(8):
+        own = _closest(rows, word)
+        held = np.bincount(own, minlength=len(word))
+        total = np.zeros_like(word)
+        np.add.at(total, own, rows)
+        word = np.where(held[:, None] > 0, total / np.maximum(held, 1)[:, None], word)
+    return word
+
+
 def _pieces(dim: int, pieces: int) -> list[slice]:
     edges = np.linspace(0, dim, min(pieces, dim) + 1).astype(int)
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
@@ -345,20 +363,13 @@ def build_index(corpus: DataFrame, root: str, cid: str = "id", vec_col: str = "t
     def residuals(batches):
         for pdf in batches:
             rows = _matrix(pdf["v"])
-            rest = rows - centre[_squares(rows, centre).argmin(axis=1)]
+            rest = rows - centre[_closest(rows, centre)]
             for piece, cut in enumerate(cuts):
                 yield pd.DataFrame({"piece": np.int32(piece), "v": list(rest[:, cut])})
 
     def words(pdf: pd.DataFrame) -> pd.DataFrame:
         """k-means over one piece of the sample's residuals."""
-        rows = np.unique(_matrix(pdf["v"]), axis=0)
-        word = rows[np.random.default_rng(seed).permutation(len(rows))[:CODE_WORDS]]
-        for _ in range(8):
-            own = _squares(rows, word).argmin(axis=1)
-            held = np.bincount(own, minlength=len(word))
-            total = np.zeros_like(word)
-            np.add.at(total, own, rows)
-            word = np.where(held[:, None] > 0, total / np.maximum(held, 1)[:, None], word)
+        word = _code_words(_matrix(pdf["v"]), seed)
         return pd.DataFrame({"piece": pdf["piece"].iloc[0], "code": np.arange(len(word), dtype=np.int32), "v": list(word)})
 
     book_table = picked.mapInPandas(residuals, "piece int, v array<double>").groupBy("piece").applyInPandas(words, INDEX["codebook"])
@@ -370,9 +381,9 @@ def build_index(corpus: DataFrame, root: str, cid: str = "id", vec_col: str = "t
     def coded(batches):
         for pdf in batches:
             rows = _matrix(pdf["v"])
-            own = _squares(rows, centre).argmin(axis=1)
+            own = _closest(rows, centre)
             rest = rows - centre[own]
-            code = np.stack([_squares(rest[:, cut], book[p]).argmin(axis=1) for p, cut in enumerate(cuts)], axis=1)
+            code = np.stack([_closest(rest[:, cut], book[p]) for p, cut in enumerate(cuts)], axis=1)
             yield pdf.assign(code=[x.tobytes() for x in code.astype(np.uint8)], list=own.astype(np.int32))
 
     vec = c.schema["v"].dataType.simpleString()

@@ -122,6 +122,13 @@ def peak_mb(work):
     return peak
 
 
+def test_memory_of_code_words():
+    """The distances of a sample to all code words or centres are never held at once."""
+    rows = np.random.default_rng(1).normal(size=(32_768, 4))
+    assert peak_mb(lambda: N._code_words(rows, 7)) < 60
+    assert (N._closest(rows[:3000], rows[:700]) == N._squares(rows[:3000], rows[:700]).argmin(axis=1)).all()
+
+
 def test_memory_of_a_block_and_of_bounds():
     """Distances of a full block, and bounds of a batch of queries to 64 cells by 64 pivots, are made piece by piece."""
     rnd = np.random.default_rng(2)

@@ -440,39 +440,51 @@ def _searched(queries, root, k, qid, cid, vec_col, probes, recall, refine) -> tu
 
     @F.pandas_udf("array<int>")
     def nearest_lists(v: pd.Series) -> pd.Series:
-        d = _squares(_matrix(v), centre)
-        return pd.Series(list(np.argpartition(d, take - 1, axis=1)[:, :take].astype(np.int32)))
+        m = _matrix(v)
+        return pd.Series([x for at in _slices(len(m), len(centre))
+                          for x in np.argpartition(_squares(m[at], centre), take - 1, axis=1)[:, :take].astype(np.int32)])
 
-    asked = q.select("qid", "v", F.explode(nearest_lists("v")).alias("list")).checkpoint()
-    wanted = [r["list"] for r in asked.select("list").distinct().collect()]  # at most as many as lists
+    asked = q.select("qid", "v", nearest_lists("v").alias("lists")).checkpoint()
+    probed = asked.select("qid", F.explode("lists").alias("list"))
+    wanted = [r["list"] for r in probed.select("list").distinct().collect()]  # at most as many as lists
     here = rows.filter(F.col("list").isin(wanted))  # prunes folders
 
     def kernel(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"qid": np.empty(0, np.int64), "cid": np.empty(0, np.int64), "told": np.empty(0), "list": np.empty(0, np.int32)})]
         if len(asking) and len(held):
+            held = held.sort_values("list")
             code = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1)
-            cids, ids = held["cid"].to_numpy(np.int64), asking["qid"].to_numpy(np.int64)
-            rest = _matrix(asking["v"]) - centre[int(held["list"].iloc[0])]
-            step = max(1, PAIRS_AT_ONCE // len(held))
-            for at in range(0, len(ids), step):
-                part = rest[at:at + step]
-                told = np.zeros((len(part), len(held)))
-                for p, cut in enumerate(cuts):
-                    d = ((part[:, None, cut] - book[p][None]) ** 2).sum(axis=2)
-                    told += d[:, code[:, p]]
-                last = min(keep, len(held)) - 1
-                i, j = np.nonzero(told <= np.partition(told, last, axis=1)[:, last:last + 1])
+            cids, ids, lists = held["cid"].to_numpy(np.int64), asking["qid"].to_numpy(np.int64), held["list"].to_numpy(np.int32)
+            names, first, own = np.unique(lists, return_index=True, return_inverse=True)
+            runs = [slice(a, b) for a, b in zip(first, [*first[1:], len(lists)])]
+            v, probes, last = _matrix(asking["v"]), asking["lists"].to_numpy(), min(keep, len(held)) - 1
+            for at in _slices(len(ids), max(len(held), CODE_WORDS * max(cut.stop - cut.start for cut in cuts))):
+                part, reads = v[at], np.stack([np.isin(names, x) for x in probes[at]])
+                told = np.full((len(part), len(held)), np.inf)
+                for n, run in enumerate(runs):
+                    who = np.flatnonzero(reads[:, n])
+                    rest, sums = part[who] - centre[names[n]], np.zeros((len(who), run.stop - run.start))
+                    for p, cut in enumerate(cuts):
+                        d = ((rest[:, None, cut] - book[p][None]) ** 2).sum(axis=2)
+                        sums += d[:, code[run, p]]
+                    told[who, run] = sums
+                i, j = np.nonzero((told <= np.partition(told, last, axis=1)[:, last:last + 1]) & reads[:, own.reshape(-1)])
                 order = np.lexsort((cids[j], told[i, j], i))
                 i, j = i[order], j[order]
                 best = np.arange(len(i)) - np.searchsorted(i, i) < keep
-                out.append(pd.DataFrame({"qid": ids[at:at + step][i[best]], "cid": cids[j[best]], "told": told[i, j][best]}))
-        if not out:
-            return pd.DataFrame({"qid": np.empty(0, np.int64), "cid": np.empty(0, np.int64), "told": np.empty(0), "list": np.empty(0, np.int32)})
-        return pd.concat(out).assign(list=np.int32(held["list"].iloc[0]))
-
-    codes = here.select("cid", "code", "list")
-    sizes = _sizes(asked, codes, ["list"])
-    told = _meet(asked, codes, ["list"], sizes, kernel, "qid bigint, cid bigint, told double, list int")
+                i, j = i[best], j[best]
+                out.append(pd.DataFrame({"qid": ids[at][i], "cid": cids[j], "told": told[i, j], "list": lists[j]}))
+        return pd.concat(out)
+
+    met = _sizes(probed, here, ["list"]).collect()  # at most as many as lists
+    sizes = spark.createDataFrame(met, "list int, nq bigint, nr bigint")
+    # A query meets a shelf of lists at once, so it brings its vector and leaves with its best estimates once a shelf.
+    shelves = list(enumerate(_shelves(sorted((r["list"], r["nr"]) for r in met))))
+    placed = spark.createDataFrame([(name, shelf) for shelf, names in shelves for name in names], "list int, shelf int")
+    codes = here.select("cid", "code", "list").join(F.broadcast(placed), "list")
+    asking = asked.crossJoin(F.broadcast(spark.createDataFrame(shelves, "shelf int, holds array<int>"))).select(
+        "qid", "v", "shelf", F.array_intersect("lists", "holds").alias("lists")).filter(F.size("lists") > 0)
+    told = _meet(asking, codes, ["shelf"], _sizes(asking, codes, ["shelf"]), kernel, "qid bigint, cid bigint, told double, list int")
     w = Window.partitionBy("qid").orderBy("told", "cid")
     best = told.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep).select("qid", "cid", "list")
     cand = best.join(here.select("cid", "list", F.col("v").alias("cv")), ["list", "cid"]).join(q.select("qid", "v"), "qid") \
@@ -481,7 +493,7 @@ def _searched(queries, root, k, qid, cid, vec_col, probes, recall, refine) -> tu
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
         F.col("qid").alias(qid), F.col("cid").alias(cid), "distance", "rank")
     held = sizes.select("list", "nr")
-    enough = asked.join(F.broadcast(held), "list").groupBy("qid").agg(F.sum("nr").alias("nr")).filter(
+    enough = probed.join(F.broadcast(held), "list").groupBy("qid").agg(F.sum("nr").alias("nr")).filter(
         F.col("nr") >= k).select("qid")
     few = q.join(enough, "qid", "left_anti")
     exact = nearest_snippets(few, rows, k, "qid", "cid", "v", max_k=None).select(
@@ -490,6 +502,18 @@ def _searched(queries, root, k, qid, cid, vec_col, probes, recall, refine) -> tu
     return whole, sizes, rows
 
 
+def _shelves(sizes: list[tuple[int, int]]) -> list[list[int]]:
+    """Lists, given with their numbers of rows, by shelves of at most ``CORPUS_BLOCK`` rows; a larger list has its own."""
+    out, rows = [], CORPUS_BLOCK
+    for name, n in sizes:
+        if rows + n > CORPUS_BLOCK:
+            out.append([])
+            rows = 0
+        out[-1].append(name)
+        rows += n
+    return out
+
+
 def _scratch(spark: SparkSession) -> str:
     from logsift.session import ensure_checkpoint_dir
     return f"{ensure_checkpoint_dir(spark)}/vector-index-{uuid.uuid4().hex}"

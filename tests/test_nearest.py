@@ -129,6 +129,25 @@ def test_memory_of_code_words():
     assert (N._closest(rows[:3000], rows[:700]) == N._squares(rows[:3000], rows[:700]).argmin(axis=1)).all()
 
 
+def test_queries_meet_shelves_of_lists(spark, tmp_path, monkeypatch):
+    """A query leaves with its best estimates once a shelf, however many of its lists it reads."""
+    rows, root, seen = clustered(600), str(tmp_path / "index"), []
+    N.build_index(table(spark, rows), root, lists=20)
+    meet = N._meet
+
+    def spied(asked, held, cell, *rest):
+        found = meet(asked, held, cell, *rest)
+        if "told" in found.columns:
+            seen.append((asked.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(N, "_meet", spied)
+    queries = clustered(60)[7:17]
+    got = answers(N.search_index(table(spark, queries, name="query_id"), root, 2, probes=20, refine=5))
+    assert seen == [(10, 100)] and all(len(v) == 2 for v in got.values())
+    assert N._shelves([(0, 9000), (2, 7000), (3, 400), (5, 50_000), (6, 1)]) == [[0, 2], [3], [5], [6]]
+
+
 def test_memory_of_a_block_and_of_bounds():
     """Distances of a full block, and bounds of a batch of queries to 64 cells by 64 pivots, are made piece by piece."""
     rnd = np.random.default_rng(2)
